@@ -381,10 +381,8 @@ def recommendations_report(ranked: DataFrame, top_n: int = 5) -> DataFrame:
     best = top.groupBy("sweep").agg(
         F.min_by("scenario_id", "rank").alias("top_scenario"),
         F.round(F.max("composite"), 4).alias("top_composite_score"),
-        # Maps are not orderable, so the list is ordered by the rank in front of each document.
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", F.to_json(details).alias("doc")))), lambda x: x["doc"]
-        ).alias("top_n_details"),
+        # Maps have no order, so the list is sorted by the rank alone.
+        F.array_sort(F.collect_list(details), lambda a, b: (a["rank"] - b["rank"]).cast("int")).alias("top_n_details"),
     )
     return scored.join(best, "sweep").join(recs, "sweep", "left").select(
         "sweep",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tallyhouse.plans import drilldowns, metrics
+from tallyhouse.plans import drilldowns, jobs, metrics
 
 Query = Callable[..., DataFrame]
 
@@ -27,4 +27,5 @@ QUERIES: dict[str, Query] = {
     **drilldowns.DRILLS,
     **drilldowns.ANALYSES,
     **drilldowns.FORMULAS,
+    **jobs.JOBS,
 }

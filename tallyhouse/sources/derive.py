@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.functions.exprs import day_of_week, hour_of_day
+from tallyhouse.functions.exprs import day_of_week, hour_of_day, total
 from tallyhouse.operators import customers as cust, facts, sweeps
+from tallyhouse.session import cut_lineage
 
 AS_OF = "2001-08-02"
 LOCATIONS = 5
@@ -417,14 +418,16 @@ def customer_snapshots(t) -> DataFrame:
 
 
 def campaign_events(t) -> DataFrame:
-    k = _k()
+    """Reactions to the campaigns, one campaign per type and week."""
+    kind = pick(_k() % 3, "email", "sms", "push")
+    at = _days("ts", "2024-01-01") * 24 + F.hour("ts")
     return t["events"].filter("event_type in ('view', 'click', 'purchase')").select(
         "event_id",
         F.col("user_id").alias("customer_id"),
-        F.col("event_id").cast("string").alias("campaign_id"),
-        pick(k % 3, "email", "sms", "push").alias("campaign_type"),
+        F.concat(kind, F.lit("-"), F.floor(at / 168).cast("string")).alias("campaign_id"),
+        kind.alias("campaign_type"),
         "event_type",
-        (_days("ts", "2024-01-01") * 24 + F.hour("ts")).cast("double").alias("event_time"),
+        at.cast("double").alias("event_time"),
     )
 
 
@@ -462,6 +465,106 @@ def engagement_events(t) -> DataFrame:
     return facts.engagement_events(t["engagement_log"], t["customer_snapshots"])
 
 
+def unmet_demand(t) -> DataFrame:
+    """Sales the stock could not cover, waiting in their order of arrival."""
+    after, wanted = F.col("quantity_after"), F.abs("quantity_change")
+    short = t["inventory_events_keyed"].filter((F.col("event_type") == "SALE") & (after < 0))
+    return short.select(
+        *MOVE_ORDER,
+        "event_id",
+        "sku",
+        F.col("location").alias("location_id"),
+        F.col("event_time").alias("queued_at"),
+        F.least(wanted, -after).alias("quantity"),
+        wanted.alias("requested"),
+        F.greatest(F.lit(0), F.col("quantity_before")).alias("available"),
+    )
+
+
+def stock_deltas(t) -> DataFrame:
+    """Stock changes of the movements: a receipt leaves the open orders, a sale its reservation."""
+    kind, change = F.col("event_type"), F.col("quantity_change")
+    return t["stock_movements"].select(
+        "sku",
+        F.col("location").alias("location_id"),
+        change.alias("on_hand_delta"),
+        F.when(kind == "SALE", change).otherwise(0).alias("reserved_delta"),
+        F.when(kind == "RECEIPT", -change).otherwise(0).alias("on_order_delta"),
+    )
+
+
+def carts(t) -> DataFrame:
+    """A cart per order line: the line's product with its price and one more item without a price,
+    which for every seventh line number lies outside the catalogue."""
+    unit = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100
+    more = F.col("l_partkey") + F.when(F.col("l_linenumber") % 7 == 0, 10_000_000_000).otherwise(0)
+    qty = F.col("l_quantity").cast("int")
+    items = F.array(
+        F.struct(F.col("l_partkey").alias("sku"), qty.alias("qty"), unit.alias("price")),
+        F.struct(more.alias("sku"), F.lit(None).cast("int").alias("qty"), F.lit(None).cast("double").alias("price")),
+    )
+    return t["lineitem"].select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]).alias("cart_id"),
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_suppkey").alias("customer_id"),
+        F.when(F.col("l_linestatus") == "O", "active").otherwise("closed").alias("status"),
+        F.to_json(items).alias("items"),
+        F.when(F.col("l_returnflag") == "A", "paypal").otherwise("credit_card").alias("payment_method"),
+    )
+
+
+def order_states(t) -> DataFrame:
+    return t["orders"].select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderstatus").alias("status"),
+        F.lit("pending").alias("payment_status"),
+        F.lit(None).cast("string").alias("fulfillment_status"),
+    )
+
+
+def order_updates(t) -> DataFrame:
+    """Status reports of the order lines; open lines say nothing about the payment."""
+    return t["lineitem"].select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_shipdate").alias("updated_at"),
+        F.when(F.col("l_linestatus") == "F", "processing").alias("status"),
+        F.when(F.col("l_linestatus") == "F", "paid").alias("payment_status"),
+        F.when(F.col("l_returnflag") == "R", "returned").otherwise("shipped").alias("fulfillment_status"),
+    )
+
+
+def channel_customers(t) -> DataFrame:
+    """Recency, frequency, spend and ignored visits of a customer in one channel."""
+    done = F.col("completed")
+    grouped = t["customer_journeys"].groupBy("customer_id", "channel").agg(
+        F.max(F.when(done, F.floor(F.col("arrival_time") / 1440))).alias("__last"),
+        F.count_if(done).alias("purchase_count"),
+        F.coalesce(total(F.when(done, F.col("total_amount"))), F.lit(0.0)).alias("total_spend"),
+        (F.count_if("abandoned") % 6).alias("unresponsive_count"),
+    )
+    # Seven calendar days stand for each day of the log, so that the recency limits all occur.
+    return grouped.withColumn("recency_days", ((F.lit(31) - F.col("__last")) * 7).cast("int")).drop("__last")
+
+
+def scenario_updates(t) -> DataFrame:
+    """Status reports of the running scenarios."""
+    state = F.when(F.col("completed"), "completed").when(F.col("payment_failed"), "failed").otherwise("running")
+    return t["customer_journeys"].select(
+        "scenario_id",
+        F.col("journey_id").alias("update_id"),
+        F.col("arrival_time").alias("at"),
+        state.alias("status"),
+        F.when(state == "failed", F.concat(F.lit("payment failed in "), F.col("channel"))).alias("error"),
+    )
+
+
+def ranked_scenarios(t) -> DataFrame:
+    """Scored and ranked scenarios. The scores, one row per scenario, are checkpointed: the ranking
+    and everything after it would otherwise read all detail tables again."""
+    return sweeps.composite_rank(cut_lineage(sweeps.scenario_scores(t)))
+
+
 def simulation_scenarios(t) -> DataFrame:
     """Runs of three sweeps with the KPIs their detail tables give."""
     grids = None
@@ -481,7 +584,8 @@ BUILDERS = {
         inventory_events, inventory_snapshots, hourly_demand, purchase_orders, supplier_deliveries, inventory,
         replenishment_policy, suppliers, customer_reviews, support_tickets, points_transactions, loyalty_account,
         order_items, products, payments, customer_purchase_history, customers, customer_preferences,
-        customer_snapshots, campaign_events, campaign_interactions, engagement_log, engagement_events,
+        customer_snapshots, unmet_demand, stock_deltas, carts, order_states, order_updates, channel_customers,
+        scenario_updates, ranked_scenarios, campaign_events, campaign_interactions, engagement_log, engagement_events,
         simulation_scenarios,
     )
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyhouse.twins import catalogue
+from tallyhouse.twins import catalogue, jobs
 from tallyhouse.twins.views import with_views
 
 
 def statements() -> dict[str, str]:
-    return {key: with_views(sql) for key, sql in catalogue.TWINS.items()}
+    twins = {**catalogue.TWINS, **jobs.TWINS}
+    return {key: with_views(sql, jobs.VIEWS) for key, sql in twins.items()}

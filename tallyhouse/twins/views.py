@@ -121,6 +121,19 @@ VIEWS: dict[str, str] = {
             CASE WHEN po_status = 'RECEIVED' THEN days END AS actual_lead_time_days,
             CASE WHEN po_status = 'RECEIVED' THEN days <= expected_lead_time_days * 1.1::DOUBLE END AS on_time,
             CASE WHEN po_status = 'RECEIVED' THEN delivered < order_quantity END AS short_shipped, po_status FROM purchase_orders""",
+    "unmet_demand": f"""
+        SELECT {MOVES}, event_id, sku, location AS location_id, event_time AS queued_at, LEAST(-quantity_change, -quantity_after) AS quantity,
+            -quantity_change AS requested, GREATEST(0, quantity_after - quantity_change) AS available
+        FROM inventory_log WHERE event_type = 'SALE' AND quantity_after < 0""",
+    "channel_customers": f"""
+        SELECT customer_id, channel, CAST((31 - MAX(FLOOR(arrival_time / 1440)) FILTER (WHERE completed)) * 7 AS INTEGER) AS recency_days,
+            COUNT(*) FILTER (WHERE completed) AS purchase_count, COALESCE({total('CASE WHEN completed THEN total_amount END')}, 0) AS total_spend,
+            COUNT(*) FILTER (WHERE abandoned) % 6 AS unresponsive_count FROM customer_journeys GROUP BY 1, 2""",
+    "carts": f"""
+        SELECT {KEY} AS cart_id, l_orderkey AS order_id, l_suppkey AS customer_id, CASE l_linestatus WHEN 'O' THEN 'active' ELSE 'closed' END AS status,
+            l_partkey AS sku1, CAST(l_quantity AS INTEGER) AS qty1, FLOOR(l_extendedprice / l_quantity * 100 + 0.5::DOUBLE) / 100 AS price1,
+            l_partkey + CASE WHEN l_linenumber % 7 = 0 THEN 10000000000 ELSE 0 END AS sku2,
+            CASE l_returnflag WHEN 'A' THEN 'paypal' ELSE 'credit_card' END AS payment_method FROM lineitem""",
     "suppliers": "SELECT s_suppkey AS supplier_id, s_name AS name, CAST(3 + s_suppkey % 10 AS DOUBLE) AS mean_lead_time_days FROM supplier",
     "customer_reviews": """
         SELECT id, review_text, score AS sentiment_score, status, created_at, retry_count,
@@ -183,9 +196,10 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 3 = 0 THEN [kinds[c_custkey % 6 + 1], kinds[(c_custkey + 2) % 6 + 1]] ELSE [kinds[c_custkey % 6 + 1]] END AS preferred_categories,
             c_custkey % 10 < 7 AS marketing_opt_in FROM (SELECT *, ['ECONOMY', 'SMALL', 'MEDIUM', 'LARGE', 'STANDARD', 'PROMO'] AS kinds FROM customer)""",
     "campaign_events": f"""
-        SELECT event_id, user_id AS customer_id, CAST(event_id AS VARCHAR) AS campaign_id, {three('k % 3', 'email', 'sms', 'push')} AS campaign_type, event_type,
-            CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS DOUBLE) AS event_time
-        FROM ev WHERE event_type IN ('view', 'click', 'purchase')""",
+        SELECT *, campaign_type || '-' || CAST(FLOOR(event_time / 168) AS INTEGER) AS campaign_id FROM (
+            SELECT event_id, user_id AS customer_id, {three('k % 3', 'email', 'sms', 'push')} AS campaign_type, event_type,
+                CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS DOUBLE) AS event_time
+            FROM ev WHERE event_type IN ('view', 'click', 'purchase'))""",
     "campaign_interactions": """
         SELECT event_id AS interaction_id, e.customer_id, campaign_id, campaign_type, event_time AS send_time, TRUE AS opened,
             event_type IN ('click', 'purchase') AS clicked, event_type = 'purchase' AS converted, ROUND(event_time % 30, 4) AS days_since_last_engagement,
@@ -219,7 +233,7 @@ def _add_scenarios() -> None:
         VIEWS[f"grid_{sweep}"] = grid_view(sweep, workflow, GRIDS[sweep])
     unmet = "CASE WHEN event_type = 'SALE' AND quantity_after < 0 THEN LEAST(ABS(quantity_change), -quantity_after) ELSE 0 END"
     got = "CASE WHEN event_type = 'RECEIPT' THEN quantity_change ELSE 0 END"
-    VIEWS["kpi_omni"] = f"""SELECT j.*, total_orders FROM (SELECT scenario_id, COUNT(*) AS visits, {total('CASE WHEN completed THEN total_amount END')} AS total_revenue,
+    VIEWS["kpi_omni"] = f"""SELECT scenario_id, visits, total_revenue, conversion_rate, total_orders FROM (SELECT scenario_id, COUNT(*) AS visits, {total('CASE WHEN completed THEN total_amount END')} AS total_revenue,
         {pct('completed')} AS conversion_rate FROM customer_journeys GROUP BY 1) j
         FULL JOIN (SELECT scenario_id, COUNT(*) AS total_orders FROM order_metrics GROUP BY 1) o USING (scenario_id)"""
     VIEWS["kpi_stock"] = f"""SELECT scenario_id, stockout_count, fill_rate, avg_lead_time FROM (SELECT scenario_id, COUNT(*) FILTER (WHERE stockout_occurred) AS stockout_count,
