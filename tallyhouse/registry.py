@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tallyhouse.plans import drilldowns, jobs, metrics
+from tallyhouse.plans import drilldowns, jobs, learning, metrics
 
 Query = Callable[..., DataFrame]
 
@@ -28,4 +28,5 @@ QUERIES: dict[str, Query] = {
     **drilldowns.ANALYSES,
     **drilldowns.FORMULAS,
     **jobs.JOBS,
+    **learning.LEARNING,
 }

@@ -255,6 +255,10 @@ def _add_scenarios() -> None:
 _add_scenarios()
 
 
+def _reads(name: str, text: str) -> bool:
+    return re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text) is not None
+
+
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a query with the views it needs, each after those it reads."""
     views = {**VIEWS, **(extra or {})}
@@ -262,13 +266,13 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
 
     def visit(text: str) -> None:
         for name in views:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
+            if name not in ordered and _reads(name, text):
                 visit_view(name)
 
     def visit_view(name: str) -> None:
         body = views[name]
         for other in views:
-            if other != name and other not in ordered and re.search(rf"\b{other}\b", body):
+            if other != name and other not in ordered and _reads(other, body):
                 visit_view(other)
         if name not in ordered:
             ordered.append(name)
