@@ -9,16 +9,16 @@ from datetime import datetime, timezone
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyhouse.functions.exprs import clv_segment, count_rows
-from tallyhouse.ml import features
+from tallyhouse.ml import features, forecast
 
-TREES, DEPTH, RATE, FOLDS, SEED = 100, 5, 0.1, 5, 42
+TREES, DEPTH, RATE, FOLDS, SEED, BINS = 100, 5, 0.1, 5, 42, 256
 TEST_PERCENT = 20
 MIN_POSITIVES = 10
 
@@ -93,22 +93,26 @@ def split(df: DataFrame, test_percent: int = TEST_PERCENT) -> tuple[DataFrame, D
     return df.filter(part >= test_percent), df.filter(part < test_percent)
 
 
-def pipeline(spec: ModelSpec, trees: int = TREES) -> Pipeline:
-    invalid = "error" if spec.strict_labels else "keep"
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetAsc", handleInvalid=invalid)
-        for c in spec.categorical
-    ]
-    inputs = [*spec.numeric, *[f"{c}_index" for c in spec.categorical]]
+def pipeline(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> Pipeline:
+    """Label codes, features, booster. A code enters as a plain number, so the count of distinct labels
+    is not bound to the number of bins; a label the training rows lack gets the code of the first."""
+    indexers, codes = [], []
+    for c in spec.categorical:
+        invalid = "error" if spec.strict_labels else "keep"
+        indexer = StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetAsc", handleInvalid=invalid)
+        fitted = indexer.fit(train)
+        indexers.append(fitted)
+        codes.append(f"IF({c}_index >= {len(fitted.labels)}, 0D, {c}_index) AS {c}_code")
+    coder = [SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__")] if codes else []
+    inputs = [*spec.numeric, *[f"{c}_code" for c in spec.categorical]]
     learner = GBTClassifier if spec.kind == "classifier" else GBTRegressor
     booster = learner(
-        featuresCol="features", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED, maxBins=256,
-        cacheNodeIds=True, checkpointInterval=10)
-    return Pipeline(stages=[*indexers, VectorAssembler(inputCols=inputs, outputCol="features"), booster])
+        featuresCol="features", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED, maxBins=BINS)
+    return Pipeline(stages=[*indexers, *coder, VectorAssembler(inputCols=inputs, outputCol="features"), booster])
 
 
 def fit(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> PipelineModel:
-    return pipeline(spec, trees).fit(train)
+    return pipeline(spec, train, trees).fit(train)
 
 
 def too_small(spec: ModelSpec, df: DataFrame) -> bool:
@@ -157,14 +161,14 @@ def cross_validate(spec: ModelSpec, train: DataFrame, trees: int = TREES, folds:
         else RegressionEvaluator(labelCol="label", metricName="r2")
     )
     validator = CrossValidator(
-        estimator=pipeline(spec, trees), estimatorParamMaps=ParamGridBuilder().build(), evaluator=scorer, numFolds=folds,
+        estimator=pipeline(spec, train, trees), estimatorParamMaps=ParamGridBuilder().build(), evaluator=scorer, numFolds=folds,
         foldCol="__fold", parallelism=folds)
     return float(validator.fit(folded).avgMetrics[0])
 
 
 def predict(spec: ModelSpec, model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Predictions beside the inputs: a probability and its class, or a value that is never negative."""
-    scored = model.transform(rows).drop("features", *[f"{c}_index" for c in spec.categorical])
+    scored = model.transform(rows).drop("features", *[f"{c}_{x}" for c in spec.categorical for x in ("index", "code")])
     if spec.kind == "regressor":
         return scored.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
     scored = scored.withColumnRenamed("rawPrediction", "probability_raw")
@@ -189,34 +193,57 @@ def sla_compliance(spec: ModelSpec, model: PipelineModel, rows: DataFrame, sla_m
     return predict(spec, model, rows).withColumn("within_sla", F.col("prediction") <= sla_minutes)
 
 
+Report = list[tuple[str, str, str, float | None]]
+
+
+def _train_one(t, spec: ModelSpec, folder: str, stamp: str, trees: int, validate: bool) -> Report:
+    rows = prepare(spec, spec.dataset(t)).persist()
+    try:
+        if too_small(spec, rows):
+            return [(spec.name, "skipped", f"fewer than {spec.min_rows} rows", None)]
+        train, test = split(rows)
+        model = fit(spec, train, trees)
+        for version in (stamp, "latest"):
+            model.write().overwrite().save(f"{folder}/{spec.name}/{version}")
+        found = evaluate(spec, model, test).collect()  # at most five figures
+        report = [(spec.name, "trained", r["metric"], r["value"]) for r in found]
+        if validate:
+            report.append((spec.name, "trained", "cv_mean", cross_validate(spec, train, trees)))
+        return report
+    finally:
+        rows.unpersist()
+
+
+def _forecast_one(t, folder: str, stamp: str) -> Report:
+    """The forecast is refitted from the demand table, so its artefact is the forecast itself."""
+    demand = features.demand(t)
+    ahead = forecast.forecast(demand)
+    for version in (stamp, "latest"):
+        ahead.write.mode("overwrite").parquet(f"{folder}/demand_forecast/{version}")
+    errors = forecast.cross_validation(demand).collect()  # one row per channel
+    return [("demand_forecast", "trained", f"mae_{r['channel']}", r["mae"]) for r in errors]
+
+
 def train_all(t, folder: str, group: str | None = None, trees: int = TREES, validate: bool = True) -> DataFrame:
     """Fit, evaluate and save every model of a group. A model that fails is reported and skipped.
 
-    Each model is saved twice: under its time and as ``latest``.
+    Each artefact is saved twice: under its time and as ``latest``.
     """
     stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-    report: list[tuple[str, str, str, float | None]] = []
-    for spec in MODELS.values():
-        if group and spec.group != group:
-            continue
+    folder = folder.rstrip("/")
+    jobs = [
+        (spec.name, lambda spec=spec: _train_one(t, spec, folder, stamp, trees, validate))
+        for spec in MODELS.values()
+        if group in (None, spec.group)
+    ]
+    if group in (None, "omnichannel"):
+        jobs.append(("demand_forecast", lambda: _forecast_one(t, folder, stamp)))
+    report: Report = []
+    for name, job in jobs:
         try:
-            rows = prepare(spec, spec.dataset(t)).persist()
-            try:
-                if too_small(spec, rows):
-                    report.append((spec.name, "skipped", f"fewer than {spec.min_rows} rows", None))
-                    continue
-                train, test = split(rows)
-                model = fit(spec, train, trees)
-                for version in (stamp, "latest"):
-                    model.write().overwrite().save(f"{folder.rstrip('/')}/{spec.name}/{version}")
-                for r in evaluate(spec, model, test).collect():  # at most six figures
-                    report.append((spec.name, "trained", r["metric"], r["value"]))
-                if validate:
-                    report.append((spec.name, "trained", "cv_mean", cross_validate(spec, train, trees)))
-            finally:
-                rows.unpersist()
+            report += job()
         except Exception as error:  # one failing model must not stop the others
-            report.append((spec.name, "failed", f"{type(error).__name__}: {str(error)[:200]}", None))
+            report.append((name, "failed", f"{type(error).__name__}: {str(error)[:200]}", None))
     return t.spark.createDataFrame(report, "model string, status string, metric string, value double")
 
 
