@@ -21,6 +21,11 @@ def fixed(c) -> Column:
     return F.floor(col(c) * F.lit(SCALE) + F.lit(0.5)).cast("double")
 
 
+def to_places(c) -> Column:
+    """Rounded to four decimals in DOUBLE arithmetic (``round`` goes through BigDecimal per row)."""
+    return fixed(c) / F.lit(SCALE)
+
+
 def total(c) -> Column:
     return F.sum(fixed(c)) / F.lit(SCALE)
 

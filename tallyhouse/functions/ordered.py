@@ -7,6 +7,9 @@ hour, an id range). Work inside a slice runs in parallel for the same key, one s
 carries the result across slices, and a join on (key, slice) puts both together. The answer equals
 the plain window, only the parallelism differs.
 
+Which keys are hot is found by one key-only count before the plan is built. ``hot_rows=None`` skips it,
+for inputs whose keys have a known bound (say, one row per calendar day).
+
 Key and slice travel as one struct column: struct equality treats NULL fields as equal, and the
 window, the aggregation and the join then share one hash partitioning of the rows.
 """
@@ -46,8 +49,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, max_keys: int =
     return found if len(found) <= max_keys else None
 
 
-def _slice_hot(df: DataFrame, keys: Sequence[str], slice_by: Column, hot_rows: int) -> DataFrame | None:
+def _slice_hot(df: DataFrame, keys: Sequence[str], slice_by: Column, hot_rows: int | None) -> DataFrame | None:
     """Rows with their slot, where only hot keys are sliced; None when no key is hot."""
+    if hot_rows is None:
+        return None
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:  # very many hot keys: slice every key, nothing is broadcast
         return _sliced(df, keys, slice_by).withColumn("__hot", F.lit(True))
@@ -67,7 +72,7 @@ def running_sum(
     value: str,
     slice_by: Column,
     out: str,
-    hot_rows: int = 2_000_000,
+    hot_rows: int | None = 2_000_000,
 ) -> DataFrame:
     """Running total of ``value`` along ``order`` within ``keys``; ``slice_by`` must follow the order.
 
@@ -87,7 +92,7 @@ def running_sum(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence, slice_by: Column, out: str, hot_rows: int = 2_000_000
+    df: DataFrame, keys: Sequence[str], order: Sequence, slice_by: Column, out: str, hot_rows: int | None = 2_000_000
 ) -> DataFrame:
     """1, 2, 3, ... along ``order`` within ``keys``.
 
@@ -112,7 +117,7 @@ def previous_value(
     value: str,
     slice_by: Column,
     out: str,
-    hot_rows: int = 2_000_000,
+    hot_rows: int | None = 2_000_000,
 ) -> DataFrame:
     """Value of the row before, along ``order`` within ``keys`` (NULL for the first row)."""
     rows = _slice_hot(df, keys, slice_by, hot_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions import ordered
-from tallyhouse.functions.exprs import count_rows, day_of_week, hour_of_day, int_sum, mean, pct, ratio, total
+from tallyhouse.functions.exprs import count_rows, day_of_week, hour_of_day, int_sum, mean, pct, to_places, total
 
 # Replenishment defaults for a product without a policy.
 POLICY_DEFAULTS = {"reorder_point": 50, "order_quantity": 100, "safety_stock": 20, "lead_time_days": 7.0}
@@ -17,9 +17,9 @@ def time_features(df: DataFrame, t: str, unit: str, hour: str = "hour", day: str
     return df.withColumn(hour, hour_of_day(t, unit)).withColumn(day, day_of_week(t, unit))
 
 
-def _latest(event_type: str, c: str) -> Column:
-    """Value of ``c`` in the latest event of a type; rows of other types have no order and drop out."""
-    return F.max_by(F.col(c), F.when(F.col("event_type") == event_type, F.col("event_time")))
+def _latest(event_type: str, *fields: str) -> Column:
+    """Fields of the latest event of a type as one struct; rows of other types have no order and drop out."""
+    return F.max_by(F.struct(*fields), F.when(F.col("event_type") == event_type, F.col("event_time")))
 
 
 def _happened(event_type: str) -> Column:
@@ -28,52 +28,60 @@ def _happened(event_type: str) -> Column:
 
 def journeys(steps: DataFrame) -> DataFrame:
     """Fold lifecycle events to one row per visit (a conditional pivot with map-side combine)."""
-    zero = F.lit(0.0)
     folded = steps.groupBy("journey_id").agg(
-        _latest("arrival", "scenario_id").alias("scenario_id"),
-        _latest("arrival", "customer_id").alias("customer_id"),
-        _latest("arrival", "channel").alias("channel"),
-        F.max(F.when(F.col("event_type") == "arrival", F.col("event_time"))).alias("arrival_time"),
-        F.coalesce(_latest("browsed", "duration"), zero).alias("browsing_duration"),
-        F.coalesce(_latest("browsed", "quantity"), F.lit(0)).alias("basket_size"),
-        F.coalesce(_latest("queued", "duration"), zero).alias("queue_wait_time"),
-        F.coalesce(_latest("checked_out", "duration"), zero).alias("checkout_time"),
-        F.coalesce(_latest("checked_out", "amount"), zero).alias("total_amount"),
-        _happened("abandoned").alias("abandoned"),
-        _latest("abandoned", "reason").alias("abandonment_reason"),
+        _latest("arrival", "scenario_id", "customer_id", "channel", "event_time").alias("arrived"),
+        _latest("browsed", "duration", "quantity").alias("browsed"),
+        _latest("queued", "duration").alias("queued"),
+        _latest("checked_out", "duration", "amount").alias("paid"),
+        _latest("abandoned", "reason").alias("left"),
+        _latest("completed", "order_id", "event_time").alias("bought"),
         _happened("payment_failed").alias("payment_failed"),
-        _happened("completed").alias("completed"),
-        _latest("completed", "order_id").alias("order_id"),
-        F.max(F.when(F.col("event_type") == "completed", F.col("event_time"))).alias("__end"),
     )
-    return (
-        time_features(folded, "arrival_time", "minutes", "arrival_hour")
-        .withColumn(
-            "total_journey_time",
-            F.when(F.col("completed"), F.round(F.col("__end") - F.col("arrival_time"), 4)).otherwise(zero),
-        )
-        .drop("__end")
+    zero = F.lit(0.0)
+    arrival, completed = F.col("arrived.event_time"), F.col("bought").isNotNull()
+    spent = F.when(completed, to_places(F.col("bought.event_time") - arrival)).otherwise(zero)
+    rows = folded.select(
+        "journey_id",
+        "arrived.scenario_id",
+        "arrived.customer_id",
+        "arrived.channel",
+        arrival.alias("arrival_time"),
+        F.coalesce("browsed.duration", zero).alias("browsing_duration"),
+        F.coalesce("browsed.quantity", F.lit(0)).alias("basket_size"),
+        F.coalesce("queued.duration", zero).alias("queue_wait_time"),
+        F.coalesce("paid.duration", zero).alias("checkout_time"),
+        F.coalesce("paid.amount", zero).alias("total_amount"),
+        F.col("left").isNotNull().alias("abandoned"),
+        F.col("left.reason").alias("abandonment_reason"),
+        "payment_failed",
+        completed.alias("completed"),
+        "bought.order_id",
+        spent.alias("total_journey_time"),
     )
+    return time_features(rows, "arrival_time", "minutes", "arrival_hour")
 
 
 def order_metrics(events: DataFrame) -> DataFrame:
     """One row per order from its lifecycle events; the latest event of a kind wins."""
     folded = events.groupBy("order_id").agg(
-        _latest("created", "scenario_id").alias("scenario_id"),
-        _latest("created", "channel").alias("channel"),
-        F.max(F.when(F.col("event_type") == "created", F.col("event_time"))).alias("order_time"),
+        _latest("created", "scenario_id", "channel", "event_time").alias("created"),
         F.max(F.when(F.col("event_type") == "fulfillment_started", F.col("event_time"))).alias("fulfillment_start_time"),
-        F.max(F.when(F.col("event_type") == "fulfilled", F.col("event_time"))).alias("fulfillment_complete_time"),
-        _latest("fulfilled", "deadline").alias("__deadline"),
+        _latest("fulfilled", "event_time", "deadline").alias("done"),
         _happened("returned").alias("returned"),
     )
-    complete = F.col("fulfillment_complete_time")
-    return (
-        time_features(folded, "order_time", "minutes", "order_hour")
-        .withColumn("fulfillment_duration", complete - F.col("fulfillment_start_time"))
-        .withColumn("on_time", complete <= F.col("__deadline"))
-        .drop("__deadline")
+    complete = F.col("done.event_time")
+    rows = folded.select(
+        "order_id",
+        "created.scenario_id",
+        "created.channel",
+        F.col("created.event_time").alias("order_time"),
+        "fulfillment_start_time",
+        complete.alias("fulfillment_complete_time"),
+        (complete - F.col("fulfillment_start_time")).alias("fulfillment_duration"),
+        (complete <= F.col("done.deadline")).alias("on_time"),
+        "returned",
     )
+    return time_features(rows, "order_time", "minutes", "order_hour")
 
 
 def inventory_events(

@@ -194,17 +194,27 @@ VARIETY = {
 }
 
 
-def variety_counts(t, workflow: str) -> DataFrame:
-    """Distinct counts per scenario, one grouped pass per table, and their sum."""
+def scenario_profile(t, workflow: str) -> DataFrame:
+    """Rows and distinct counts of every scenario of a workflow, one pass per detail table.
+
+    The distinct counts run on the combinations of their columns, not on the rows: a first grouping,
+    combined on the map side, leaves one row per combination.
+    """
     dims = {n: d for n, d in VARIETY[workflow].items() if d[0] in t}
     parts = []
-    for table in dict.fromkeys(d[0] for d in dims.values()):
+    for table in (n for n in DETAIL_TABLES[workflow] if n in t):
         here = {n: column() for n, (name, column) in dims.items() if name == table}
-        parts.append(t[table].groupBy("scenario_id").agg(*[F.count_distinct(c).alias(n) for n, c in here.items()]))
+        combos = t[table].groupBy("scenario_id", *[c.alias(n) for n, c in here.items()]).agg(count_rows().alias("__n"))
+        parts.append(
+            combos.groupBy("scenario_id").agg(
+                F.sum("__n").alias(f"__rows_{table}"), *[F.count_distinct(n).alias(n) for n in here]
+            )
+        )
     joined = reduce(lambda a, b: a.join(b, "scenario_id", "full"), parts)
-    filled = [F.coalesce(n, F.lit(0)).alias(n) for n in dims]
-    missing = [F.lit(0).cast("bigint").alias(n) for n in VARIETY[workflow] if n not in dims]
-    counts = joined.select("scenario_id", *filled, *missing)
+    row_columns = [c for c in joined.columns if c.startswith("__rows_")]
+    volume = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in row_columns])
+    filled = [(F.coalesce(n, F.lit(0)) if n in dims else F.lit(0).cast("bigint")).alias(n) for n in VARIETY[workflow]]
+    counts = joined.select("scenario_id", volume.alias("volume"), *filled)
     return counts.withColumn("variety", reduce(lambda a, b: a + b, [F.col(n) for n in VARIETY[workflow]]))
 
 
@@ -213,7 +223,7 @@ def variety_report(t, sweep: str, top: int = 10) -> DataFrame:
     workflow = workflow_of(sweep)
     names = [*VARIETY[workflow], "variety"]
     done = _of_sweep(t["simulation_scenarios"], sweep).filter("status = 'completed'").select("scenario_id")
-    rows = done.join(variety_counts(t, workflow), "scenario_id", "left")
+    rows = done.join(scenario_profile(t, workflow), "scenario_id", "left")
     rows = rows.select("scenario_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
     return rows.orderBy(F.desc("variety"), "scenario_id").limit(top)
 
@@ -227,20 +237,15 @@ def scenario_summary(scenarios: DataFrame, sweep: str, top: int = 10) -> DataFra
 
 def scenario_scores(t) -> DataFrame:
     """Volume, variety and KPI of every completed scenario of every sweep."""
-    volume = reduce(
-        DataFrame.unionByName,
-        [detail_counts(t, w).groupBy("scenario_id").agg(F.sum("row_count").alias("volume")) for w in DETAIL_TABLES],
-    )
-    variety = reduce(
-        DataFrame.unionByName, [variety_counts(t, w).select("scenario_id", "variety") for w in DETAIL_TABLES]
-    )
+    profiles = [scenario_profile(t, w).select("scenario_id", "volume", "variety") for w in DETAIL_TABLES]
+    profile = reduce(DataFrame.unionByName, profiles)
     kpi = reduce(
         lambda chosen, item: chosen.when(F.col("workflow_type") == item[0], F.col(item[1])),
         list(PRIMARY_KPI.items())[1:],
         F.when(F.col("workflow_type") == "omnichannel", F.col(PRIMARY_KPI["omnichannel"])),
     )
     done = t["simulation_scenarios"].filter("status = 'completed'")
-    rows = done.join(volume, "scenario_id", "left").join(variety, "scenario_id", "left")
+    rows = done.join(profile, "scenario_id", "left")
     return rows.select(
         "scenario_id",
         sweep_of().alias("sweep"),

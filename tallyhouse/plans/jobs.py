@@ -10,7 +10,7 @@ from tallyhouse.operators import customers as cust, facts, merge, sweeps, valida
 from tallyhouse.plans import drilldowns
 from tallyhouse.session import scratch_dir
 from tallyhouse.sources import documents, storage
-from tallyhouse.sources.derive import ENGAGE_SWEEP, MOVE_ORDER, OMNI_SWEEP, STOCK_SWEEP
+from tallyhouse.sources.derive import AS_OF, ENGAGE_SWEEP, MOVE_ORDER, OMNI_SWEEP, STOCK_SWEEP
 
 TIES = tuple(MOVE_ORDER)
 
@@ -28,7 +28,8 @@ FACTS = {
         t["engagement_log"].select("event_id", "event_time"), "event_time", "hours"),
     "F-02_journeys": lambda t: facts.journeys(t["journey_steps"]),
     "F-03_order_metrics": lambda t: facts.order_metrics(t["order_events"]),
-    "F-04_inventory_events": lambda t: t["inventory_events"],
+    "F-04_inventory_events": lambda t: facts.inventory_events(
+        t["stock_movements"], t["replenishment_policy"], tie_break=TIES).drop(*TIES),
     "F-05_hourly_demand": lambda t: facts.hourly_demand(t["customer_journeys"]),
     "F-06_inventory_snapshots": lambda t: facts.inventory_snapshots(t["inventory_events_keyed"], TIES),
     "F-07_supplier_deliveries": lambda t: facts.supplier_deliveries(t["purchase_orders"]),
@@ -73,7 +74,7 @@ CUSTOMERS = {
     "X-07_loyalty_ledger": lambda t: cust.loyalty_ledger(t["points_transactions"]),
     "X-07_purchase_points": lambda t: cust.purchase_points(t["customer_purchase_history"]),
     "X-08_churn_risk": churn_risks,
-    "X-09_customer_snapshots": lambda t: t["customer_snapshots"],
+    "X-09_customer_snapshots": lambda t: cust.customer_snapshots(t["customers"], t["customer_purchase_history"], AS_OF),
     "X-10_loyalty_account": lambda t: cust.loyalty_account(t["points_transactions"]),
     "X-10_loyalty_account_net": lambda t: cust.loyalty_account(t["points_transactions"], subtract_redemptions=True),
     "X-11_engagement_summary": lambda t: cust.engagement_summary(

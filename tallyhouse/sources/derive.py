@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.functions.exprs import day_of_week, hour_of_day, total
+from tallyhouse.functions.exprs import day_of_week, hour_of_day, to_places, total
 from tallyhouse.operators import customers as cust, facts, sweeps
 from tallyhouse.session import cut_lineage
 
@@ -53,7 +53,7 @@ def customer_journeys(t) -> DataFrame:
         F.col("user_id").alias("customer_id"),
         channel.alias("channel"),
         (_days("ts", "2024-01-01") * 1440 + F.hour("ts") * 60 + F.minute("ts")).cast("double").alias("arrival_time"),
-        F.round(F.col("value") % 45, 4).alias("browsing_duration"),
+        to_places(F.col("value") % 45).alias("browsing_duration"),
         (k % 8).alias("basket_size"),
         F.when(channel == "in_store", k % 15).otherwise(0).cast("double").alias("queue_wait_time"),
         (k % 6 + 1).cast("double").alias("checkout_time"),
@@ -64,7 +64,7 @@ def customer_journeys(t) -> DataFrame:
         F.col("value").alias("__value"),
     )
     done = F.col("completed")
-    spent = F.round(F.col("browsing_duration") + F.col("queue_wait_time") + F.col("checkout_time"), 4)
+    spent = to_places(F.col("browsing_duration") + F.col("queue_wait_time") + F.col("checkout_time"))
     return rows.select(
         *[c for c in rows.columns if c != "__value"],
         hour_of_day("arrival_time", "minutes").alias("arrival_hour"),
@@ -443,7 +443,7 @@ def campaign_interactions(t) -> DataFrame:
         F.lit(True).alias("opened"),
         kind.isin("click", "purchase").alias("clicked"),
         (kind == "purchase").alias("converted"),
-        F.round(F.col("event_time") % 30, 4).alias("days_since_last_engagement"),
+        to_places(F.col("event_time") % 30).alias("days_since_last_engagement"),
     )
     profile = t["customer_snapshots"].select(
         "customer_id", "scenario_id", "value_tier", "rfm_segment", "unresponsive_count"

@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.session import scratch_dir
 from tallyhouse.sources import derive
+from tallyhouse.sources.schemas import STORED_SCHEMAS
+from tallyhouse.sources.storage import replace_table
 
-STORED = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+# Fact tables that other tables and queries read again and again: built once, written, then scanned.
+FACT_TABLES = ("inventory_events_keyed", "inventory_snapshots", "customer_snapshots", "supplier_deliveries", "simulation_scenarios")
 
 
 class RetailTables:
     """``tables["customer_journeys"]`` -> DataFrame.
 
-    Every table is a lazy plan over the parquet files; asking for one reads nothing but the file
-    footer. ``overrides`` supplies DataFrames to use in place of a derivation: fact tables that a
-    deployment already stores, or hand-made rows in tests.
+    Every table is a lazy plan over the parquet files. ``overrides`` supplies DataFrames to use in place
+    of a derivation: fact tables that a deployment already stores, or hand-made rows in tests. With
+    ``store_facts`` the first use of a fact table writes it as parquet into the shared scratch folder and
+    every later use scans only the columns it needs.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, overrides: dict[str, DataFrame] | None = None):
-        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+    def __init__(
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        overrides: dict[str, DataFrame] | None = None,
+        store_facts: bool = False,
+    ):
+        self.spark, self.sf_dir, self.store_facts = spark, sf_dir.rstrip("/"), store_facts
         self._frames: dict[str, DataFrame] = dict(overrides or {})
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
     def __contains__(self, name: str) -> bool:
-        return name in self._frames or name in STORED or name in derive.BUILDERS
+        return name in self._frames or name in STORED_SCHEMAS or name in derive.BUILDERS
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            if name in STORED:
-                self._frames[name] = self.spark.read.parquet(self.path(name))
+            if name in STORED_SCHEMAS:
+                self._frames[name] = self.spark.read.schema(STORED_SCHEMAS[name]).parquet(self.path(name))
             else:
-                builder: Callable[[RetailTables], DataFrame] = derive.BUILDERS[name]
-                self._frames[name] = builder(self)
+                built = derive.BUILDERS[name](self)
+                stored = self.store_facts and name in FACT_TABLES
+                self._frames[name] = replace_table(built, scratch_dir(self.spark, name)) if stored else built
         return self._frames[name]
