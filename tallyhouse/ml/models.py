@@ -33,6 +33,7 @@ class ModelSpec:
     target: str
     kind: str  # "classifier" or "regressor"
     min_rows: int = 100
+    identifiers: tuple[str, ...] = ()  # keys with any number of values
     strict_labels: bool = False  # an unseen category is an error instead of the first class
 
 
@@ -51,8 +52,8 @@ MODELS = {
                   ("quantity_before", "reorder_point", "safety_stock", "on_order_qty", "event_hour", "day_of_week"), (),
                   "stockout_occurred", "classifier"),
         ModelSpec("lead_time", "inventory", features.lead_time,
-                  ("order_quantity", "day_of_week", "expected_lead_time_days"), ("supplier_id",), "actual_lead_time_days",
-                  "regressor", 50),
+                  ("order_quantity", "day_of_week", "expected_lead_time_days"), (), "actual_lead_time_days",
+                  "regressor", 50, ("supplier_id",)),
         ModelSpec("churn", "engagement", features.churn,
                   ("days_since_last_purchase", "days_since_join", "total_spend", "purchase_count", "avg_order_value",
                    "loyalty_points", "unresponsive_count", "churn_risk_score"), ("value_tier",), "churned", "classifier"),
@@ -81,8 +82,16 @@ def label_encode(df: DataFrame, model: StringIndexerModel) -> DataFrame:
 
 
 def prepare(spec: ModelSpec, df: DataFrame) -> DataFrame:
-    """Numbers as DOUBLE, categories as text, target as ``label``. Rows with a missing feature drop out."""
+    """Numbers as DOUBLE, categories as text, target as ``label``. Rows with a missing feature drop out.
+
+    An identifier keeps its number, or gets one from its hash: a label list of all keys would have to fit
+    on the driver.
+    """
     columns = [F.col(c).cast("double").alias(c) for c in spec.numeric]
+    columns += [
+        F.coalesce(F.expr(f"try_cast({c} AS DOUBLE)"), F.pmod(F.xxhash64(c), F.lit(1_000_000)).cast("double")).alias(c)
+        for c in spec.identifiers
+    ]
     columns += [F.col(c).cast("string").alias(c) for c in spec.categorical]
     return df.select(*columns, F.col(spec.target).cast("double").alias("label")).dropna()
 
@@ -104,7 +113,7 @@ def pipeline(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> Pipeline:
         indexers.append(fitted)
         codes.append(f"IF({c}_index >= {len(fitted.labels)}, 0D, {c}_index) AS {c}_code")
     coder = [SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__")] if codes else []
-    inputs = [*spec.numeric, *[f"{c}_code" for c in spec.categorical]]
+    inputs = [*spec.numeric, *spec.identifiers, *[f"{c}_code" for c in spec.categorical]]
     learner = GBTClassifier if spec.kind == "classifier" else GBTRegressor
     booster = learner(
         featuresCol="features", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED, maxBins=BINS)
@@ -178,7 +187,7 @@ def predict(spec: ModelSpec, model: PipelineModel, rows: DataFrame, threshold: f
 
 def feature_importance(spec: ModelSpec, model: PipelineModel, spark: SparkSession, top: int = 5) -> DataFrame:
     """Features by importance. The list has one entry per feature of the model."""
-    names = [*spec.numeric, *spec.categorical]
+    names = [*spec.numeric, *spec.identifiers, *spec.categorical]
     weights = model.stages[-1].featureImportances.toArray()
     ranked = sorted(zip(names, (float(w) for w in weights)), key=lambda p: (-p[1], p[0]))
     rows = [(i + 1, n, w) for i, (n, w) in enumerate(ranked[:top])]

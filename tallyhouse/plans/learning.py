@@ -120,8 +120,8 @@ def stream_table(t, name: str) -> DataFrame:
 
 
 def review_lines(documents: DataFrame) -> DataFrame:
-    """Review events of the documents as JSON lines. Every 50th is sent twice, every 40th is cut off in
-    the middle and every 30th comes once more without a text."""
+    """Review events of all documents as JSON lines, with the faults of a real feed added: some are sent
+    twice, some come once more cut off in the middle, some once more without a text."""
     key = F.col("doc_id")
     at = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(windows.SIMULATION_START))) + key * 3600)
 
@@ -133,7 +133,8 @@ def review_lines(documents: DataFrame) -> DataFrame:
 
     whole = line(F.col("text"))
     lines = F.array(
-        F.when(key % 40 == 0, F.substring(whole, 1, 6)).otherwise(whole),
+        whole,
+        F.when(key % 40 == 0, F.substring(whole, 1, 6)),
         F.when(key % 50 == 0, whole),
         F.when(key % 30 == 0, line(F.lit("  "), key + 10_000_000_000)),
     )

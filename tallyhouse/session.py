@@ -36,18 +36,21 @@ def build_session(master: str | None = None, app: str = "tallyhouse", **conf: st
     return builder.getOrCreate()
 
 
+_local_base: str | None = None
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table or a stream checkpoint.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local session
     without that setting falls back to a temporary folder of this machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    global _local_base
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="tallyhouse-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base = tempfile.mkdtemp(prefix="tallyhouse-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

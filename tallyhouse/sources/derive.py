@@ -238,11 +238,12 @@ def _part_locations(t) -> DataFrame:
 
 
 def replenishment_policy(t) -> DataFrame:
+    """Policies of parts by location; the far locations plan no small parts."""
     part, loc = F.col("p_partkey"), F.col("location_id")
     suppliers = t["supplier"].agg(F.count(F.lit(1)).alias("__n"))
     return (
         _part_locations(t)
-        .filter((part + loc) % 5 < 4)
+        .filter(F.col("p_size") > loc * 3)
         .crossJoin(suppliers)  # one row
         .select(
             part.alias("sku"),
@@ -335,7 +336,9 @@ def points_transactions(t) -> DataFrame:
 
 
 def loyalty_account(t) -> DataFrame:
-    return cust.loyalty_account(t["points_transactions"].filter("customer_id % 4 <> 0"))
+    """Customers in good standing are enrolled."""
+    enrolled = t["customer"].filter("c_acctbal >= 1000").select(F.col("c_custkey").alias("customer_id"))
+    return cust.loyalty_account(t["points_transactions"].join(enrolled, "customer_id", "left_semi"))
 
 
 def order_items(t) -> DataFrame:

@@ -65,9 +65,8 @@ VIEWS = {
     "auto_routed": f"""SELECT *, subject IS NOT NULL OR cat = 'very_negative' OR (cat = 'negative' AND list_has_any(w, {_listing(DEFECT_WORDS)})) AS person FROM subjects""",
     "labelled_routed": f"""SELECT *, subject IS NOT NULL OR sentiment_category = 'very_negative' OR (sentiment_category = 'negative' AND list_has_any(w, {_listing(DEFECT_WORDS)})) AS person
         FROM subjects WHERE sentiment_category IS NOT NULL""",
-    # Ids that reach the processed reviews: whole lines, or cut-off ones that were sent twice.
     "review_results": """SELECT id, cat, s, created_at, CASE WHEN person THEN 'Needing human review' ELSE 'processed for response' END AS new_status, person
-        FROM auto_routed WHERE id % 40 <> 0 OR id % 50 = 0""",
+        FROM auto_routed""",
 }
 
 
@@ -91,9 +90,9 @@ TWINS = {
             JOIN cv_line l ON l.channel = s.channel AND l.cutoff = c.cutoff
             LEFT JOIN cv_daily d ON d.channel = s.channel AND d.cutoff = c.cutoff AND d.hour = s.hour
             LEFT JOIN cv_weekly k ON k.channel = s.channel AND k.cutoff = c.cutoff AND k.day = s.day) GROUP BY channel""",
-    "R-01_raw_review_stream": """SELECT id, review_text, 'To be processed' AS status, created_at FROM customer_reviews WHERE id % 40 <> 0 OR id % 50 = 0
+    "R-01_raw_review_stream": """SELECT id, review_text, 'To be processed' AS status, created_at FROM customer_reviews
         UNION ALL SELECT id + 10000000000, '  ', 'To be processed', created_at FROM customer_reviews WHERE id % 30 = 0""",
-    "R-02_drop_empty": """SELECT id, CAST(LENGTH(review_text) AS INTEGER) AS n_chars FROM customer_reviews WHERE id % 40 <> 0
+    "R-02_drop_empty": """SELECT id, CAST(LENGTH(review_text) AS INTEGER) AS n_chars FROM customer_reviews
         UNION ALL SELECT id, CAST(LENGTH(review_text) AS INTEGER) FROM customer_reviews WHERE id % 50 = 0""",
     "R-03_classify": """SELECT id, cat AS sentiment_category, s AS sentiment_score, ARRAY_TO_STRING(list_distinct(list_concat(good, bad))[1:5], '|') AS key_phrases,
         CAST(len(good) + len(bad) AS DOUBLE) / (len(good) + len(bad) + 1) AS confidence FROM classified""",

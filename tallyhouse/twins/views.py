@@ -66,7 +66,7 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey AS sku, CAST(loc AS INTEGER) AS location_id, (p_partkey + loc) % (SELECT COUNT(*) FROM supplier) AS supplier_id,
             CAST(p_size + 10 AS INTEGER) AS reorder_point, CAST(100 + 10 * p_size AS INTEGER) AS order_quantity,
             CAST(p_size AS INTEGER) AS safety_stock, CAST(2 + p_partkey % 9 AS DOUBLE) AS lead_time_days
-        FROM part, range(5) AS r(loc) WHERE (p_partkey + loc) % 5 < 4""",
+        FROM part, range(5) AS r(loc) WHERE p_size > loc * 3""",
     "inventory": """
         SELECT p_partkey AS sku, CAST(loc AS INTEGER) AS location_id, CAST((p_partkey * 37 + loc * 53) % 120 AS INTEGER) AS quantity_on_hand,
             CAST((p_partkey + loc) % 10 AS INTEGER) AS quantity_reserved, CAST((p_partkey * 3 + loc) % 50 AS INTEGER) AS on_order_qty,
@@ -157,7 +157,7 @@ VIEWS: dict[str, str] = {
     "loyalty_account": f"""
         SELECT *, {tier('lifetime_points', 5000, 2000, 500)} AS tier FROM (
             SELECT customer_id, CAST(SUM(GREATEST(0, points_change)) AS BIGINT) AS current_points, CAST(SUM(GREATEST(0, points_change)) AS BIGINT) AS lifetime_points
-            FROM points_transactions WHERE customer_id % 4 <> 0 GROUP BY customer_id)""",
+            FROM points_transactions JOIN customer ON c_custkey = customer_id AND c_acctbal >= 1000 GROUP BY customer_id)""",
     "order_items": """
         SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice / l_quantity AS unit_price,
             l_extendedprice AS subtotal FROM lineitem""",
