@@ -7,7 +7,7 @@ still carried as DOUBLE, so it cannot overflow on very large tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SCALE = 1e4
 
@@ -58,6 +58,16 @@ def corr_or_null(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def only_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct, evaluated once as a scalar subquery (no join)."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
+def only_value(df: DataFrame) -> Column:
+    """The single value of a one-column aggregate as a scalar subquery."""
+    return df.scalar()
+
+
 # --- time ---------------------------------------------------------------------------------------
 
 UNITS_PER_HOUR = {"minutes": 60, "hours": 1}

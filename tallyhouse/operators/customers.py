@@ -12,6 +12,7 @@ from tallyhouse.functions.exprs import (
     fixed,
     int_sum,
     mean,
+    only_value,
     pct,
     ratio,
     rfm_segment,
@@ -72,7 +73,7 @@ def recommendations(customers: DataFrame, products: DataFrame, k: int = 3, seed:
     # 2k positions of the catalogue leave k unseen ones even if k of them are liked already.
     filler = customers.select("customer_id", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1))).alias("slot"))
     filler = (
-        filler.crossJoin(everything)  # one row
+        filler.withColumn("__size", only_value(everything))
         .filter(F.col("slot") < F.col("__size"))
         .withColumn("position", F.pmod(start + F.col("slot"), F.col("__size")) + 1)
         .join(overall.drop("category"), "position")
@@ -178,8 +179,8 @@ def engagement_summary(snapshots: DataFrame, campaigns: DataFrame, tickets: Data
         one = df.agg(*[F.coalesce(v, F.lit(0.0)).cast("double").alias(n) for n, v in values.items()])
         return one.unpivot([], list(values), "name", "value").select(F.lit(section).alias("section"), "name", "value")
 
-    size = snapshots.agg(count_rows().alias("__all"))
-    segments = _counts(snapshots, "segment_pct", "rfm_segment").crossJoin(size)  # one row
+    size = only_value(snapshots.agg(count_rows()))
+    segments = _counts(snapshots, "segment_pct", "rfm_segment").withColumn("__all", size)
     segments = segments.select("section", "name", F.try_divide(F.col("value") * 100.0, F.col("__all")).alias("value"))
     resolved = F.col("status") == "resolved"
     parts = [
@@ -262,4 +263,5 @@ def spend_stagnation(snapshots: DataFrame) -> DataFrame:
             "__overall"
         )
     )
-    return snapshots.crossJoin(overall).agg(pct(own < F.col("__overall") * 0.5).alias("value"))  # one row
+    rows = snapshots.withColumn("__overall", only_value(overall))
+    return rows.agg(pct(own < F.col("__overall") * 0.5).alias("value"))

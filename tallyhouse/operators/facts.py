@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions import ordered
-from tallyhouse.functions.exprs import count_rows, day_of_week, hour_of_day, int_sum, mean, pct, to_places, total
+from tallyhouse.functions.exprs import count_rows, day_of_week, hour_of_day, int_sum, mean, only_row, pct, to_places, total
 
 # Replenishment defaults for a product without a policy.
 POLICY_DEFAULTS = {"reorder_point": 50, "order_quantity": 100, "safety_stock": 20, "lead_time_days": 7.0}
@@ -195,7 +195,7 @@ def fifo_backorders(queue: DataFrame, stock: DataFrame, tie_break: tuple[str, ..
 
 
 def workflow_rollup(journeys_df: DataFrame, orders: DataFrame, stockouts: DataFrame) -> DataFrame:
-    """Run summary in one row: two aggregation passes and the lost sales, joined as single rows."""
+    """Run summary in one row: two aggregation passes and the lost sales."""
     done = F.col("completed")
 
     def done_mean(c: str, positive: bool = False) -> Column:
@@ -236,7 +236,8 @@ def workflow_rollup(journeys_df: DataFrame, orders: DataFrame, stockouts: DataFr
         F.coalesce(pct("returned"), zero).alias("return_rate"),
         *[F.count_if(F.col("channel") == name).alias(f"orders_{name}") for name in ("online", "in_store", "bopis")],
     )
-    return visits.crossJoin(placed).crossJoin(lost_sales(stockouts))  # three single rows
+    rows = visits.withColumn("__placed", only_row(placed)).withColumn("__lost", only_row(lost_sales(stockouts)))
+    return rows.select(*visits.columns, "__placed.*", "__lost.*")
 
 
 def lost_sales(stockouts: DataFrame) -> DataFrame:

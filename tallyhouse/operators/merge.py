@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tallyhouse.functions import ordered
-from tallyhouse.functions.exprs import count_rows
+from tallyhouse.functions.exprs import count_rows, only_value
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -40,9 +40,11 @@ def merge_insert_new(
 
 def merge_counts(target: DataFrame, source: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """What a merge would do, without doing it."""
-    counts = target.agg(count_rows().alias("target_rows"))
-    counts = counts.crossJoin(source.agg(count_rows().alias("source_rows")))  # single rows
-    return counts.crossJoin(new_rows(target, source, key, order).agg(count_rows().alias("new_rows")))
+    return (
+        target.agg(count_rows().alias("target_rows"))
+        .withColumn("source_rows", only_value(source.agg(count_rows())))
+        .withColumn("new_rows", only_value(new_rows(target, source, key, order).agg(count_rows())))
+    )
 
 
 def upsert(target: DataFrame, source: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -73,7 +75,7 @@ def next_ids(existing: DataFrame, id_column: str, rows: DataFrame, order: str, s
     """
     top = existing.agg(F.greatest(F.coalesce(F.max(id_column), F.lit(0)), F.lit(start)).alias("__top"))
     numbered = ordered.row_numbers(rows, [], [order], F.floor(F.col(order) / span), "__n")
-    return numbered.crossJoin(top).withColumn("new_id", F.col("__top") + F.col("__n")).drop("__top", "__n")  # one row
+    return numbered.withColumn("new_id", only_value(top) + F.col("__n")).drop("__n")
 
 
 ORDER_ITEMS = "array<struct<sku:bigint,qty:int,price:double>>"

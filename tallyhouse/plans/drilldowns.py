@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions import ordered
-from tallyhouse.functions.exprs import activity_state, corr_or_null, count_rows, int_sum, mean, pct, ratio, total
+from tallyhouse.functions.exprs import activity_state, corr_or_null, count_rows, int_sum, mean, only_value, pct, ratio, total
 from tallyhouse.operators import customers as cust
 from tallyhouse.plans import metrics
 
@@ -148,7 +148,7 @@ DRILLS = {
     "D-61b_days_of_supply": lambda t: one(
         t["inventory_snapshots"], mean(F.when(F.col("daily_demand") > 0, ratio("quantity_on_hand", "daily_demand")))),
     "D-62_demand_spikes": lambda t: one(
-        t["inventory_snapshots"].crossJoin(t["inventory_snapshots"].agg(mean("daily_demand").alias("__m"))),  # one row
+        t["inventory_snapshots"].withColumn("__m", only_value(t["inventory_snapshots"].agg(mean("daily_demand")))),
         F.count_if(F.col("daily_demand") > F.col("__m") * 2)),
     "D-63_slow_deliveries": lambda t: one(
         t["supplier_deliveries"], mean(F.col("actual_lead_time_days") - F.col("expected_lead_time_days")), "avg_delay",

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions import ordered
-from tallyhouse.functions.exprs import total as fixed_total
+from tallyhouse.functions.exprs import only_value, total as fixed_total
 
 
 def total(x: str) -> str:
@@ -39,7 +39,7 @@ class Metric:
     table: str
     value: str
     where: str | None = None  # rows that can matter; only a pushdown aid
-    extra: tuple[str, str] | None = None  # (table, aggregate) joined as one row, named "other"
+    extra: tuple[str, str] | None = None  # (table, aggregate), a scalar subquery named "other"
 
 
 def _done(x: str) -> str:
@@ -155,7 +155,7 @@ def source(t, m: Metric) -> DataFrame:
     rows = t[m.table]
     if m.extra:
         table, aggregate = m.extra
-        rows = rows.crossJoin(t[table].agg(F.expr(aggregate).alias("other")))  # one row
+        rows = rows.withColumn("other", only_value(t[table].agg(F.expr(aggregate))))
     return rows
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.functions.exprs import day_of_week, hour_of_day, to_places, total
+from tallyhouse.functions.exprs import day_of_week, hour_of_day, only_value, to_places, total
 from tallyhouse.operators import customers as cust, facts, sweeps
 from tallyhouse.session import cut_lineage
 
@@ -240,11 +240,11 @@ def _part_locations(t) -> DataFrame:
 def replenishment_policy(t) -> DataFrame:
     """Policies of parts by location; the far locations plan no small parts."""
     part, loc = F.col("p_partkey"), F.col("location_id")
-    suppliers = t["supplier"].agg(F.count(F.lit(1)).alias("__n"))
+    suppliers = only_value(t["supplier"].agg(F.count(F.lit(1))))
     return (
         _part_locations(t)
         .filter(F.col("p_size") > loc * 3)
-        .crossJoin(suppliers)  # one row
+        .withColumn("__n", suppliers)
         .select(
             part.alias("sku"),
             loc,
