@@ -146,14 +146,14 @@ def inventory_snapshots(events: DataFrame, tie_break: tuple[str, ...] = ()) -> D
         F.coalesce(F.sum(F.when(kind == "SALE", F.abs(change))), F.lit(0)).cast("int").alias("daily_demand"),
         F.coalesce(F.sum(F.when(kind == "RECEIPT", change)), F.lit(0)).cast("int").alias("daily_receipts"),
         F.count_if(F.col("quantity_after") <= 0).cast("double").alias("stockout_hours"),
-        F.max_by("quantity_after", at).alias("quantity_on_hand"),
-        F.max_by("on_order_qty", at).alias("quantity_on_order"),
+        F.max_by(F.struct("quantity_after", "on_order_qty"), at).alias("__closing"),
         F.bool_or(
             (kind == "SALE") & (F.col("reorder_point") > 0) & (F.col("quantity_after") <= F.col("reorder_point"))
         ).alias("reorder_triggered"),
     )
     key = F.concat_ws("_", "scenario_id", *[F.col(c).cast("string") for c in ("sku", "location", "snapshot_day")])
-    return grouped.withColumn("snapshot_id", key)
+    closing = {"quantity_on_hand": F.col("__closing.quantity_after"), "quantity_on_order": F.col("__closing.on_order_qty")}
+    return grouped.withColumns({**closing, "snapshot_id": key}).drop("__closing")
 
 
 def supplier_deliveries(purchase_orders: DataFrame) -> DataFrame:
