@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyhouse.functions.exprs import clv_segment, count_rows
 from tallyhouse.ml import features, forecast
+from tallyhouse.session import cut_lineage
 
 TREES, DEPTH, RATE, FOLDS, SEED, BINS = 100, 5, 0.1, 5, 42, 256
 TEST_PERCENT = 20
@@ -97,9 +98,10 @@ def prepare(spec: ModelSpec, df: DataFrame) -> DataFrame:
 
 
 def split(df: DataFrame, test_percent: int = TEST_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the row: the same on every run and after a lost executor."""
-    part = F.pmod(F.xxhash64(F.lit(SEED), *df.columns), F.lit(100))
-    return df.filter(part >= test_percent), df.filter(part < test_percent)
+    """Seeded random train and test rows. The rows are checkpointed first: their partitions then stay as
+    they are, so the parts are the same on every read and after a lost executor."""
+    train, test = cut_lineage(df).randomSplit([100.0 - test_percent, float(test_percent)], SEED)
+    return train, test
 
 
 def pipeline(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> Pipeline:
@@ -163,7 +165,7 @@ def evaluate(spec: ModelSpec, model: PipelineModel, test: DataFrame) -> DataFram
 
 def cross_validate(spec: ModelSpec, train: DataFrame, trees: int = TREES, folds: int = FOLDS) -> float:
     """Mean score over folds: AUC of classifiers, R2 of regressors."""
-    folded = train.withColumn("__fold", F.pmod(F.xxhash64(F.lit(SEED + 1), *train.columns), F.lit(folds)).cast("int"))
+    folded = cut_lineage(train.withColumn("__fold", F.floor(F.rand(SEED + 1) * folds).cast("int")))
     scorer = (
         BinaryClassificationEvaluator(labelCol="label")
         if spec.kind == "classifier"
