@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import decontaminate
+from tallyhouse.llm import decontaminate, language, urls
 
 QUERIES = {
+    "op4_url_filter": urls.query,
+    "op8_language_id": language.query,
     "op9_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
