@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import decontaminate, language, urls
+from tallyhouse.llm import decontaminate, language, packing, urls
 
 QUERIES = {
     "op4_url_filter": urls.query,
+    "op5_best_fit_packing": packing.query,
     "op8_language_id": language.query,
     "op9_benchmark_decontamination": decontaminate.query,
 }

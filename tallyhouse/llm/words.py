@@ -91,3 +91,13 @@ def window_starts(bounds: np.ndarray, width: int) -> np.ndarray:
         at = bounds[1:-1] - cut
         valid[at[(at >= 0) & (at < len(valid))]] = False
     return np.flatnonzero(valid)
+
+
+def parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22):
+    """Slices of a batch with about `most` bytes of text each; one text is never cut."""
+    sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64))
+    share = (np.cumsum(sizes) // most).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
