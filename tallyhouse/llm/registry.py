@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import decontaminate, language, packing, urls
+from tallyhouse.llm import decontaminate, language, packing, quality, urls
 
 QUERIES = {
     "op4_url_filter": urls.query,
     "op5_best_fit_packing": packing.query,
+    "op7_quality_rules": quality.query,
     "op8_language_id": language.query,
     "op9_benchmark_decontamination": decontaminate.query,
 }
