@@ -190,7 +190,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(found: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """The rows of pieces() plus sequence_id and offset; sequences never mix groups."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         bins, offsets = place(table.column("length").to_numpy(), capacity)
         return table.drop_columns(["_group"]).append_column("sequence_id", pa.array((key[0].as_py() << 40) + bins)).append_column("offset", pa.array(offsets))
 
