@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import decontaminate, language, packing, quality, urls
+from tallyhouse.llm import decontaminate, language, packing, quality, substrings, urls
 
 QUERIES = {
     "op4_url_filter": urls.query,
     "op5_best_fit_packing": packing.query,
+    "op6_substring_dedup": substrings.query,
     "op7_quality_rules": quality.query,
     "op8_language_id": language.query,
     "op9_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
+    "op6_substring_dedup": substrings.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }

@@ -101,3 +101,11 @@ def parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22):
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def joined(found: Words, keep: np.ndarray) -> pa.Array:
+    """Each text's kept words, joined by one space."""
+    at = np.concatenate(([0], np.cumsum(keep)))[found.bounds]
+    kept = found.distinct.take(pa.array(found.codes[keep])).cast(pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), kept)
+    return pc.binary_join(lists, " ")
