@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import decontaminate, language, packing, quality, substrings, urls
+import corpus_pipeline
+from tallyhouse.llm import decontaminate, language, minhash, packing, quality, substrings, urls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_minhash_near_dedup": minhash.query,
     "op4_url_filter": urls.query,
     "op5_best_fit_packing": packing.query,
     "op6_substring_dedup": substrings.query,
@@ -13,6 +16,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
+    "op1_minhash_near_dedup": minhash.ORACLE,
     "op6_substring_dedup": substrings.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }

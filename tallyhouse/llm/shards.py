@@ -26,11 +26,11 @@ def text_mark(text: str = "text") -> Column:
     return F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1).cast("long"))
 
 
-def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, mark, text) dealt by `shard`, and the number of shards."""
+def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(doc_id, mark, text) and the columns to carry along, dealt by `shard`; and the number of shards."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("text"), F.count("*").alias("rows")).first()
     shards = max(1, -(-((size.text or 0) + 16 * size.rows) // shard_bytes))
-    marked = docs.select("doc_id", text_mark().alias("mark"), "text")
+    marked = docs.select("doc_id", text_mark().alias("mark"), "text", *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     return marked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(shards)).cast("int")).repartition(shards, "shard"), shards
 
 

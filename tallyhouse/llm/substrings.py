@@ -153,15 +153,16 @@ class _Pass:
         gone = np.cumsum(edge[:-1]) > 0
         kept = W.joined(w.words, ~gone)
         totals = np.concatenate(([0], np.cumsum(gone)))[w.words.bounds]
+        carried = [c for c in table.column_names if c.startswith("carried_")]
         return pa.table(
-            [w.ids, w.marks, w.texts, kept.cast(pa.string()), pa.array(np.diff(w.words.bounds)), pa.array(np.diff(totals))],
-            names=["doc_id", "mark", "text", "kept_text", "n_words", "n_removed"],
+            [w.ids, w.marks, w.texts, kept.cast(pa.string()), pa.array(np.diff(w.words.bounds)), pa.array(np.diff(totals)), *(table.column(c) for c in carried)],
+            names=["doc_id", "mark", "text", "kept_text", "n_words", "n_removed", *carried],
         )
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
-    """doc_id, mark, text, kept_text (kept words joined by one space), n_words and n_removed of every row."""
-    rows, shards = S.sharded(docs, shard_bytes)
+def deduplicated(docs: DataFrame, width: int = WIDTH, shard_bytes: int = S.SHARD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, mark, text, kept_text (kept words joined by one space), n_words and n_removed of every row, and the carried columns."""
+    rows, shards = S.sharded(docs, shard_bytes, carry)
     step, doc_id = _Pass(width), rows.schema["doc_id"]
 
     def ask(key, table):
@@ -193,7 +194,9 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, shard_bytes: int = S.SHARD
     late = edges.withColumn("state", F.when(F.min(order).over(over) != order, LATER).otherwise(0)).where("state > 0")
     heard = late.selectExpr("shard", "0 AS range", "CAST(NULL AS BINARY) AS data", "2 AS kind", "key", "state")
     out = [doc_id, *ddl("mark long, text string, kept_text string, n_words long, n_removed long").fields]
-    return along(lambda k, t, n: step.removed(k, t, n), notices.unionByName(heard), out)
+    out += [f for f in rows.schema.fields if f.name.startswith("carried_")]
+    found = along(lambda k, t, n: step.removed(k, t, n), notices.unionByName(heard), out)
+    return found.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
