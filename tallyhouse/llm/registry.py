@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyhouse.llm import decontaminate, language, minhash, packing, quality, substrings, urls
+from tallyhouse.llm import decontaminate, language, minhash, packing, quality, substrings, suffixes, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_minhash_near_dedup": minhash.query,
     "op4_url_filter": urls.query,
     "op5_best_fit_packing": packing.query,
+    "op10_suffix_array_dedup": suffixes.query,
     "op6_substring_dedup": substrings.query,
     "op7_quality_rules": quality.query,
     "op8_language_id": language.query,
