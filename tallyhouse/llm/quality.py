@@ -7,7 +7,7 @@ their median is that of a chi-square law, and rows beyond CUTOFF are rejected. S
 
 Every row counts. Statistics are whole numbers of 1/UNIT and their sums are exact, so partitioning changes nothing. A step is one
 aggregation by group and distance class, with partial sums before the shuffle; what one group leaves for one task is a row
-per distance class, however many rows the group has.
+per distance class and salt, however many rows the group has: rows meet their group's estimate in SALTS parts.
 
 Defined cases: null texts have no words and fail the base rule. Null languages and sources form groups of their own. A pooled group
 that is still smaller than MIN_ROWS has no estimate, and its rows are kept (d2 is null). Ids may repeat or be null.
@@ -40,6 +40,8 @@ MEDIAN = 5.3481
 CUTOFF = 100.0
 #: Least standard deviation of each statistic: many texts have no symbol or repeated line at all.
 FLOOR = [0.2, 0.08, 0.1, 0.2, 0.2, 0.1]
+#: Parts of a group; the few numbers of an estimate are repeated for each.
+SALTS = 64
 #: Distance classes per doubling, and the range of doublings they cover.
 CLASSES, LEAST, MOST = 16, -16, 40
 
@@ -185,7 +187,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     grouped = rows.groupBy(*KEY).agg(F.count("*").alias("rows"), *quartiles).where(F.col("rows") >= MIN_ROWS)
     found = grouped.mapInPandas(_start, ESTIMATE)
     for step in range(steps + 1):
-        d2 = rows.join(found.drop("rows"), KEY).withColumn("d2", distance())
+        d2 = rows.join(_salted(found), [*KEY, "salt"]).withColumn("d2", distance())
         octave = F.least(F.greatest(F.log2(F.col("d2")), F.lit(LEAST)), F.lit(MOST)) - LEAST
         place = F.coalesce(F.floor(octave * CLASSES).cast("int"), F.lit(0)).alias("class")
         sums = d2.groupBy(*KEY, place).agg(F.first("centre").alias("centre"), F.first("inverse").alias("inverse"), *_sums())
@@ -196,11 +198,16 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 KEY = ["g_lang", "g_source"]
 
 
+def _salted(found: DataFrame) -> DataFrame:
+    return found.drop("rows").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _grouped(stats: DataFrame) -> DataFrame:
     """Adds g_lang and g_source: the group whose estimate a row is judged by."""
     named = stats.withColumn("g_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).withColumn("g_own", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     large = named.where("NOT base_failed").groupBy("g_lang", "g_own").agg(F.count("*").alias("g_rows")).where(F.col("g_rows") >= MIN_ROWS)
     pooled = F.when(F.col("g_rows").isNotNull(), F.col("g_own")).otherwise("pooled")
+    named = named.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # stored, so drawn once
     return named.join(large, ["g_lang", "g_own"], "left").withColumn("g_source", pooled).drop("g_own", "g_rows")
 
 
@@ -214,10 +221,10 @@ def judged(docs: DataFrame) -> DataFrame:
     """The documents' columns other than text, plus STATISTICS, base_failed, d2 (squared distance) and kept."""
     counted = _written(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors()))
     rows = _written(_grouped(counted))
-    found = estimates(rows.where("NOT base_failed").select(*KEY, *FEATURES))
-    d2 = rows.join(found.drop("rows"), KEY, "left").withColumn("d2", F.when(F.col("centre").isNotNull(), distance()))
+    found = estimates(rows.where("NOT base_failed").select(*KEY, "salt", *FEATURES))
+    d2 = rows.join(_salted(found), [*KEY, "salt"], "left").withColumn("d2", F.when(F.col("centre").isNotNull(), distance()))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return d2.withColumn("kept", verdict).drop(*KEY, "centre", "inverse", *FEATURES)
+    return d2.withColumn("kept", verdict).drop(*KEY, "salt", "centre", "inverse", *FEATURES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
