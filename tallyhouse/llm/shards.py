@@ -101,10 +101,10 @@ def parted(values: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(values, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def gathered(table: pa.Table, keys: int) -> np.ndarray:
-    """The answers to all of a shard's keys, in order."""
+def gathered(table: pa.Table, keys: int, parts: int = 1) -> np.ndarray:
+    """The answers to all of a shard's keys, in order; where an answer has several parts, they are rows."""
     rows = sorted(zip(table.column("range").to_pylist(), table.column("data").to_pylist(), strict=True))
-    out = np.concatenate([unplaned(d) for _, d in rows]) if rows else np.zeros(0, np.uint64)
-    if len(out) != keys:
-        raise ValueError(f"{len(out)} answers to {keys} keys")
-    return out
+    out = np.concatenate([unplaned(d).reshape(parts, -1) for _, d in rows], axis=1) if rows else np.zeros((parts, 0), np.uint64)
+    if out.shape[1] != keys:
+        raise ValueError(f"{out.shape[1]} answers to {keys} keys")
+    return out[0] if parts == 1 else out
