@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyhouse.llm import decontaminate, language, minhash, ngrams, packing, quality, substrings, suffixes, urls
+from tallyhouse.llm import decontaminate, html, language, minhash, ngrams, packing, quality, substrings, suffixes, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_minhash_near_dedup": minhash.query,
+    "op2_html_extraction": html.query,
     "op3_deleted_interpolation": ngrams.query,
     "op4_url_filter": urls.query,
     "op5_best_fit_packing": packing.query,
