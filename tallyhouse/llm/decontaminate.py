@@ -7,7 +7,7 @@ item; where that is a whole window (WINDOW words, or a whole shorter item) its w
 
 Defined cases: null or wordless texts and items have no words and match nothing. An item with a null item_id marks words but is
 not counted or listed. Repeated items count once per item_id. Rows with equal or null doc_id are judged each for itself. An
-empty item table leaves every document clean. Columns other than doc_id, text, item_id are ignored.
+empty item table leaves every document clean. Other columns pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -174,6 +174,7 @@ def item_blocks(items: DataFrame, window: int, block_words: int) -> list[Automat
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents' columns plus n_words, spans (runs of hit words) and items (ids whose windows occur)."""
+    docs = docs.drop("n_words", "spans", "items")
     out = docs
     for automaton in item_blocks(items, window, block_words):
         out = _streamed(out, docs.columns, automaton)
@@ -183,9 +184,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 def _streamed(docs: DataFrame, columns: list[str], automaton: Automaton) -> DataFrame:
     """One automaton over all documents; spans and items of earlier automata are merged with its own."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    clash = {"n_words", "spans", "items"} & {c.lower() for c in columns}
-    if clash:
-        raise ValueError(f"drop or rename the columns {sorted(clash)} first")
     kept = [f for f in docs.schema.fields if f.name in columns]
     again = len(docs.columns) > len(columns)
 

@@ -10,6 +10,7 @@ block-level tags, with white space turned into one space; blocks are joined by a
 
 Defined cases: a null or empty html has the empty text, as has a page without content. Broken markup is closed as browsers do: an open
 paragraph or list item ends where the next begins, and what is open at the end of the page ends there. Ids and urls may repeat or be null.
+Other columns pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class Page(HTMLParser):
         return at + 1 if at >= 0 else -1
 
     def handle_starttag(self, tag, attrs):
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in HIDDEN:
             self.blocks.append([])
             self._end(("p",), ("button", "table", "td", "th", "caption"))
         if tag in ENDS:
@@ -90,7 +91,7 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in HIDDEN:
             self.blocks.append([])
         self._end((tag,), ())
 
@@ -204,7 +205,7 @@ def main_text(html: str | None, model: Model) -> str:
 def extracted(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
     """The columns of pages (html among them) without html, plus text and n_chars (code points)."""
     model = pages.sparkSession.sparkContext.broadcast(Model(labelled or html_labels.pages()))
-    kept = [f for f in pages.schema.fields if f.name != "html"]
+    kept = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
     schema = T.StructType([*kept, *T.StructType.fromDDL("text string, n_chars long").fields])
 
     def run(batches):

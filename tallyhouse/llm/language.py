@@ -8,6 +8,7 @@ Texts are lower-cased and read whole. Sums are integers, so partitioning and ret
 
 Defined cases: a null text or one without a letter gives `und` and score 0, as does every text if no language was learned; rows
 with a null text or label are not learned from. Repeated rows count as often as they occur. Ties go to the label that sorts first.
+Other columns pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -107,6 +108,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> DataFrame:
     """The documents' columns plus lang_pred and score (the cosine, at least 0)."""
+    docs = docs.drop("lang_pred", "score")
     unit = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((languages, unit))
 

@@ -10,7 +10,8 @@ aggregation by group and distance class, with partial sums before the shuffle; w
 per distance class and salt, however many rows the group has: rows meet their group's estimate in SALTS parts.
 
 Defined cases: null texts have no words and fail the base rule. Null languages and sources form groups of their own. A pooled group
-that is still smaller than MIN_ROWS has no estimate, and its rows are kept (d2 is null). Ids may repeat or be null.
+that is still smaller than MIN_ROWS has no estimate, and its rows are kept (d2 is null). Ids may repeat or be null. Other columns pass
+through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n
 
 def statistics(docs: DataFrame) -> DataFrame:
     """The documents' columns other than text, plus the counts in STATISTICS (n_lines: lines with a word, n_doubled: words equal to the one before)."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    results = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_doubled", "base_failed", "kept", "d2", *FEATURES, *KEY, "salt"}
+    kept = [f for f in docs.schema.fields if f.name != "text" and f.name not in results]
 
     def run(batches):
         for batch in batches:

@@ -6,6 +6,7 @@ scoring expression, so scoring is one pass without a shuffle.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged by the regression. If the
 labelled table is empty every url is allowed; if it has one class, that class is every verdict. Repeated rows are judged alike.
+Other columns pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
