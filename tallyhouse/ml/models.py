@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -83,24 +84,31 @@ def label_encode(df: DataFrame, model: StringIndexerModel) -> DataFrame:
 
 
 def prepare(spec: ModelSpec, df: DataFrame) -> DataFrame:
-    """Numbers as DOUBLE, categories as text, target as ``label``. Rows with a missing feature drop out.
+    """Numbers as DOUBLE, categories as text, target as ``label``, and whether the row is ``complete``.
 
-    An identifier keeps its number, or gets one from its hash: a label list of all keys would have to fit
-    on the driver.
+    An identifier keeps its number, or gets a negative one from 52 bits of its hash, so that the two kinds never
+    meet: a label list of all keys would have to fit on the driver.
     """
     columns = [F.col(c).cast("double").alias(c) for c in spec.numeric]
     columns += [
-        F.coalesce(F.expr(f"try_cast({c} AS DOUBLE)"), F.pmod(F.xxhash64(c), F.lit(1_000_000)).cast("double")).alias(c)
+        F.coalesce(F.expr(f"try_cast({c} AS DOUBLE)"), (F.lit(-1) - F.pmod(F.xxhash64(c), F.lit(1 << 52))).cast("double")).alias(c)
         for c in spec.identifiers
     ]
     columns += [F.col(c).cast("string").alias(c) for c in spec.categorical]
-    return df.select(*columns, F.col(spec.target).cast("double").alias("label")).dropna()
+    rows = df.select(*columns, F.col(spec.target).cast("double").alias("label"))
+    known = [F.col(c).isNotNull() for c in (*spec.numeric, *spec.identifiers, *spec.categorical)]
+    return rows.withColumn("complete", reduce(lambda a, b: a & b, known))
+
+
+def learnable(rows: DataFrame) -> DataFrame:
+    """Rows to train and test on: all features and the label are known."""
+    return rows.filter("complete AND label IS NOT NULL").drop("complete")
 
 
 def split(df: DataFrame, test_percent: int = TEST_PERCENT) -> tuple[DataFrame, DataFrame]:
     """Seeded random train and test rows. The rows are checkpointed first: their partitions then stay as
     they are, so the parts are the same on every read and after a lost executor."""
-    train, test = cut_lineage(df).randomSplit([100.0 - test_percent, float(test_percent)], SEED)
+    train, test = cut_lineage(learnable(df)).randomSplit([100.0 - test_percent, float(test_percent)], SEED)
     return train, test
 
 
@@ -157,7 +165,7 @@ def evaluate(spec: ModelSpec, model: PipelineModel, test: DataFrame) -> DataFram
     ).first()
     auc = 0.0
     if row["positives"] > MIN_POSITIVES:
-        auc = BinaryClassificationEvaluator(rawPredictionCol="probability_raw", labelCol="label").evaluate(scored)
+        auc = BinaryClassificationEvaluator(rawPredictionCol="probability_raw", labelCol="label", numBins=0).evaluate(scored)
     names = ("accuracy", "precision", "recall", "f1")
     return test.sparkSession.createDataFrame(
         [*[(n, float(row[n] or 0.0)) for n in names], ("roc_auc", float(auc))], "metric string, value double")
@@ -167,7 +175,7 @@ def cross_validate(spec: ModelSpec, train: DataFrame, trees: int = TREES, folds:
     """Mean score over folds: AUC of classifiers, R2 of regressors."""
     folded = cut_lineage(train.withColumn("__fold", F.floor(F.rand(SEED + 1) * folds).cast("int")))
     scorer = (
-        BinaryClassificationEvaluator(labelCol="label")
+        BinaryClassificationEvaluator(labelCol="label", numBins=0)
         if spec.kind == "classifier"
         else RegressionEvaluator(labelCol="label", metricName="r2")
     )
@@ -179,14 +187,26 @@ def cross_validate(spec: ModelSpec, train: DataFrame, trees: int = TREES, folds:
 
 def predict(spec: ModelSpec, model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Predictions beside the inputs: a probability and its class, or a value that is never negative."""
+    known = F.lit(True)
+    if "complete" in rows.columns:  # a row that lacks a feature goes through with a stand-in and gets no prediction
+        known = F.col("complete")
+        stand_in = {c: F.coalesce(c, F.lit(0.0)) for c in (*spec.numeric, *spec.identifiers)}
+        stand_in |= {c: F.coalesce(c, F.lit(_first_label(model, c))) for c in spec.categorical}
+        rows = rows.withColumns({f"__{c}": F.col(c) for c in stand_in}).withColumns(stand_in)
     scored = model.transform(rows).drop("features", *[f"{c}_{x}" for c in spec.categorical for x in ("index", "code")])
+    if "complete" in rows.columns:
+        scored = scored.withColumns({c: F.col(f"__{c}") for c in stand_in}).drop(*[f"__{c}" for c in stand_in])
     if spec.kind == "regressor":
-        return scored.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
+        return scored.withColumn("prediction", F.when(known, F.greatest(F.col("prediction"), F.lit(0.0))))
     scored = scored.withColumnRenamed("rawPrediction", "probability_raw")
-    scored = scored.withColumn("probability", vector_to_array("probability")[1])
+    scored = scored.withColumn("probability", F.when(known, vector_to_array("probability")[1]))
     return scored.withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
 
 
+def _first_label(model: PipelineModel, column: str) -> str:
+    return next(s.labels[0] for s in model.stages if isinstance(s, StringIndexerModel) and s.getInputCol() == column)
+
+
 def feature_importance(spec: ModelSpec, model: PipelineModel, spark: SparkSession, top: int = 5) -> DataFrame:
     """Features by importance. The list has one entry per feature of the model."""
     names = [*spec.numeric, *spec.identifiers, *spec.categorical]
@@ -208,21 +228,19 @@ Report = list[tuple[str, str, str, float | None]]
 
 
 def _train_one(t, spec: ModelSpec, folder: str, stamp: str, trees: int, validate: bool) -> Report:
-    rows = prepare(spec, spec.dataset(t)).persist()
-    try:
-        if too_small(spec, rows):
-            return [(spec.name, "skipped", f"fewer than {spec.min_rows} rows", None)]
-        train, test = split(rows)
-        model = fit(spec, train, trees)
-        for version in (stamp, "latest"):
-            model.write().overwrite().save(f"{folder}/{spec.name}/{version}")
-        found = evaluate(spec, model, test).collect()  # at most five figures
-        report = [(spec.name, "trained", r["metric"], r["value"]) for r in found]
-        if validate:
-            report.append((spec.name, "trained", "cv_mean", cross_validate(spec, train, trees)))
-        return report
-    finally:
-        rows.unpersist()
+    rows = prepare(spec, spec.dataset(t))
+    if too_small(spec, learnable(rows)):
+        return [(spec.name, "skipped", f"fewer than {spec.min_rows} rows", None)]
+    train, test = split(rows)
+    model = fit(spec, train, trees)
+    for version in (stamp, "latest"):
+        model.write().overwrite().save(f"{folder}/{spec.name}/{version}")
+    found = evaluate(spec, model, test).collect()  # at most five figures
+    report = [(spec.name, "trained", r["metric"], r["value"]) for r in found]
+    report.append((spec.name, "trained", "left_out", float(rows.filter("NOT complete OR label IS NULL").count())))
+    if validate:
+        report.append((spec.name, "trained", "cv_mean", cross_validate(spec, train, trees)))
+    return report
 
 
 def _forecast_one(t, folder: str, stamp: str) -> Report:

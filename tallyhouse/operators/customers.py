@@ -9,7 +9,6 @@ from tallyhouse.functions.exprs import (
     activity_state,
     churn_risk,
     count_rows,
-    fixed,
     int_sum,
     mean,
     only_value,
@@ -57,7 +56,7 @@ def recommendations(customers: DataFrame, products: DataFrame, k: int = 3, seed:
     )
     sizes = products.groupBy("category").agg(count_rows().alias("__size"))
     everything = products.agg(count_rows().alias("__size"))
-    start = F.pmod(F.col("customer_id") * F.lit(7919) + F.lit(seed), F.lit(1_000_003))
+    start = F.col("customer_id").cast("decimal(38,0)") * F.lit(7919) + F.lit(seed)
 
     def picks(df: DataFrame) -> DataFrame:
         return df.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -66,7 +65,7 @@ def recommendations(customers: DataFrame, products: DataFrame, k: int = 3, seed:
     liked = (
         liked.join(sizes, "category")
         .filter(F.col("slot") < F.col("__size"))
-        .withColumn("position", F.pmod(start + F.col("slot"), F.col("__size")) + 1)
+        .withColumn("position", F.pmod(start + F.col("slot"), F.col("__size")).cast("bigint") + 1)
         .join(by_category, ["category", "position"])
         .select("customer_id", "sku", F.lit(0).alias("source"), "slot")
     )
@@ -75,7 +74,7 @@ def recommendations(customers: DataFrame, products: DataFrame, k: int = 3, seed:
     filler = (
         filler.withColumn("__size", only_value(everything))
         .filter(F.col("slot") < F.col("__size"))
-        .withColumn("position", F.pmod(start + F.col("slot"), F.col("__size")) + 1)
+        .withColumn("position", F.pmod(start + F.col("slot"), F.col("__size")).cast("bigint") + 1)
         .join(overall.drop("category"), "position")
         .select("customer_id", "sku", F.lit(1).alias("source"), "slot")
     )
@@ -256,12 +255,7 @@ def customer_scores(snapshots: DataFrame) -> DataFrame:
 
 
 def spend_stagnation(snapshots: DataFrame) -> DataFrame:
-    """Share of customers whose spend per day of tenure is below half of the overall spend per day."""
+    """Share of customers whose spend per day of tenure is below the median of all."""
     own = F.try_divide(F.col("total_spend"), F.greatest(F.col("days_since_join"), F.lit(1.0)))
-    overall = snapshots.agg(
-        F.try_divide(F.sum(fixed("total_spend")) / 1e4, F.sum(F.greatest(F.col("days_since_join"), F.lit(1.0)))).alias(
-            "__overall"
-        )
-    )
-    rows = snapshots.withColumn("__overall", only_value(overall))
-    return rows.agg(pct(own < F.col("__overall") * 0.5).alias("value"))
+    middle = only_value(snapshots.agg(F.median(own).alias("__middle")))
+    return snapshots.withColumn("__middle", middle).agg(pct(own < F.col("__middle")).alias("value"))

@@ -187,15 +187,18 @@ DRILLS = {
     "D-79_sentiment_distribution": lambda t: by(
         t["customer_reviews"], "sentiment_category", [high("avg_score"), low("sentiment_category")],
         count=count_rows(), avg_score=mean("sentiment_score")),
-    "D-80_lowest_scored": lambda t: t["customer_reviews"].filter("sentiment_score IS NOT NULL")
-        .orderBy("sentiment_score", "id").limit(5).select("id", "review_text", "sentiment_score", "sentiment_category"),
+    "D-80_lowest_scored": lambda t: with_text(
+        t["customer_reviews"], "sentiment_score IS NOT NULL", ["sentiment_score", "id"], 5,
+        ["id", "review_text", "sentiment_score", "sentiment_category"]),
     "D-81_reviews_by_status": lambda t: by(t["customer_reviews"], "status", [high("count"), low("status")], count=count_rows()),
     "D-82_by_sentiment": lambda t: by(
         t["customer_reviews"], "sentiment_category", [high("count"), low("sentiment_category")], count=count_rows()),
-    "D-83_positive_detail": lambda t: t["customer_reviews"].filter(F.col("sentiment_category").isin(*POSITIVE))
-        .orderBy(high("sentiment_score"), "id").limit(5).select("id", "review_text", "sentiment_score"),
-    "D-84_negative_detail": lambda t: _negative(t).orderBy("sentiment_score", "id").limit(5)
-        .select("id", "review_text", "sentiment_score"),
+    "D-83_positive_detail": lambda t: with_text(
+        t["customer_reviews"], F.col("sentiment_category").isin(*POSITIVE), [high("sentiment_score"), "id"], 5,
+        ["id", "review_text", "sentiment_score"]),
+    "D-84_negative_detail": lambda t: with_text(
+        t["customer_reviews"], F.col("sentiment_category").isin(*NEGATIVE), ["sentiment_score", "id"], 5,
+        ["id", "review_text", "sentiment_score"]),
     "D-85_unresolved_negative": lambda t: _negative(t).filter("chatbot_statement IS NULL")
         .select("id", "review_text", "sentiment_score", "status").orderBy("sentiment_score", "id"),
     "D-86_pending_reviews": lambda t: t["customer_reviews"].filter("chatbot_statement IS NULL")
@@ -293,7 +296,7 @@ def correlation_bundle(t) -> DataFrame:
 
 def hourly_trend(hourly: DataFrame, hours: int = 24, channel: str | None = None) -> DataFrame:
     rows = hourly.filter(F.col("channel") == channel) if channel else hourly
-    return rows.orderBy(high("hour_of_simulation"), "channel", "id").limit(min(hours, 1000)).select(
+    return rows.orderBy(high("hour_of_simulation"), "channel", "id").limit(hours).select(
         "hour_of_simulation", "hour_of_day", "day_of_week", "channel", "arrival_count", "order_count",
         "abandonment_count", "revenue", "avg_basket_size", "id")
 
@@ -305,6 +308,12 @@ def demand_by_hour_of_day(hourly: DataFrame) -> DataFrame:
         avg_revenue=mean("revenue"), data_points=count_rows())
 
 
+def with_text(reviews: DataFrame, where, order: list, n: int, columns: list[str]) -> DataFrame:
+    """The first n reviews. They are ranked without their texts; only the chosen ids, n at most, are sent to the texts."""
+    chosen = reviews.filter(where).orderBy(*order).limit(n).select("id")
+    return reviews.join(F.broadcast(chosen), "id", "left_semi").filter(where).orderBy(*order).limit(n).select(*columns)
+
+
 def review_listing(reviews: DataFrame, only: str = "all", n: int = 200) -> DataFrame:
     kept = {
         "all": F.lit(True),
@@ -312,8 +321,8 @@ def review_listing(reviews: DataFrame, only: str = "all", n: int = 200) -> DataF
         "negative": F.col("sentiment_category").isin(*NEGATIVE),
         "needs_review": F.col("status") == "Needing human review",
     }[only]
-    return reviews.filter(kept).orderBy(F.desc("id")).limit(n).select(
-        "id", "review_text", "sentiment_category", "sentiment_score", "status", "chatbot_statement", "created_at")
+    columns = ["id", "review_text", "sentiment_category", "sentiment_score", "status", "chatbot_statement", "created_at"]
+    return with_text(reviews, kept, [F.desc("id")], n, columns)
 
 
 ANALYSES = {

@@ -197,6 +197,8 @@ def _upsert(t) -> DataFrame:
 KEYS = {
     "orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"],
     "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"],
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"],
+    "conversations": ["conv_id", "turn"],
 }
 
 

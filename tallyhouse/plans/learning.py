@@ -96,7 +96,13 @@ def train_everything(t) -> DataFrame:
 MODELS = {
     "P-12_label_encode": label_encode,
     "P-13_conversion_predictions": predictions("conversion"),
+    "P-13_stockout_predictions": predictions("stockout"),
+    "P-13_churn_predictions": predictions("churn"),
+    "P-13_campaign_predictions": predictions("campaign"),
     "P-14_clv_predictions": predictions("clv"),
+    "P-14_order_value_predictions": predictions("order_value"),
+    "P-14_fulfillment_predictions": predictions("fulfillment"),
+    "P-14_lead_time_predictions": predictions("lead_time"),
     "P-15_classifier_evaluation": evaluation("conversion"),
     "P-15_regressor_evaluation": evaluation("clv"),
     "P-16_feature_importance": importance("conversion"),
@@ -200,14 +206,16 @@ def route(t) -> DataFrame:
 
 def _process(t) -> DataFrame:
     lines = review_lines(stream_table(t, "documents"))
-    return reviews.once(reviews.process(lines, processed_at=F.col("created_at")))
+    return reviews.process(lines, processed_at=F.col("created_at"))
 
 
 def publish(t) -> DataFrame:
     path, checkpoint = scratch_dir(t.spark, "events"), scratch_dir(t.spark, "stream-checkpoint")
     reviews.publish(_process(t), path, checkpoint).awaitTermination()
-    events = t.spark.read.text(path).select(F.from_json("value", "id bigint, status string, created_at timestamp, retry_count int").alias("e"))
-    return _plain_time(events.select("e.*"), "created_at")
+    fields = ("id bigint, review_text string, sentiment_category string, sentiment_score double, status string, chatbot_statement string, "
+              "created_at timestamp, processed_at timestamp, error_message string, retry_count int, last_retry_at timestamp")
+    events = t.spark.read.text(path).select(F.from_json("value", fields).alias("e")).select("e.*")
+    return _plain_time(events.dropDuplicates(["id"]), "created_at", "processed_at", "last_retry_at")
 
 
 def update_results(t) -> DataFrame:
@@ -243,10 +251,11 @@ def hourly(t) -> DataFrame:
 
 
 def _stored_events(t) -> DataFrame:
-    """Stock events written out once, then read as a stream."""
-    path = scratch_dir(t.spark, "inventory-events")
+    """Stock events as a stream: of the stored table where there is one."""
     events = t["inventory_events_keyed"]
-    events.write.parquet(path)
+    if (path := t.stored.get("inventory_events_keyed")) is None:
+        path = scratch_dir(t.spark, "inventory-events")
+        events.write.parquet(path)
     return t.spark.readStream.schema(events.schema).parquet(path)
 
 

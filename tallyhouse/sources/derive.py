@@ -26,7 +26,7 @@ MOVE_ORDER = (
 
 
 def scenario(sweep: str, index: Column) -> Column:
-    return F.concat(F.lit(f"{sweep}_"), F.lpad(index.cast("string"), 4, "0"))
+    return F.concat(F.lit(f"{sweep}_"), F.format_string("%04d", index.cast("bigint")))
 
 
 def pick(index: Column, *names: str) -> Column:
@@ -283,7 +283,7 @@ def customer_reviews(t) -> DataFrame:
         F.col("text").alias("review_text"),
         score.alias("sentiment_score"),
         status.alias("status"),
-        (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias(
+        (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(days=F.floor(F.col("doc_id") / 24).cast("int"), hours=(F.col("doc_id") % 24).cast("int"))).alias(
             "created_at"
         ),
         (F.col("doc_id") % 5).cast("int").alias("retry_count"),
@@ -421,10 +421,10 @@ def customer_snapshots(t) -> DataFrame:
 
 
 def campaign_events(t) -> DataFrame:
-    """Reactions to the campaigns, one campaign per type and week."""
+    """Sends of the campaigns and their outcome, one campaign per type and week. Other events are sends nobody opened."""
     kind = pick(_k() % 3, "email", "sms", "push")
     at = _days("ts", "2024-01-01") * 24 + F.hour("ts")
-    return t["events"].filter("event_type in ('view', 'click', 'purchase')").select(
+    return t["events"].select(
         "event_id",
         F.col("user_id").alias("customer_id"),
         F.concat(kind, F.lit("-"), F.floor(at / 168).cast("string")).alias("campaign_id"),
@@ -435,7 +435,8 @@ def campaign_events(t) -> DataFrame:
 
 
 def campaign_interactions(t) -> DataFrame:
-    """Each view, click or purchase read as one campaign send and its outcome."""
+    """Each event read as one campaign send and its outcome. Profiles are unique by customer, which lets Spark leave the join
+    out where no column of them is read."""
     kind = F.col("event_type")
     sends = t["campaign_events"].select(
         F.col("event_id").alias("interaction_id"),
@@ -443,14 +444,14 @@ def campaign_interactions(t) -> DataFrame:
         "campaign_id",
         "campaign_type",
         F.col("event_time").alias("send_time"),
-        F.lit(True).alias("opened"),
+        kind.isin("view", "click", "purchase").alias("opened"),
         kind.isin("click", "purchase").alias("clicked"),
         (kind == "purchase").alias("converted"),
         to_places(F.col("event_time") % 30).alias("days_since_last_engagement"),
     )
     profile = t["customer_snapshots"].select(
         "customer_id", "scenario_id", "value_tier", "rfm_segment", "unresponsive_count"
-    )
+    ).dropDuplicates(["customer_id"])
     return sends.join(profile, "customer_id", "left")
 
 

@@ -31,6 +31,7 @@ class RetailTables:
     ):
         self.spark, self.sf_dir, self.store_facts = spark, sf_dir.rstrip("/"), store_facts
         self._frames: dict[str, DataFrame] = dict(overrides or {})
+        self.stored: dict[str, str] = {}  # where fact tables were written
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -45,5 +46,8 @@ class RetailTables:
             else:
                 built = derive.BUILDERS[name](self)
                 stored = self.store_facts and name in FACT_TABLES
-                self._frames[name] = replace_table(built, scratch_dir(self.spark, name)) if stored else built
+                if stored:
+                    self.stored[name] = scratch_dir(self.spark, name)
+                    built = replace_table(built, self.stored[name])
+                self._frames[name] = built
         return self._frames[name]

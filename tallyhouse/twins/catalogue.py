@@ -275,7 +275,7 @@ ANALYSES = {
         _long(ORDERS, "channel", "channel", "avg_fulfillment ontime_rate return_rate"),
         _long(STATES, "activity_state", "activity_state", "customers avg_spend avg_churn_risk avg_purchases")]),
     "A-10_hourly_trend": f"SELECT {TREND_COLUMNS} FROM hourly_demand ORDER BY hour_of_simulation DESC, channel, id LIMIT 24",
-    "A-10_hourly_trend_online": f"SELECT {TREND_COLUMNS} FROM hourly_demand WHERE channel = 'online' ORDER BY hour_of_simulation DESC, channel, id LIMIT 1000",
+    "A-10_hourly_trend_online": f"SELECT {TREND_COLUMNS} FROM hourly_demand WHERE channel = 'online' ORDER BY hour_of_simulation DESC, channel, id LIMIT 5000",
     "A-11_demand_by_hour_of_day": g(
         "hour_of_day", H, avg_arrivals=mean("arrival_count"), avg_orders=mean("order_count"),
         avg_abandonments=mean("abandonment_count"), avg_revenue=mean("revenue"), data_points=N),
@@ -301,7 +301,7 @@ FORMULAS = {
                 WHERE before IS NOT NULL))
         WHERE from_state IS NOT NULL GROUP BY 1, 2""",
     "G-05_spend_stagnation": v(
-        pct(f"total_spend / {TENURE} < (SELECT ({total('total_spend')}) / SUM({TENURE}) FROM customer_snapshots) * 0.5::DOUBLE"), S),
+        pct(f"total_spend / {TENURE} < (SELECT MEDIAN(total_spend / {TENURE}) FROM customer_snapshots)"), S),
     "G-06_service_issues": v(N, ST, "status <> 'resolved' OR satisfaction_rating <= 3"),
     "G-07_open_by_segment": g("value_tier, rfm_segment", CI, open_rate=pct("opened"), sends=N),
     "G-08_fatigue_trend": g("CAST(FLOOR(send_time / 24) AS INTEGER) AS day", CI, avg_unresponsive=mean("unresponsive_count")),

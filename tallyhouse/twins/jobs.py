@@ -110,7 +110,7 @@ CUSTOMERS = {
         WHERE rfm_segment = 'Champions' AND customer_id IN (SELECT customer_id FROM customer_preferences WHERE marketing_opt_in)""",
     "X-13_campaign_interactions": """SELECT e.customer_id, campaign_id, campaign_type, send_time, events, opened, clicked, converted, days_since_last_engagement,
             value_tier, rfm_segment, unresponsive_count
-        FROM (SELECT customer_id, campaign_id, campaign_type, MIN(event_time) AS send_time, COUNT(*) AS events, TRUE AS opened,
+        FROM (SELECT customer_id, campaign_id, campaign_type, MIN(event_time) AS send_time, COUNT(*) AS events, BOOL_OR(event_type IN ('view', 'click', 'purchase')) AS opened,
             BOOL_OR(event_type IN ('click', 'purchase')) AS clicked, BOOL_OR(event_type = 'purchase') AS converted,
             (MAX(event_time) - MAX(event_time) FILTER (WHERE event_type IN ('click', 'purchase'))) / 24 AS days_since_last_engagement
             FROM campaign_events GROUP BY 1, 2, 3) e JOIN customer_snapshots s ON s.customer_id = e.customer_id""",
@@ -180,7 +180,7 @@ def _summary(workflow: str) -> str:
 VIEWS = {
     "rec_numbered": """SELECT sku, category, ROW_NUMBER() OVER (PARTITION BY category ORDER BY sku) AS position, COUNT(*) OVER (PARTITION BY category) AS size,
         ROW_NUMBER() OVER (ORDER BY sku) AS overall, COUNT(*) OVER () AS everything FROM products""",
-    "rec_starts": "SELECT customer_id, preferred_categories, (customer_id * 7919 + 42) % 1000003 AS start FROM customer_preferences",
+    "rec_starts": "SELECT customer_id, preferred_categories, customer_id * 7919 + 42 AS start FROM customer_preferences",
     "rec_picks": """SELECT l.customer_id, n.sku, 0 AS source, slot FROM (SELECT customer_id, start, UNNEST(preferred_categories) AS cat FROM rec_starts) l, range(3) AS r(slot), rec_numbered n
             WHERE n.category = l.cat AND slot < n.size AND n.position = (l.start + slot) % n.size + 1
         UNION ALL SELECT s.customer_id, n.sku, 1, slot FROM rec_starts s, range(6) AS r(slot), rec_numbered n
@@ -248,6 +248,8 @@ CUSTOMER_DOCS = """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_na
 KEYS = {
     "orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"],
     "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"], "labels": ["doc_id"],
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"],
+    "conversations": ["conv_id", "turn"],
 }
 MERGE_SOURCE = """SELECT o_orderkey, o_custkey, o_totalprice, l_linenumber AS first_line, l_partkey AS first_part FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 

@@ -100,7 +100,9 @@ TWINS = {
         CASE WHEN id % 4 = 3 THEN '' ELSE status END AS key_phrases, CAST(CASE WHEN id % 4 = 3 THEN 0 ELSE 0.5 END AS DOUBLE) AS confidence FROM customer_reviews""",
     "R-05_route_response": f"""SELECT id, CASE WHEN person THEN 'Needing human review' ELSE 'processed for response' END AS status,
         CASE WHEN NOT person THEN {_replies('sentiment_category')} END AS chatbot_statement, person AS needs_human_review, subject AS override_reason FROM labelled_routed""",
-    "R-06_publish_processed": "SELECT id, new_status AS status, created_at, 0 AS retry_count FROM review_results",
+    "R-06_publish_processed": f"""SELECT p.id, review_text, cat AS sentiment_category, s AS sentiment_score, new_status AS status, CASE WHEN NOT person THEN {_replies('cat')} END AS chatbot_statement,
+            p.created_at, p.created_at AS processed_at, CAST(NULL AS VARCHAR) AS error_message, 0 AS retry_count, CAST(NULL AS TIMESTAMP) AS last_retry_at
+        FROM review_results p JOIN customer_reviews r ON r.id = p.id""",
     "R-07_update_review_result": f"""SELECT r.id, CASE WHEN p.id IS NULL THEN sentiment_category ELSE cat END AS sentiment_category, CASE WHEN p.id IS NULL THEN sentiment_score ELSE s END AS sentiment_score,
             COALESCE(new_status, status) AS status, CASE WHEN p.id IS NULL THEN chatbot_statement WHEN NOT person THEN {_replies('cat')} END AS chatbot_statement, p.created_at AS processed_at
         FROM customer_reviews r LEFT JOIN review_results p ON p.id = r.id""",

@@ -199,9 +199,9 @@ VIEWS: dict[str, str] = {
         SELECT *, campaign_type || '-' || CAST(FLOOR(event_time / 168) AS INTEGER) AS campaign_id FROM (
             SELECT event_id, user_id AS customer_id, {three('k % 3', 'email', 'sms', 'push')} AS campaign_type, event_type,
                 CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS DOUBLE) AS event_time
-            FROM ev WHERE event_type IN ('view', 'click', 'purchase'))""",
+            FROM ev)""",
     "campaign_interactions": """
-        SELECT event_id AS interaction_id, e.customer_id, campaign_id, campaign_type, event_time AS send_time, TRUE AS opened,
+        SELECT event_id AS interaction_id, e.customer_id, campaign_id, campaign_type, event_time AS send_time, event_type IN ('view', 'click', 'purchase') AS opened,
             event_type IN ('click', 'purchase') AS clicked, event_type = 'purchase' AS converted, ROUND(event_time % 30, 4) AS days_since_last_engagement,
             scenario_id, value_tier, rfm_segment, unresponsive_count
         FROM campaign_events e LEFT JOIN customer_snapshots s ON s.customer_id = e.customer_id""",

@@ -11,6 +11,8 @@ import pytest
 
 import __spark_entry__ as contract
 from gate import compare
+from tallyhouse import registry
+from tallyhouse.twins import registry as twin_registry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -22,8 +24,8 @@ SAMPLE = (
     "R-04_parse_classifier_json R-07_update_review_result R-11_streaming_hourly_demand"
 ).split()
 
-TWINS = contract.oracle_sql()
-QUERIES = contract.queries()
+TWINS = twin_registry.statements()
+QUERIES = {k: contract.queries()[k] for k in registry.QUERIES}
 KEYS = sorted(TWINS) if os.environ.get("FULL_GATE") else SAMPLE
 
 

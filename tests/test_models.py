@@ -85,3 +85,24 @@ def test_forecast_follows_trend_and_day(spark):
     assert all(abs(r["yhat"] - (r["trend"] + r["daily"] + r["weekly"])) < 1e-5 for r in got)
     errors = forecast.cross_validation(demand).first()
     assert errors["points"] == 144 and errors["mae"] >= 0
+
+
+def test_rows_without_a_feature_get_no_prediction_but_stay(spark):
+    spec = models.MODELS["conversion"]
+    rows = [("online" if k % 2 else "store", k % 24, k % 7, float(k % 30), k % 5 + 1, 1.0, k % 3 == 0) for k in range(200)]
+    names = "channel string, arrival_hour int, day_of_week int, browsing_duration double, basket_size int, queue_wait_time double, completed boolean"
+    df = spark.createDataFrame([*rows, ("online", None, 1, 1.0, 1, 1.0, True), (None, 3, 1, 1.0, 1, 1.0, False)], names)
+    ready = models.prepare(spec, df)
+    assert ready.count() == 202 and models.learnable(ready).count() == 200
+    fitted = models.fit(spec, models.learnable(ready), trees=2)
+    found = models.predict(spec, fitted, ready).collect()
+    assert len(found) == 202
+    assert sum(r.prediction is None and r.probability is None for r in found) == 2
+    assert sum(r.arrival_hour is None for r in found) == 1 and sum(r.channel is None for r in found) == 1
+
+
+def test_supplier_names_keep_apart(spark):
+    spec = models.MODELS["lead_time"]
+    suppliers = [f"supplier {k}" for k in range(3000)] + [str(k) for k in range(3000)]
+    df = spark.createDataFrame([(s, 1, 1, 1.0, 2.0) for s in suppliers], "supplier_id string, order_quantity int, day_of_week int, expected_lead_time_days double, actual_lead_time_days double")
+    assert models.prepare(spec, df).select("supplier_id").distinct().count() == 6000

@@ -89,3 +89,34 @@ def test_complete_orders(spark):
     assert rows(made["orders"]) == [(1, 7, 6.0, "pending")]
     assert rows(made["order_items"]) == [(1, 1, 1, 2, 1.5, 3.0), (1, 2, 2, 1, 3.0, 3.0)]
     assert rows(made["payments"]) == [(1, 6.0, "paypal", "authorized")]
+
+
+def test_scenario_numbers_of_five_digits_stay_whole(spark):
+    from tallyhouse.sources import derive
+
+    found = spark.range(12345, 12346).select(derive.scenario("conversion", F.col("id")).alias("s")).first().s
+    assert found == "conversion_12345"
+
+
+def test_trend_honours_more_than_a_thousand_hours(spark):
+    from tallyhouse.plans import drilldowns
+
+    names = "hour_of_simulation hour_of_day day_of_week channel arrival_count order_count abandonment_count revenue avg_basket_size id".split()
+    hours = spark.range(1500).select(*[(F.lit("online") if n == "channel" else F.col("id")).alias(n) for n in names])
+    assert drilldowns.hourly_trend(hours, 5000, "online").count() == 1500
+
+
+def test_ranked_reviews_shuffle_no_text(small):
+    from tallyhouse.plans import drilldowns
+
+    small.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = drilldowns.review_listing(small["customer_reviews"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        small.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastExchange" in plan
+
+
+def test_campaign_counts_need_no_join(small):
+    plan = small["campaign_interactions"].groupBy("campaign_type").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
