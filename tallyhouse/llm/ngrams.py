@@ -88,7 +88,7 @@ class Tokens:
 def _totals(keys: list[np.ndarray], extras: list[bytes]) -> list[np.ndarray]:
     """For each shard and key: kept count, held-out count, and 1 in the first shard that has the key."""
     place, distinct = S.merged(keys)
-    both = [S.unplaned(x).reshape(2, -1) for x in extras]
+    both = [S.unpacked(x).reshape(2, -1) for x in extras]
     sums = [np.bincount(place, np.concatenate([b[k] for b in both]).astype(np.float64), len(distinct)).astype(np.uint64) for k in range(2)]
     owner = np.zeros(len(place), np.uint64)
     owner[np.unique(place, return_index=True)[1]] = 1
@@ -118,11 +118,11 @@ def counted(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
 
     def ask(key, table):
         t = Tokens(table)
-        return S.question(key[0].as_py(), t.keys, lambda s: S.planes(np.concatenate((t.kept[s], t.held[s]))), shards)
+        return S.question(key[0].as_py(), t.keys, lambda s: S.packed(np.concatenate((t.kept[s], t.held[s]))), shards)
 
     def look(key, table, answers):
         t = Tokens(table)
-        kept, held, owner = S.gathered(answers.combine_chunks(), len(t.keys), 3).astype(np.int64)
+        kept, held, owner = S.gathered(answers.combine_chunks(), len(t.keys), 3, S.unpacked).astype(np.int64)
         total = kept + held
         single, pair = total[t.single], total[t.pair]
         known = single > 0
@@ -156,7 +156,7 @@ def counted(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
             }
         )
 
-    answers = S.answered(rows.groupBy("shard").applyInArrow(ask, S.ROWS), _totals)
+    answers = S.answered(rows.groupBy("shard").applyInArrow(ask, S.ROWS), _totals, S.packed)
     out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(f"mark long, {FOUND}").fields])
     return rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(look, out)
 
@@ -186,7 +186,7 @@ def _maximised(p: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
     """doc_id, mark, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text, train)."""
-    found = R.stored(counted(docs, shard_bytes), "ngrams")
+    found = R.stored(counted(docs, shard_bytes), "ngrams", "zstd")
     rows = found.where("class IS NOT NULL").groupBy("class").agg(F.sum("times").alias("times")).collect()
     sums = {r["class"]: r.times for r in rows}
     tokens, vocabulary = sums.get(TOKENS, 0), sums.get(VOCABULARY, 0)

@@ -46,10 +46,10 @@ def by_key(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table |
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The rows, written to the shared folder and read again: no lineage, and nothing lost with an executor."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.parquet(path)
 
 

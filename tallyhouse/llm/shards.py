@@ -48,6 +48,16 @@ def unplaned(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """planes, compressed: for counts, most of which are small."""
+    data = planes(values)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return unplaned(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+
+
 def deltas(keys: np.ndarray) -> bytes:
     """Sorted keys as differences."""
     return planes(np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys)
@@ -81,12 +91,13 @@ def question(shard: int, keys: np.ndarray, extra: Callable[[slice], bytes], rang
     )
 
 
-def answered(questions: DataFrame, answer: Callable[[list[np.ndarray], list[bytes]], list[np.ndarray]]) -> DataFrame:
-    """ANSWERS rows: `answer` gets the sorted keys and extras of the shards in one range and gives a whole number per key and shard."""
+def answered(questions: DataFrame, answer: Callable[[list[np.ndarray], list[bytes]], list[np.ndarray]], write=planes) -> DataFrame:
+    """ANSWERS rows: `answer` gets the sorted keys and extras of the shards in one range and gives a whole number per key and shard,
+    which `write` turns into bytes."""
 
     def run(key, table):
         found = answer([undeltas(x.as_py()) for x in table.column("keys")], [x.as_py() for x in table.column("extra")])
-        return pa.table({"shard": table.column("shard"), "range": table.column("range"), "data": pa.array([planes(a) for a in found], pa.binary())})
+        return pa.table({"shard": table.column("shard"), "range": table.column("range"), "data": pa.array([write(a) for a in found], pa.binary())})
 
     return questions.groupBy("range").applyInArrow(run, ANSWERS)
 
@@ -101,10 +112,10 @@ def parted(values: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(values, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def gathered(table: pa.Table, keys: int, parts: int = 1) -> np.ndarray:
+def gathered(table: pa.Table, keys: int, parts: int = 1, read=unplaned) -> np.ndarray:
     """The answers to all of a shard's keys, in order; where an answer has several parts, they are rows."""
     rows = sorted(zip(table.column("range").to_pylist(), table.column("data").to_pylist(), strict=True))
-    out = np.concatenate([unplaned(d).reshape(parts, -1) for _, d in rows], axis=1) if rows else np.zeros((parts, 0), np.uint64)
+    out = np.concatenate([read(d).reshape(parts, -1) for _, d in rows], axis=1) if rows else np.zeros((parts, 0), np.uint64)
     if out.shape[1] != keys:
         raise ValueError(f"{out.shape[1]} answers to {keys} keys")
     return out[0] if parts == 1 else out
