@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tallyhouse.ml import forecast, models
+from tallyhouse.plans import learning
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +107,16 @@ def test_supplier_names_keep_apart(spark):
     suppliers = [f"supplier {k}" for k in range(3000)] + [str(k) for k in range(3000)]
     df = spark.createDataFrame([(s, 1, 1, 1.0, 2.0) for s in suppliers], "supplier_id string, order_quantity int, day_of_week int, expected_lead_time_days double, actual_lead_time_days double")
     assert models.prepare(spec, df).select("supplier_id").distinct().count() == 6000
+
+
+def test_registered_training_is_the_whole_one(small, monkeypatch):
+    asked = {}
+
+    def one(t, spec, folder, stamp, trees, validate):
+        asked[spec.name] = (trees, validate)
+        return [(spec.name, "trained", "cv_mean", 0.0)]
+
+    monkeypatch.setattr(models, "_train_one", one)
+    monkeypatch.setattr(models, "_forecast_one", lambda *_: [])
+    assert learning.MODELS["P-21_train_all"](small).count() == 8
+    assert asked == dict.fromkeys(models.MODELS, (100, True))
