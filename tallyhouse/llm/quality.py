@@ -4,14 +4,16 @@ Each text becomes a vector of transformed statistics. For every language and sou
 the rows (COVERAGE) whose covariance has the smallest determinant: each step computes all rows' Mahalanobis distances from the
 current centre and covariance and takes the mean and covariance of the nearest rows. The distances are rescaled so that
 their median is that of a chi-square law, and rows beyond CUTOFF are rejected. Sources with fewer than MIN_ROWS rows of a language are pooled into one group of that language.
+If that group is still smaller than MIN_ROWS, the query judges its rows by the estimate of all rows of all languages (widest), which
+has no least size; below MIN_ROWS rows it is not rescaled to less than the FLOOR of each statistic.
 
 Every row counts. Statistics are whole numbers of 1/UNIT and their sums are exact, so partitioning changes nothing. A step is one
 aggregation by group and distance class, with partial sums before the shuffle; what one group leaves for one task is a row
 per distance class and salt, however many rows the group has: rows meet their group's estimate in SALTS parts.
 
-Defined cases: null texts have no words and fail the base rule. Null languages and sources form groups of their own. A pooled group
-that is still smaller than MIN_ROWS has no estimate, and its rows are kept (d2 is null). Ids may repeat or be null. Other columns pass
-through; those named as a result are replaced.
+Defined cases: null texts have no words and fail the base rule. Null languages and sources form groups of their own. Without
+widest, rows of a pooled group smaller than MIN_ROWS have no estimate and are kept (d2 is null). Ids may repeat or be null. Other columns
+pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,7 +171,8 @@ def _step(classes: pd.DataFrame) -> pd.DataFrame:
     middle = 2.0 ** (LEAST + (classes["class"].iloc[int(np.searchsorted(reach, n / 2))] + 0.5) / CLASSES)
     last = bool(classes["last"].iloc[0])
     if last:  # rescale the estimate in use, so that the median distance is the chi-square law's
-        centre, inverse = classes["centre"].iloc[0], np.asarray(classes["inverse"].iloc[0]) * MEDIAN / middle
+        wider = MEDIAN / middle if n >= MIN_ROWS else min(1.0, MEDIAN / middle)
+        centre, inverse = classes["centre"].iloc[0], np.asarray(classes["inverse"].iloc[0]) * wider
     else:
         centre, inverse = _estimate(sums[: near + 1].sum(0))
     return pd.DataFrame({"g_lang": [classes["g_lang"].iloc[0]], "g_source": [classes["g_source"].iloc[0]], "rows": [int(n)], "centre": [list(centre)], "inverse": [list(inverse)]})
@@ -184,9 +187,9 @@ def _start(groups):
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse covariance of every group with MIN_ROWS rows; rows has g_lang, g_source and FEATURES."""
+    """Centre and inverse covariance of every group with MIN_ROWS rows, and of ALL with any; rows has g_lang, g_source and FEATURES."""
     quartiles = [F.array(*[F.percentile(x, q) for x in FEATURES]).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75), 1)]
-    grouped = rows.groupBy(*KEY).agg(F.count("*").alias("rows"), *quartiles).where(F.col("rows") >= MIN_ROWS)
+    grouped = rows.groupBy(*KEY).agg(F.count("*").alias("rows"), *quartiles).where((F.col("rows") >= MIN_ROWS) | (F.col("g_lang") == ALL))
     found = grouped.mapInPandas(_start, ESTIMATE)
     for step in range(steps + 1):
         d2 = rows.join(_salted(found), [*KEY, "salt"]).withColumn("d2", distance())
@@ -198,19 +201,23 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 KEY = ["g_lang", "g_source"]
+#: Both names of the group of all languages; other languages' names start with "=" or are empty.
+ALL = "all"
 
 
 def _salted(found: DataFrame) -> DataFrame:
     return found.drop("rows").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
+def _grouped(stats: DataFrame, widest: bool) -> DataFrame:
     """Adds g_lang and g_source: the group whose estimate a row is judged by."""
     named = stats.withColumn("g_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).withColumn("g_own", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    large = named.where("NOT base_failed").groupBy("g_lang", "g_own").agg(F.count("*").alias("g_rows")).where(F.col("g_rows") >= MIN_ROWS)
-    pooled = F.when(F.col("g_rows").isNotNull(), F.col("g_own")).otherwise("pooled")
+    sizes = named.groupBy("g_lang", "g_own").agg(F.count_if(~F.col("base_failed")).alias("g_rows"))
+    pool = F.sum(F.when(F.col("g_rows") < MIN_ROWS, F.col("g_rows"))).over(Window.partitionBy("g_lang"))
+    group = F.when(F.col("g_rows") >= MIN_ROWS, F.col("g_own")).when(F.lit(not widest) | (pool >= MIN_ROWS), "pooled").otherwise(ALL)
     named = named.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # stored, so drawn once
-    return named.join(large, ["g_lang", "g_own"], "left").withColumn("g_source", pooled).drop("g_own", "g_rows")
+    placed = named.join(sizes.withColumn("g_source", group).drop("g_rows"), ["g_lang", "g_own"], "left").drop("g_own")
+    return placed.withColumn("g_lang", F.when(F.col("g_source") == ALL, ALL).otherwise(F.col("g_lang")))
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -219,11 +226,14 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, widest: bool = False) -> DataFrame:
     """The documents' columns other than text, plus STATISTICS, base_failed, d2 (squared distance) and kept."""
     counted = _written(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors()))
-    rows = _written(_grouped(counted))
-    found = estimates(rows.where("NOT base_failed").select(*KEY, "salt", *FEATURES))
+    rows = _written(_grouped(counted, widest))
+    known = rows.where("NOT base_failed").select(*KEY, "salt", *FEATURES)
+    if not rows.where(F.col("g_lang") == ALL).isEmpty():
+        known = known.where(F.col("g_lang") != ALL).unionByName(known.withColumns({k: F.lit(ALL) for k in KEY}))
+    found = estimates(known)
     d2 = rows.join(_salted(found), [*KEY, "salt"], "left").withColumn("d2", F.when(F.col("centre").isNotNull(), distance()))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return d2.withColumn("kept", verdict).drop(*KEY, "salt", "centre", "inverse", *FEATURES)
@@ -231,4 +241,4 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return judged(docs, widest=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")

@@ -71,6 +71,26 @@ def test_outliers_are_rejected_and_small_groups_kept(spark):
     assert quality.judged(rows.where("false")).count() == 0
 
 
+def test_outliers_of_rare_languages_are_rejected(spark, tmp_path):
+    def marked(i):
+        return " ".join(w + "$$$" for w in prose(i, 80).split())
+
+    def verdicts(name, *rows):
+        spark.createDataFrame(list(rows), "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        return {r.doc_id: r for r in quality.query(spark, str(tmp_path / name)).collect()}
+
+    clean = [(i, prose(i, 60 + i % 50), "en", "s1") for i in range(300)]
+    rare = [(1000 + i, prose(5000 + i, 70), "xx", None) for i in range(5)]
+    skewed = verdicts("skewed", *clean, *rare, *[(2000 + i, marked(i), "xx", None) for i in range(5)], (3000, None, "xx", None))
+    assert all(skewed[i].kept for i in [*range(300), *range(1000, 1005)])
+    assert not any(skewed[i].kept for i in [*range(2000, 2005), 3000])
+    assert all(r.d2 is not None for r in skewed.values())
+    even = verdicts("even", *[(i, prose(i, 60 + i % 50), "abcd"[i % 4], "s1") for i in range(200)], *[(1000 + i, marked(i), "abcd"[i % 4], "s1") for i in range(8)])
+    assert all(r.d2 is not None and r.kept == (r.doc_id < 1000) for r in even.values())
+    few = verdicts("few", *[(i, prose(9, 60), "a", "s1") for i in range(4)], (5, prose(8, 61), "b", "s1"), (1000, marked(9), "c", "s1"))
+    assert all(r.d2 is not None and r.kept == (r.doc_id < 1000) for r in few.values())
+
+
 def item_words(text):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER)) if w]
 
