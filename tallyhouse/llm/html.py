@@ -28,6 +28,7 @@ from tallyhouse.llm import html_labels
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style title template noscript svg math iframe object canvas audio video datalist".split())
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags that an opening tag ends, and tags beyond which it ends nothing.
 ENDS = {
@@ -89,6 +90,8 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if any(self.tags[k] in FOREIGN for k in self.open) and tag not in VOID:  # only svg, math and what is in them close themselves
+            self._end((tag,), ())
 
     def handle_endtag(self, tag):
         if tag not in INLINE and tag not in HIDDEN:

@@ -81,6 +81,11 @@ def test_main_text(page, text):
     assert html.main_text(page, MODEL) == text
 
 
+def test_self_closing_icons_hide_nothing_behind_them():
+    page = html.Page("<article><svg/><p>one</p><math/><svg><path/><g/></svg><p>two</p></article>")
+    assert [t for block in page.blocks for _, t in block] == ["one", "two"] and not page.hidden
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
     from math import exp, prod
