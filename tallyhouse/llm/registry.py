@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyhouse.llm import decontaminate, exact, html, language, manifest, minhash, ngrams, packing, quality, substrings, suffixes, urls
+from tallyhouse.llm import decontaminate, exact, html, language, manifest, minhash, ngrams, packing, phrases, quality, substrings, suffixes, urls
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op7_quality_rules": quality.query,
     "op8_language_id": language.query,
     "op9_benchmark_decontamination": decontaminate.query,
+    "op11_phrase_collocations": phrases.query,
     "op12_exact_dedup": exact.query,
     "op13_merkle_manifest": manifest.query,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op1_minhash_near_dedup": minhash.ORACLE,
     "op6_substring_dedup": substrings.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_phrase_collocations": phrases.ORACLE,
     "op12_exact_dedup": exact.ORACLE,
     "op13_merkle_manifest": manifest.ORACLE,
 }
