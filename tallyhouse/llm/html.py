@@ -37,6 +37,7 @@ ENDS = {
 }
 SPACE = re.compile(r"\s+")
 NAMES = re.compile(r"[a-z]+")
+COMMENT_END, COMMENT_EMPTY = re.compile(r"--!?>"), re.compile(r"-?>")
 SMOOTH = 0.5
 #: Weight of what is seen of the text: parents show the same text again.
 SEEN_AGAIN = 0.3
@@ -45,8 +46,10 @@ SEEN_AGAIN = 0.3
 class Page(HTMLParser):
     """Elements (tag, names, parent, lengths, label) and blocks (pairs of element and text) of a page."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, marked: bool = False):
+        """marked: data-label is a training mark; on other pages it is an attribute like any other."""
         super().__init__(convert_charrefs=True)
+        self.marked, self.depths = marked, {}  # of each tag, where its open elements stand in `open`
         self.tags, self.names, self.parents, self.labels = ["#"], [()], [-1], [None]
         self.chars, self.linked = [0], [0]
         self.open, self.hidden, self.links = [0], 0, 0
@@ -57,6 +60,12 @@ class Page(HTMLParser):
             self.chars[self.parents[k]] += self.chars[k]
             self.linked[self.parents[k]] += self.linked[k]
 
+    def parse_comment(self, i, report=1):  # ends with --> or --!>, or at once
+        found = COMMENT_END.search(self.rawdata, i + 4)
+        if (short := COMMENT_EMPTY.match(self.rawdata, i + 4)) is not None:
+            found = short
+        return found.end() if found else -1
+
     def parse_marked_section(self, i, report=1):  # <![...]> is a comment
         at = self.rawdata.find(">", i)
         return at + 1 if at >= 0 else -1
@@ -75,7 +84,7 @@ class Page(HTMLParser):
                 found += NAMES.findall((value or "").lower())
             elif name == "hidden" or (name == "style" and "display:none" in (value or "").replace(" ", "").lower()):
                 found.append("#hidden")
-            elif name == "data-label":
+            elif name == "data-label" and self.marked:
                 label = int(value)
         self.tags.append(tag)
         self.names.append(tuple(found))
@@ -84,13 +93,14 @@ class Page(HTMLParser):
         self.chars.append(0)
         self.linked.append(0)
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tags) - 1)
             self.hidden += tag in HIDDEN
             self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if any(self.tags[k] in FOREIGN for k in self.open) and tag not in VOID:  # only svg, math and what is in them close themselves
+        if any(self.depths.get(t) for t in FOREIGN) and tag not in VOID:  # only svg, math and what is in them close themselves
             self._end((tag,), ())
 
     def handle_endtag(self, tag):
@@ -100,16 +110,15 @@ class Page(HTMLParser):
 
     def _end(self, tags, walls):
         """Close the innermost open element of these tags, and all in it, unless a wall stands before it."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[k]]
-            if tag in tags:
-                for gone in self.open[k:]:
-                    self.hidden -= self.tags[gone] in HIDDEN
-                    self.links -= self.tags[gone] == "a"
-                del self.open[k:]
-                return
-            if tag in walls:
-                return
+        at, wall = (max((self.depths[t][-1] for t in some if self.depths.get(t)), default=0) for some in (tags, walls))
+        if not at or at < wall:
+            return
+        for gone in self.open[at:]:
+            tag = self.tags[gone]
+            self.depths[tag].pop()
+            self.hidden -= tag in HIDDEN
+            self.links -= tag == "a"
+        del self.open[at:]
 
     def handle_data(self, data):
         if self.hidden:
@@ -137,7 +146,7 @@ class Model:
         move, seen, total = Counter(), Counter(), Counter()
         features: set[str] = set()
         for html in pages:
-            page = Page(html)
+            page = Page(html, marked=True)
             state = [1]
             for k in range(1, len(page.tags)):
                 state.append(state[page.parents[k]] if page.labels[k] is None else page.labels[k])

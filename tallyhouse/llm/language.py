@@ -21,11 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm.runs import lean_stream
+
 DIMENSIONS = 1024
 SEED = 8
 UNKNOWN = "und"
 #: Texts counted together; bounds the dense count matrix.
 BLOCK = 128
+#: Distinct trigrams whose vectors are built at once.
+SLICE = 2048
+#: Characters of a longer text counted at once, up to the next space.
+PART = 1 << 20
 #: A model of more languages than this (8 KB each) is refused: it is sent to every executor.
 MAX_LANGUAGES = 5000
 
@@ -35,6 +41,30 @@ def _letter(code: int) -> np.ndarray:
     return np.where(np.random.default_rng((SEED, code)).random(DIMENSIONS) < 0.5, -1, 1).astype(np.int8)
 
 
+def _parts(text: str) -> list[str]:
+    """A long text cut at spaces into parts of PART characters or a little more; trigrams never span a space."""
+    out, start = [], 0
+    while len(text) - start > PART:
+        stop = text.find(" ", start + PART)
+        if stop < 0:
+            break
+        out.append(text[start:stop])
+        start = stop + 1
+    return [*out, text[start:]]
+
+
+def _sums(texts: list[str | None], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the trigram vectors of each group of texts, and the number of its trigrams."""
+    long = len(texts) == 1 and len(texts[0] or "") > PART
+    out, size = np.zeros((groups, DIMENSIONS), np.float64), np.zeros(groups, np.int64)
+    for part in _parts(texts[0]) if long else [texts]:
+        letters, text, code = _trigrams([part] if long else part)
+        if len(code):
+            out += _bundled(group[text], groups, letters, code)
+            size += np.bincount(group[text], minlength=groups)
+    return out, size
+
+
 def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters that occur (0: a word edge); and for each trigram, the number of its text and its code in base len(letters)."""
     low = [(t or "").lower() for t in texts]
@@ -53,11 +83,17 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _bundled(group: np.ndarray, groups: int, letters: np.ndarray, code: np.ndarray) -> np.ndarray:
     """The sum of the trigram vectors of each group."""
     distinct, at = _distinct(code, len(letters) ** 3)
-    counts = np.bincount(group * len(distinct) + at, minlength=groups * len(distinct)).reshape(groups, -1).astype(np.float32)
     base = np.stack([np.ones(DIMENSIONS, np.int8), *(_letter(int(c)) for c in letters[1:])])
-    c, rest = distinct % len(letters), distinct // len(letters)
-    vectors = np.roll(base, 2, 1)[rest // len(letters)] * np.roll(base, 1, 1)[rest % len(letters)] * base[c]
-    return counts @ vectors.astype(np.float32)
+    twice, once = np.roll(base, 2, 1), np.roll(base, 1, 1)
+    order = np.argsort(at, kind="stable") if len(distinct) > SLICE else np.arange(len(at))
+    at, group, out = at[order], group[order], np.zeros((groups, DIMENSIONS), np.float32)
+    for start in range(0, len(distinct), SLICE):  # a dense matrix of all distinct trigrams would grow with the alphabet
+        part = distinct[start : start + SLICE]
+        a, b = np.searchsorted(at, [start, start + len(part)]) if len(distinct) > SLICE else (0, len(at))
+        counts = np.bincount(group[a:b] * len(part) + at[a:b] - start, minlength=groups * len(part)).reshape(groups, -1).astype(np.float32)
+        rest = part // len(letters)
+        out += counts @ (twice[rest // len(letters)] * once[rest % len(letters)] * base[part % len(letters)]).astype(np.float32)
+    return out
 
 
 def _distinct(code: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +122,17 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     def add(batches):
         sums: dict[str, np.ndarray] = {}
         for texts, langs in _blocks(batches, "lang"):
-            letters, text, code = _trigrams(texts)
-            if not len(code):
-                continue
             names, group = np.unique(np.array(langs.to_pylist(), object).astype(str), return_inverse=True)
-            for name, vector in zip(names.tolist(), _bundled(group[text], len(names), letters, code), strict=True):
-                sums[name] = sums.get(name, 0) + vector.astype(np.int64)
+            vectors, size = _sums(texts, group, len(names))
+            for name, vector, n in zip(names.tolist(), vectors, size.tolist(), strict=True):
+                if n:
+                    sums[name] = sums.get(name, 0) + vector.astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "vector"]
         )
 
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    parts = rows.mapInArrow(add, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("place", "value"))
+    parts = rows.mapInArrow(lean_stream(add), "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("place", "value"))
     sums = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
     found = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector"))
     models = sorted(found.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r.lang)
@@ -118,11 +153,10 @@ def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> Data
             label, score = [], []
             for (texts,) in _blocks([batch]):
                 best, cosine = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                letters, text, code = _trigrams(texts)
-                if len(code) and names:
-                    sums = _bundled(text, len(texts), letters, code)
+                if names:
+                    sums, size = _sums(texts, np.arange(len(texts)), len(texts))
                     norm = np.linalg.norm(sums, axis=1)
-                    has = np.bincount(text, minlength=len(texts)) > 0
+                    has = size > 0
                     cosines = (sums @ unit.T) / np.maximum(norm, 1e-12)[:, None]
                     top = cosines.argmax(1)
                     best = [names[k] if h else UNKNOWN for k, h in zip(top.tolist(), has.tolist(), strict=True)]
@@ -133,7 +167,7 @@ def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> Data
                 [*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"]
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean_stream(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(column, folds: int, fold: int):

@@ -75,8 +75,8 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                     names=["doc_id", "mark", "n_shingles", "class", "signature"],
                 )
 
-    schema = T.StructType([doc_id, *T.StructType.fromDDL("mark long, n_shingles long, class binary, signature binary").fields])
-    return docs.select("doc_id", S.text_mark().alias("mark"), "text").mapInArrow(run, schema)
+    schema = T.StructType([doc_id, *T.StructType.fromDDL("mark binary, n_shingles long, class binary, signature binary").fields])
+    return docs.select("doc_id", S.text_mark().alias("mark"), "text").mapInArrow(R.lean_stream(run), schema)
 
 
 def _pairs(signature: np.ndarray) -> np.ndarray:
@@ -131,8 +131,8 @@ def postings(classes: DataFrame) -> DataFrame:
             }
         )
 
-    answers = S.answered(dealt.groupBy("shard").applyInArrow(ask, S.ROWS), totals)
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(post, POSTING)
+    answers = S.answered(dealt.groupBy("shard").applyInArrow(R.lean(ask), S.ROWS), totals)
+    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(R.lean(post, 2), POSTING)
 
 
 def _links(names: list[bytes], a: list[int], b: list[int]) -> pa.Table:

@@ -156,9 +156,9 @@ def counted(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
             }
         )
 
-    answers = S.answered(rows.groupBy("shard").applyInArrow(ask, S.ROWS), _totals, S.packed)
-    out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(f"mark long, {FOUND}").fields])
-    return rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(look, out)
+    answers = S.answered(rows.groupBy("shard").applyInArrow(R.lean(ask), S.ROWS), _totals, S.packed)
+    out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(f"mark binary, {FOUND}").fields])
+    return rows.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(R.lean(look, 2), out)
 
 
 def learn(classes: np.ndarray, times: np.ndarray, kept_tokens: int, vocabulary: int) -> np.ndarray:

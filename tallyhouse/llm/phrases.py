@@ -125,16 +125,16 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part_byt
                 for t in phrase_tree(slab.column("text"), slab.column("lang"), longest, part_bytes):
                     yield from _pieces(t, part, ranges, width).to_batches()
 
-    pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(shards, PIECES)
+    pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(R.lean_stream(shards), PIECES)
     while step > 1:
         step //= fan
-        pieces = pieces.groupBy("range", F.expr(f"part DIV {fan}").alias("group")).applyInArrow(_uniting(ranges, step, fan), PIECES)
+        pieces = pieces.groupBy("range", F.expr(f"part DIV {fan}").alias("group")).applyInArrow(R.lean(_uniting(ranges, step, fan)), PIECES)
 
     def finish(key, table):
         t = A.pruned(A.union([A.loaded(x.as_py()) for x in table.column("blob")]), least)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([A.dumped(A.frozen(t))], pa.binary())], names=["range", "blob"])
 
-    return R.stored(pieces.groupBy("range").applyInArrow(finish, "range int, blob binary"), "phrases"), ranges
+    return R.stored(pieces.groupBy("range").applyInArrow(R.lean(finish), "range int, blob binary"), "phrases"), ranges
 
 
 LISTED = "lang string, phrase string, words int, count long"

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm import words as W
 from tallyhouse.session import scratch_dir
 
 
@@ -42,10 +43,37 @@ def by_key(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table |
                     held.append(batch.slice(a, b - a))
         if held:
             yield from flush()
+        W.released()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
 
 
+def lean(run: Callable, tables: int = 1) -> Callable:
+    """A function of a group (of one table, or two that meet) that leaves no memory behind."""
+
+    def one(key, table):
+        found = run(key, table)
+        W.released()
+        return found
+
+    def two(key, left, right):
+        found = run(key, left, right)
+        W.released()
+        return found
+
+    return one if tables == 1 else two
+
+
+def lean_stream(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a stream of batches that leaves no memory behind."""
+
+    def stream(batches):
+        yield from run(batches)
+        W.released()
+
+    return stream
+
+
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The rows, written to the shared folder and read again: no lineage, and nothing lost with an executor."""
     path = scratch_dir(df.sparkSession, name)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm import runs as R
+
 #: Text bytes of a shard, about. A longer document has a shard to itself or shares one.
 SHARD_BYTES = 8 << 20
 ROWS = "range int, shard int, keys binary, extra binary"
@@ -22,8 +24,8 @@ ANSWERS = "shard int, range int, data binary"
 
 
 def text_mark(text: str = "text") -> Column:
-    """Tells apart texts under one doc_id, or under none."""
-    return F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1).cast("long"))
+    """Tells apart texts under one doc_id, or under none: 128 bits of a cryptographic digest; no bytes for a null text."""
+    return F.coalesce(F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16), F.lit(b""))
 
 
 def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
@@ -99,7 +101,7 @@ def answered(questions: DataFrame, answer: Callable[[list[np.ndarray], list[byte
         found = answer([undeltas(x.as_py()) for x in table.column("keys")], [x.as_py() for x in table.column("extra")])
         return pa.table({"shard": table.column("shard"), "range": table.column("range"), "data": pa.array([write(a) for a in found], pa.binary())})
 
-    return questions.groupBy("range").applyInArrow(run, ANSWERS)
+    return questions.groupBy("range").applyInArrow(R.lean(run), ANSWERS)
 
 
 def merged(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm import runs as R
 from tallyhouse.llm import shards as S
 from tallyhouse.llm import words as W
 
@@ -175,12 +176,12 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, shard_bytes: int = S.SHARD
         return S.parted(total[place].astype(np.uint64), keys)
 
     def along(run, notices: DataFrame, fields) -> DataFrame:
-        return rows.groupBy("shard").cogroup(notices.groupBy("shard")).applyInArrow(run, T.StructType(fields))
+        return rows.groupBy("shard").cogroup(notices.groupBy("shard")).applyInArrow(R.lean(run, 2), T.StructType(fields))
 
-    counts = S.answered(rows.groupBy("shard").applyInArrow(ask, S.ROWS), totals)
+    counts = S.answered(rows.groupBy("shard").applyInArrow(R.lean(ask), S.ROWS), totals)
     none = {"kind": F.lit(0), "key": F.lit(0).cast("long"), "state": F.lit(0)}
     counts = counts.withColumns(none).repartition(shards, "shard")
-    place = [doc_id, *T.StructType.fromDDL("mark long, start long").fields]
+    place = [doc_id, *T.StructType.fromDDL("mark binary, start long").fields]
     ddl = T.StructType.fromDDL
     over = Window.partitionBy("key")
     order = F.struct("doc_id", "mark", "start")
@@ -193,7 +194,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, shard_bytes: int = S.SHARD
     edges = along(lambda k, t, n: step.list_edges(k, t, n), notices, [*ddl("shard int, key long").fields, *place])
     late = edges.withColumn("state", F.when(F.min(order).over(over) != order, LATER).otherwise(0)).where("state > 0")
     heard = late.selectExpr("shard", "0 AS range", "CAST(NULL AS BINARY) AS data", "2 AS kind", "key", "state")
-    out = [doc_id, *ddl("mark long, text string, kept_text string, n_words long, n_removed long").fields]
+    out = [doc_id, *ddl("mark binary, text string, kept_text string, n_words long, n_removed long").fields]
     out += [f for f in rows.schema.fields if f.name.startswith("carried_")]
     found = along(lambda k, t, n: step.removed(k, t, n), notices.unionByName(heard), out)
     return found.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})

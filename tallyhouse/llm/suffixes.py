@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.llm import runs as R
 from tallyhouse.llm import shards as S
 from tallyhouse.llm import words as W
 
@@ -164,19 +165,25 @@ def _shared(data: np.ndarray, end: np.ndarray, p: np.ndarray, q: np.ndarray) ->
     return out
 
 
+def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document of each row, and the bytes of all documents with their bounds."""
+    table = table.combine_chunks()
+    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts if not isinstance(texts, pa.ChunkedArray) else pa.array([], pa.string())
+    seen: dict = {}
+    rows = list(zip(table.column("doc_id").to_pylist(), table.column("mark").to_pylist(), strict=True))
+    doc = np.array([seen.setdefault(r, len(seen)) for r in rows], np.int64)
+    first = np.unique(doc, return_index=True)[1] if len(rows) else np.zeros(0, np.int64)
+    return doc, *W.byte_view(texts.take(pa.array(first, pa.int64())))
+
+
 class Shard:
-    """A shard's texts: what to ask about, what suffix arrays say, and what goes."""
+    """A shard's texts: what to ask about, and what suffix arrays say."""
 
     def __init__(self, table: pa.Table, width: int, piece: int):
-        table = table.combine_chunks()
-        self.table, self.width = table, width
-        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        self.texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts if not isinstance(texts, pa.ChunkedArray) else pa.array([], pa.string())
-        seen: dict = {}
-        rows = list(zip(table.column("doc_id").to_pylist(), table.column("mark").to_pylist(), strict=True))
-        self.doc = np.array([seen.setdefault(r, len(seen)) for r in rows], np.int64)
-        first = np.unique(self.doc, return_index=True)[1] if len(rows) else np.zeros(0, np.int64)
-        self.text = Text(*W.byte_view(self.texts.take(pa.array(first, pa.int64()))))
+        self.width = width
+        _, data, bounds = documents(table)
+        self.text = Text(data, bounds)
         self.segments = Segments(self.text, width, piece)
         self.anchors, self.contents, self.count, self.sample, self.place = self.segments.distinct()
 
@@ -219,17 +226,32 @@ class Shard:
         self.prints, self.print_place = np.unique(prints, return_inverse=True)
         self.of = np.cumsum(new) - 1
 
-    def removed(self, elsewhere: np.ndarray) -> np.ndarray:
-        """Which bytes of the text go; elsewhere: of each distinct fingerprint, whether another shard has it."""
-        seg, edge = self.segments, np.zeros(self.text.n + 1, np.int64)
+    def decided(self) -> bytes:
+        """What the shard knows by itself: the bytes that go, and the open windows with the places of their fingerprints."""
+        seg, edge = self.segments, np.zeros(self.text.n + 1, np.int32)
         whole = self.verdict & REPEATED > 0
         np.add.at(edge, seg.first[whole], 1)
         np.add.at(edge, seg.last[whole] + self.width, -1)
-        if len(self.windows):
-            gone = self.windows[self.twice | (elsewhere[self.print_place][self.of] > 0)]
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + self.width, -1)
-        return np.cumsum(edge[:-1]) > 0
+        gone = self.windows[self.twice]
+        np.add.at(edge, gone, 1)
+        np.add.at(edge, gone + self.width, -1)
+        parts = [np.packbits(np.cumsum(edge[:-1]) > 0).tobytes(), *(S.planes(x[~self.twice]) for x in (self.windows, self.print_place[self.of]))]
+        raw = b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def removed(said: bytes, elsewhere: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n bytes go, from what the shard decided and, of each distinct fingerprint, whether another shard has it."""
+    raw, at, parts = pa.decompress(said[8:], decompressed_size=int.from_bytes(said[:8], "little"), codec="zstd", asbytes=True), 0, []
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        parts.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    windows, place = (S.unplaned(p).astype(np.int64) for p in parts[1:])
+    late, edge = windows[elsewhere[place] > 0] if len(place) else windows, np.zeros(n + 1, np.int32)
+    np.add.at(edge, late, 1)
+    np.add.at(edge, late + width, -1)
+    return (np.unpackbits(np.frombuffer(parts[0], np.uint8), count=n) > 0) | (np.cumsum(edge[:-1]) > 0)
 
 
 def _verdicts(keys: list[np.ndarray], extras: list[bytes]) -> list[np.ndarray]:
@@ -250,10 +272,15 @@ def _verdicts(keys: list[np.ndarray], extras: list[bytes]) -> list[np.ndarray]:
     return S.parted(out, keys)
 
 
-def _elsewhere(keys: list[np.ndarray], extras: list[bytes]) -> list[np.ndarray]:
-    """For each shard's sorted fingerprints, whether another shard has them: binary search in the merged list."""
+def _elsewhere(key, table: pa.Table) -> pa.Table:
+    """For each shard's sorted fingerprints, whether another shard has them: binary search in the merged list. What a shard decided
+    (under a range of its own below 0) passes through."""
+    if key[0].as_py() < 0:
+        return pa.table({"shard": table.column("shard"), "range": table.column("range"), "data": table.column("extra")})
+    keys = [S.undeltas(x.as_py()) for x in table.column("keys")]
     merged = np.sort(np.concatenate(keys))
-    return [(np.searchsorted(merged, k, "right") - np.searchsorted(merged, k, "left") > 1).astype(np.uint64) for k in keys]
+    found = [(np.searchsorted(merged, k, "right") - np.searchsorted(merged, k, "left") > 1).astype(np.uint64) for k in keys]
+    return pa.table({"shard": table.column("shard"), "range": table.column("range"), "data": pa.array([S.planes(f) for f in found], pa.binary())})
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -267,37 +294,40 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, shard_
     def compare(key, table, answers):
         s = Shard(table, width, piece)
         s.stretches(S.gathered(answers, len(s.anchors)))
-        return S.question(key[0].as_py(), s.prints, lambda r: b"", shards)
+        asked, shard = S.question(key[0].as_py(), s.prints, lambda r: b"", shards), key[0].as_py()
+        own = pa.table([pa.array([-1 - shard], pa.int32()), pa.array([shard], pa.int32()), pa.array([b""], pa.binary()), pa.array([s.decided()])], names=asked.column_names)
+        return pa.concat_tables([asked, own])
 
     def finish(key, table, answers):
         answers = answers.combine_chunks()
-        step = np.asarray(answers.column("step").to_pylist(), np.int64)
-        s = Shard(table, width, piece)
-        s.stretches(S.gathered(answers.filter(pa.array(step == 1)), len(s.anchors)))
-        gone = s.removed(S.gathered(answers.filter(pa.array(step == 2)), len(s.prints)))
+        own = np.asarray(answers.column("range").to_pylist(), np.int64) < 0
+        said, found = answers.filter(pa.array(own)).column("data")[0].as_py(), answers.filter(pa.array(~own))
+        rows = sorted(zip(found.column("range").to_pylist(), found.column("data").to_pylist(), strict=True))
+        elsewhere = np.concatenate([S.unplaned(d) for _, d in rows]) if rows else np.zeros(0, np.uint64)
+        doc, data, bounds = documents(table)
+        gone = removed(said, elsewhere, len(data), width)
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
-        inner = s.text.bounds[:-1][np.diff(s.text.bounds) > 0]
+        inner = bounds[:-1][np.diff(bounds) > 0]
         starts[inner] = gone[inner]
-        kept = [s.text.data[a:b][~gone[a:b]].tobytes() for a, b in zip(s.text.bounds, s.text.bounds[1:], strict=False)]
-        per = lambda flags: pa.array(np.diff(np.concatenate(([0], np.cumsum(flags)))[s.text.bounds])[s.doc])
+        kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        per = lambda flags: pa.array(np.diff(np.concatenate(([0], np.cumsum(flags)))[bounds])[doc])
         return pa.table(
             {
-                "doc_id": s.table.column("doc_id"),
-                "mark": s.table.column("mark"),
-                "kept": pa.array([kept[d] for d in s.doc], pa.binary()),
-                "n_bytes": pa.array(np.diff(s.text.bounds)[s.doc]),
+                "doc_id": table.column("doc_id"),
+                "mark": table.column("mark"),
+                "kept": pa.array([kept[d] for d in doc], pa.binary()),
+                "n_bytes": pa.array(np.diff(bounds)[doc]),
                 "n_removed": per(gone),
                 "n_spans": per(starts),
             }
         )
 
-    first = S.answered(rows.groupBy("shard").applyInArrow(ask, S.ROWS), _verdicts).repartition(shards, "shard")
-    questions = rows.groupBy("shard").cogroup(first.groupBy("shard")).applyInArrow(compare, S.ROWS)
-    second = S.answered(questions, _elsewhere)
-    said = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
-    out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("mark long, kept binary, n_bytes long, n_removed long, n_spans long").fields])
-    return rows.groupBy("shard").cogroup(said.groupBy("shard")).applyInArrow(finish, out)
+    first = S.answered(rows.groupBy("shard").applyInArrow(R.lean(ask), S.ROWS), _verdicts).repartition(shards, "shard")
+    questions = rows.groupBy("shard").cogroup(first.groupBy("shard")).applyInArrow(R.lean(compare, 2), S.ROWS)
+    second = questions.groupBy("range").applyInArrow(lambda key, table: _elsewhere(key, table), S.ANSWERS)
+    out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("mark binary, kept binary, n_bytes long, n_removed long, n_spans long").fields])
+    return rows.groupBy("shard").cogroup(second.groupBy("shard")).applyInArrow(R.lean(finish, 2), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

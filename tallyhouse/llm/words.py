@@ -6,6 +6,7 @@ distinct words are exact; hashes are 64 bits wide. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +19,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
+
 class Words(NamedTuple):
     """Words of a batch: text i has codes[bounds[i]:bounds[i + 1]]; code k stands for distinct[k]."""
 
@@ -26,6 +30,13 @@ class Words(NamedTuple):
     distinct: pa.Array
 
 
+def released() -> None:
+    """Give memory of finished work back to the system: a worker process outlives its tasks and waits beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and len(texts) + 1 offsets. Null texts are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")

@@ -151,3 +151,25 @@ def test_imports_without_this_subpackage(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><table><tr><td data-label="Price">Ten pounds of it</td></tr></table><p data-label>Two</p></article>', "Ten pounds of it\n\nTwo"),
+        ("<article><p>a<!-- x --!> b<!--> c<!---> d</p></article>", "a b c d"),
+    ],
+)
+def test_foreign_marks_and_comments(page, text):
+    assert html.main_text(page, MODEL) == text
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        assert html.main_text("<article>" + "<div><p>" * n + "word" + "</div>" * n + "</article>", MODEL) in ("", "word")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]

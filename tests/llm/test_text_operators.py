@@ -211,3 +211,28 @@ def test_scores_without_training_texts(spark):
 def test_interpolation_beats_single_tokens_on_held_out_texts(spark):
     rows = ngrams.query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
+
+
+def test_language_sums_by_brute_force(monkeypatch):
+    import numpy as np
+
+    texts = ["Hello, World and 日本語 text", "", None, "ñandú x yz", "a b", "".join(chr(0x4E00 + (k * 7919) % 20000) for k in range(6000))]
+    want = np.zeros((len(texts), language.DIMENSIONS))
+    for k, t in enumerate(texts):
+        low = " " + (t or "").lower() + " "
+        for i in range(1, len(low) - 1):
+            if low[i].isalpha():
+                vector = np.ones(language.DIMENSIONS, np.int64)
+                for shift, c in zip((2, 1, 0), low[i - 1 : i + 2], strict=True):
+                    if c.isalpha():
+                        vector = vector * np.roll(language._letter(ord(c)), shift)
+                want[k] += vector
+    for size in (2048, 50):
+        monkeypatch.setattr(language, "SLICE", size)
+        got, n = language._sums(texts, np.arange(len(texts)), len(texts))
+        assert (got == want).all() and n[1] == n[2] == 0
+    monkeypatch.setattr(language, "PART", 40)
+    long = " ".join(["Hello world ñandú"] * 20)
+    parts, _ = language._sums([long], np.zeros(1, np.int64), 1)
+    monkeypatch.setattr(language, "PART", 1 << 20)
+    assert (parts == language._sums([long], np.zeros(1, np.int64), 1)[0]).all()
