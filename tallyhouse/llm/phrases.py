@@ -31,7 +31,7 @@ from tallyhouse.llm import words as W
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A candidate goes if a longer one around it has at least this share of its count, in percent.
 COVERED = 80
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Text behind one prefix range.
 RANGE_BYTES = 8 << 20
 #: Ranges that one exchange deals to.
@@ -124,6 +124,8 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part_byt
             for slab in W.parts(batch, most=part_bytes):
                 for t in phrase_tree(slab.column("text"), slab.column("lang"), longest, part_bytes):
                     yield from _pieces(t, part, ranges, width).to_batches()
+                    del t
+                    W.released()
 
     pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(R.lean_stream(shards), PIECES)
     while step > 1:
