@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallyhouse.functions.exprs import clv_segment, count_rows
 from tallyhouse.ml import features, forecast
@@ -23,6 +23,10 @@ from tallyhouse.session import cut_lineage
 TREES, DEPTH, RATE, FOLDS, SEED, BINS = 100, 5, 0.1, 5, 42, 256
 TEST_PERCENT = 20
 MIN_POSITIVES = 10
+#: Labelled rows that one fit learns from at most, drawn from every class in proportion; scoring and evaluation take all rows.
+FIT_ROWS = 5_000
+#: Models trained at the same time.
+PARALLEL = 4
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,7 @@ class ModelSpec:
     min_rows: int = 100
     identifiers: tuple[str, ...] = ()  # keys with any number of values
     strict_labels: bool = False  # an unseen category is an error instead of the first class
+    cv_metric: str = "roc_auc"  # or "r2" or "mae"
 
 
 MODELS = {
@@ -47,15 +52,15 @@ MODELS = {
                   "completed", "classifier", strict_labels=True),
         ModelSpec("order_value", "omnichannel", features.order_value,
                   ("basket_size", "arrival_hour", "day_of_week", "browsing_duration", "queue_wait_time"), ("channel",),
-                  "total_amount", "regressor"),
+                  "total_amount", "regressor", cv_metric="r2"),
         ModelSpec("fulfillment", "omnichannel", features.fulfillment,
-                  ("order_hour", "day_of_week"), ("channel",), "fulfillment_duration", "regressor", 50),
+                  ("order_hour", "day_of_week"), ("channel",), "fulfillment_duration", "regressor", 50, cv_metric="r2"),
         ModelSpec("stockout", "inventory", features.stockout,
                   ("quantity_before", "reorder_point", "safety_stock", "on_order_qty", "event_hour", "day_of_week"), (),
                   "stockout_occurred", "classifier"),
         ModelSpec("lead_time", "inventory", features.lead_time,
                   ("order_quantity", "day_of_week", "expected_lead_time_days"), (), "actual_lead_time_days",
-                  "regressor", 50, ("supplier_id",)),
+                  "regressor", 50, ("supplier_id",), cv_metric="mae"),
         ModelSpec("churn", "engagement", features.churn,
                   ("days_since_last_purchase", "days_since_join", "total_spend", "purchase_count", "avg_order_value",
                    "loyalty_points", "unresponsive_count", "churn_risk_score"), ("value_tier",), "churned", "classifier"),
@@ -64,7 +69,7 @@ MODELS = {
                   "classifier"),
         ModelSpec("clv", "engagement", features.clv,
                   ("days_since_join", "purchase_count", "avg_order_value", "loyalty_points"), ("value_tier",), "total_spend",
-                  "regressor"),
+                  "regressor", 50, cv_metric="mae"),
     )
 }
 
@@ -105,11 +110,51 @@ def learnable(rows: DataFrame) -> DataFrame:
     return rows.filter("complete AND label IS NOT NULL").drop("complete")
 
 
-def split(df: DataFrame, test_percent: int = TEST_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Seeded random train and test rows. The rows are checkpointed first: their partitions then stay as
-    they are, so the parts are the same on every read and after a lost executor."""
-    train, test = cut_lineage(learnable(df)).randomSplit([100.0 - test_percent, float(test_percent)], SEED)
-    return train, test
+STRATUM, PLACE, SIZE = "__stratum", "__place", "__size"
+
+
+def placed(spec: ModelSpec, df: DataFrame, seed: int = SEED) -> DataFrame:
+    """Learnable rows with their stratum (the class; regressors have one stratum), its size, and their place (from 1) in it in an
+    order of seeded hashes.
+
+    The places are exact and no stratum is sorted in one task: the counts of the hashes' first 16 bits, summed up, say where each of
+    65 536 slices begins, and only a slice is ordered. The rows are checkpointed first, so that a row keeps its hash.
+    """
+    rows = cut_lineage(learnable(df)).withColumns(
+        {STRATUM: F.col("label") if spec.kind == "classifier" else F.lit(0.0), "__mark": F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))}
+    ).withColumn("__slice", F.shiftrightunsigned("__mark", 48))
+    counts = rows.groupBy(STRATUM, "__slice").agg(count_rows().alias("__n"))
+    stratum = W.partitionBy(STRATUM)
+    before = F.coalesce(F.sum("__n").over(stratum.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(STRATUM, "__slice", before.alias("__before"), F.sum("__n").over(stratum).alias(SIZE))
+    inside = F.row_number().over(W.partitionBy(STRATUM, "__slice").orderBy("__mark"))
+    return cut_lineage(rows.join(starts, [STRATUM, "__slice"]).withColumn(PLACE, F.col("__before") + inside).drop("__slice", "__mark", "__before"))
+
+
+def quota(test_percent: int = TEST_PERCENT) -> str:
+    """Test rows of a stratum, as SQL."""
+    return f"(({SIZE} * {test_percent} + 50) DIV 100)"
+
+
+def split(spec: ModelSpec, df: DataFrame, test_percent: int = TEST_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows: of each stratum exactly its share."""
+    rows = placed(spec, df)
+    return rows.filter(f"{PLACE} > {quota(test_percent)}"), rows.filter(f"{PLACE} <= {quota(test_percent)}")
+
+
+def sampled(rows: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """At most about ``most`` placed rows (one more for each stratum), of every stratum the first in hash order; all if there are no more."""
+    total = rows.groupBy(STRATUM).agg(count_rows().alias("n"), F.min(PLACE).alias("first")).collect()  # one row per class
+    all_rows = sum(r["n"] for r in total)
+    if all_rows <= most:
+        return rows.coalesce(1)
+    near, chosen = F.lit(False), F.lit(False)
+    for r in total:
+        cut = math.ceil(most * r["n"] / all_rows)
+        near = near | ((F.col(STRATUM) == r[STRATUM]) & (F.col(PLACE) <= r["first"] + 2 * cut))  # a fold left out takes half the places at most
+        chosen = chosen | ((F.col(STRATUM) == r[STRATUM]) & (F.col("__nth") <= cut))
+    numbered = rows.filter(near).withColumn("__nth", F.row_number().over(W.partitionBy(STRATUM).orderBy(PLACE)))
+    return numbered.filter(chosen).drop("__nth").coalesce(1)
 
 
 def pipeline(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> Pipeline:
@@ -130,59 +175,139 @@ def pipeline(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> Pipeline:
     return Pipeline(stages=[*indexers, *coder, VectorAssembler(inputCols=inputs, outputCol="features"), booster])
 
 
-def fit(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> PipelineModel:
-    return pipeline(spec, train, trees).fit(train)
+def fit(spec: ModelSpec, train: DataFrame, trees: int = TREES, labelled: DataFrame | None = None) -> PipelineModel:
+    """``labelled``: the rows whose categories the model knows, if there are more than ``train`` has."""
+    return pipeline(spec, train if labelled is None else labelled, trees).fit(train)
 
 
 def too_small(spec: ModelSpec, df: DataFrame) -> bool:
     return df.limit(spec.min_rows).count() < spec.min_rows
 
 
-def evaluate(spec: ModelSpec, model: PipelineModel, test: DataFrame) -> DataFrame:
-    """Quality figures as (metric, value), from one pass over the scored rows (and one for the AUC)."""
-    scored = predict(spec, model, test)
+def rank_sum_auc(scored: DataFrame, score: str = "probability") -> float:
+    """Probability that a positive row scores above a negative one, ties counting half, in whole numbers to the end.
+
+    One row per distinct score after a map-side combine; the negatives below it come from sums over 65 536 slices of the score and a
+    running sum inside a slice, so no task sees all scores.
+    """
+    counted = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
+    sliced = counted.withColumn("slice", F.floor(F.col("s") * 65535))
+    sums = sliced.groupBy("slice").agg(F.sum("n").alias("in_slice"))
+    below = F.coalesce(F.sum("in_slice").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # at most 65 536 rows
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("slice").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = sliced.withColumn("inside", inside).join(sums.select("slice", below.alias("below")), "slice")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    twice = F.sum(wide("p") * (wide("below") * 2 + wide("inside") * 2 + wide("n")))
+    found = rows.agg(twice.alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    return float(found["u"]) / (2.0 * found["p"] * found["n"]) if found["p"] and found["n"] else 0.0
+
+
+def measures(spec: ModelSpec, model: PipelineModel, rows: DataFrame) -> dict[str, float | None]:
+    """Quality figures on labelled rows, from one pass over the scored rows (and one for the AUC)."""
+    scored = predict(spec, model, rows)
     label, value = F.col("label"), F.col("prediction")
     if spec.kind == "regressor":
         error = value - label
-        total_square = F.var_pop("label") * count_rows()
         one = scored.agg(
             F.avg(F.abs(error)).alias("mae"),
             F.sqrt(F.avg(error * error)).alias("rmse"),
-            (F.lit(1.0) - F.try_divide(F.sum(error * error), total_square)).alias("r2"),
+            (F.lit(1.0) - F.try_divide(F.sum(error * error), F.var_pop("label") * count_rows())).alias("r2"),
+            F.avg("label").alias("mean_actual"),
+            F.avg("prediction").alias("mean_predicted"),
+            (F.avg(F.abs(F.try_divide(error, label))) * 100).alias("mape"),
         )
-        return one.unpivot([], ["mae", "rmse", "r2"], "metric", "value")
+        return one.first().asDict()
     hit, said = (label == 1) & (value == 1), value == 1
-    precision = F.coalesce(F.try_divide(F.count_if(hit) * F.lit(1.0), F.count_if(said)), F.lit(0.0))
-    recall = F.coalesce(F.try_divide(F.count_if(hit) * F.lit(1.0), F.count_if(label == 1)), F.lit(0.0))
-    counted = scored.agg(
+    part = lambda a, b: F.coalesce(F.try_divide(F.count_if(a) * F.lit(1.0), F.count_if(b)), F.lit(0.0))
+    row = scored.agg(
         F.try_divide(F.count_if(label == value) * F.lit(1.0), count_rows()).alias("accuracy"),
-        precision.alias("precision"),
-        recall.alias("recall"),
+        part(hit, said).alias("precision"),
+        part(hit, label == 1).alias("recall"),
         F.count_if(label == 1).alias("positives"),
-    )
-    row = counted.withColumn(
-        "f1", F.coalesce(F.try_divide(F.col("precision") * F.col("recall") * 2.0, F.col("precision") + F.col("recall")), F.lit(0.0))
     ).first()
-    auc = 0.0
-    if row["positives"] > MIN_POSITIVES:
-        auc = BinaryClassificationEvaluator(rawPredictionCol="probability_raw", labelCol="label", numBins=0).evaluate(scored)
-    names = ("accuracy", "precision", "recall", "f1")
-    return test.sparkSession.createDataFrame(
-        [*[(n, float(row[n] or 0.0)) for n in names], ("roc_auc", float(auc))], "metric string, value double")
-
-
-def cross_validate(spec: ModelSpec, train: DataFrame, trees: int = TREES, folds: int = FOLDS) -> float:
-    """Mean score over folds: AUC of classifiers, R2 of regressors."""
-    folded = cut_lineage(train.withColumn("__fold", F.floor(F.rand(SEED + 1) * folds).cast("int")))
-    scorer = (
-        BinaryClassificationEvaluator(labelCol="label", numBins=0)
-        if spec.kind == "classifier"
-        else RegressionEvaluator(labelCol="label", metricName="r2")
-    )
-    validator = CrossValidator(
-        estimator=pipeline(spec, train, trees), estimatorParamMaps=ParamGridBuilder().build(), evaluator=scorer, numFolds=folds,
-        foldCol="__fold", parallelism=folds)
-    return float(validator.fit(folded).avgMetrics[0])
+    both = row["precision"] + row["recall"]
+    auc = rank_sum_auc(scored) if row["positives"] > MIN_POSITIVES else 0.0
+    return {"accuracy": row["accuracy"] or 0.0, "precision": row["precision"], "recall": row["recall"],
+            "f1": 2 * row["precision"] * row["recall"] / both if both else 0.0, "roc_auc": auc}
+
+
+def evaluate(spec: ModelSpec, model: PipelineModel, test: DataFrame) -> DataFrame:
+    """Quality figures as (metric, value)."""
+    found = measures(spec, model, test)
+    return test.sparkSession.createDataFrame([(n, None if v is None else float(v)) for n, v in found.items()], "metric string, value double")
+
+
+def cross_validate(
+    spec: ModelSpec, rows: DataFrame, trees: int = TREES, folds: int = FOLDS, most: int = FIT_ROWS
+) -> tuple[float, float]:
+    """Mean and deviation over stratified folds of placed rows; the folds are fitted at the same time, on samples of ``most`` rows."""
+
+    def one(fold: int) -> float:
+        inside = F.pmod(F.col(PLACE), F.lit(folds)) == fold
+        train = sampled(rows.filter(~inside), most).cache()
+        try:
+            found = measures(spec, fit(spec, train, trees, rows), rows.filter(inside))[spec.cv_metric]
+        finally:
+            train.unpersist()
+        return float(found or 0.0)
+
+    with ThreadPoolExecutor(folds) as pool:
+        scores = list(pool.map(one, range(folds)))
+    mean = sum(scores) / folds
+    return mean, math.sqrt(sum((x - mean) ** 2 for x in scores) / folds)
+
+
+@dataclass(frozen=True)
+class Trained:
+    """A fitted model, the rows it may be judged on, and how many rows there were of each kind."""
+
+    spec: ModelSpec
+    model: PipelineModel
+    rows: DataFrame  # placed: the parts for training and testing together
+    test: DataFrame
+    train_samples: int
+    test_samples: int
+    left_out: int
+    positives: int
+
+
+def train(spec: ModelSpec, data: DataFrame, trees: int = TREES, most: int = FIT_ROWS) -> Trained | None:
+    """None where the data set has fewer than ``min_rows`` learnable rows."""
+    prepared = prepare(spec, data)
+    if too_small(spec, learnable(prepared)):
+        return None
+    rows = placed(spec, prepared)
+    sizes = rows.groupBy(STRATUM).agg(F.first(SIZE).alias("n"), F.first(F.expr(quota())).alias("test")).collect()  # one row per class
+    chosen = sampled(rows.filter(f"{PLACE} > {quota()}"), most).cache()
+    model = fit(spec, chosen, trees, rows)
+    chosen.unpersist()
+    total, test = (sum(r[c] for r in sizes) for c in ("n", "test"))
+    left_out = prepared.filter("NOT complete OR label IS NULL").count()
+    return Trained(spec, model, rows, rows.filter(f"{PLACE} <= {quota()}"), total - test, test, left_out, sum(r["n"] for r in sizes if r[STRATUM] == 1))
+
+
+def report(found: Trained, trees: int = TREES, validate: bool = True, most: int = FIT_ROWS) -> list[tuple[str, float | None]]:
+    """All figures of a trained model: quality, counts, and the cross-validation's mean and deviation."""
+    out = list(measures(found.spec, found.model, found.test).items())
+    out += [("train_samples", float(found.train_samples)), ("test_samples", float(found.test_samples)), ("left_out", float(found.left_out))]
+    if validate and (found.spec.kind == "regressor" or found.positives > MIN_POSITIVES):
+        mean, deviation = cross_validate(found.spec, found.rows, trees, most=most)
+        out += [(f"cv_{found.spec.cv_metric}_mean", mean), (f"cv_{found.spec.cv_metric}_std", deviation)]
+    return out
+
+
+COUNTS = ("train_samples", "test_samples", "left_out")
+
+
+def in_range(metric: str, value: float | None) -> bool:
+    """Whether a figure is one that its measure can take."""
+    if value is None:
+        return metric in ("r2", "mape")  # without variance, without a label other than 0
+    if metric in ("r2", "cv_r2_mean"):
+        return value <= 1
+    if metric.startswith(("mae", "rmse", "mape", "mean_", "cv_mae")) or metric.endswith("_std") or metric in COUNTS:
+        return value >= 0
+    return 0 <= value <= 1
 
 
 def predict(spec: ModelSpec, model: PipelineModel, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -227,20 +352,12 @@ def sla_compliance(spec: ModelSpec, model: PipelineModel, rows: DataFrame, sla_m
 Report = list[tuple[str, str, str, float | None]]
 
 
-def _train_one(t, spec: ModelSpec, folder: str, stamp: str, trees: int, validate: bool) -> Report:
-    rows = prepare(spec, spec.dataset(t))
-    if too_small(spec, learnable(rows)):
+def _train_one(spec: ModelSpec, found: Trained | None, folder: str, stamp: str, figures: Callable[[], list]) -> Report:
+    if found is None:
         return [(spec.name, "skipped", f"fewer than {spec.min_rows} rows", None)]
-    train, test = split(rows)
-    model = fit(spec, train, trees)
     for version in (stamp, "latest"):
-        model.write().overwrite().save(f"{folder}/{spec.name}/{version}")
-    found = evaluate(spec, model, test).collect()  # at most five figures
-    report = [(spec.name, "trained", r["metric"], r["value"]) for r in found]
-    report.append((spec.name, "trained", "left_out", float(rows.filter("NOT complete OR label IS NULL").count())))
-    if validate:
-        report.append((spec.name, "trained", "cv_mean", cross_validate(spec, train, trees)))
-    return report
+        found.model.write().overwrite().save(f"{folder}/{spec.name}/{version}")
+    return [(spec.name, "trained", metric, value) for metric, value in figures()]
 
 
 def _forecast_one(t, folder: str, stamp: str) -> Report:
@@ -253,27 +370,37 @@ def _forecast_one(t, folder: str, stamp: str) -> Report:
     return [("demand_forecast", "trained", f"mae_{r['channel']}", r["mae"]) for r in errors]
 
 
-def train_all(t, folder: str, group: str | None = None, trees: int = TREES, validate: bool = True) -> DataFrame:
-    """Fit, evaluate and save every model of a group. A model that fails is reported and skipped.
+def train_all(
+    t, folder: str, group: str | None = None, trees: int = TREES, validate: bool = True, trained=None
+) -> DataFrame:
+    """Fit, evaluate and save every model of a group, PARALLEL at a time. A model that fails is reported and skipped.
 
-    Each artefact is saved twice: under its time and as ``latest``.
+    Each artefact is saved twice: under its time and as ``latest``. ``trained(t, name)`` and ``trained.report(t, name)`` may
+    give models that are fitted and judged already.
     """
     stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     folder = folder.rstrip("/")
-    jobs = [
-        (spec.name, lambda spec=spec: _train_one(t, spec, folder, stamp, trees, validate))
-        for spec in MODELS.values()
-        if group in (None, spec.group)
-    ]
+    chosen = [spec for spec in MODELS.values() if group in (None, spec.group)]
+    data = {spec.name: spec.dataset(t) for spec in chosen}  # one after the other: tables are stored at their first use
+
+    def one(spec: ModelSpec) -> Report:
+        found = trained(t, spec.name) if trained else train(spec, data[spec.name], trees)
+        return _train_one(spec, found, folder, stamp, lambda: trained.report(t, spec.name) if trained else report(found, trees, validate))
+
+    jobs = [(spec.name, lambda spec=spec: one(spec)) for spec in chosen]
     if group in (None, "omnichannel"):
         jobs.append(("demand_forecast", lambda: _forecast_one(t, folder, stamp)))
-    report: Report = []
-    for name, job in jobs:
+
+    def run(job) -> Report:
+        name, work = job
         try:
-            report += job()
+            return work()
         except Exception as error:  # one failing model must not stop the others
-            report.append((name, "failed", f"{type(error).__name__}: {str(error)[:200]}", None))
-    return t.spark.createDataFrame(report, "model string, status string, metric string, value double")
+            return [(name, "failed", f"{type(error).__name__}: {str(error)[:200]}", None)]
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        found = [row for part in pool.map(run, jobs) for row in part]
+    return t.spark.createDataFrame(found, "model string, status string, metric string, value double")
 
 
 def load(folder: str, name: str, version: str = "latest") -> PipelineModel:

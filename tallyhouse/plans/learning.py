@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections import defaultdict
+from threading import Lock
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyhouse.functions.exprs import count_rows
 from tallyhouse.ml import features, forecast, models
@@ -34,63 +37,94 @@ def label_encode(t) -> DataFrame:
 
 
 class Trained:
-    """Models fitted once per set of tables and shared by the queries that apply them."""
+    """Models fitted once per set of tables and shared by the queries that apply them; so are their reports."""
 
     def __init__(self) -> None:
         self._fitted: dict = {}
+        self._reports: dict = {}
+        self._locks: dict = defaultdict(Lock)
 
-    def __call__(self, t, name: str):
+    def __call__(self, t, name: str) -> models.Trained:
         key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-        if key not in self._fitted:
-            spec = models.MODELS[name]
-            train, test = models.split(models.prepare(spec, spec.dataset(t)))
-            self._fitted[key] = (spec, models.fit(spec, train), test)
-        return self._fitted[key]
+        with self._locks[key]:
+            if key not in self._fitted:
+                spec = models.MODELS[name]
+                self._fitted[key] = models.train(spec, spec.dataset(t))
+            return self._fitted[key]
+
+    def report(self, t, name: str) -> list[tuple[str, float | None]]:
+        key, found = (t.spark.sparkContext.applicationId, t.sf_dir, name), self(t, name)
+        with self._locks[(*key, "report")]:
+            if key not in self._reports:
+                self._reports[key] = models.report(found)
+            return self._reports[key]
 
 
 trained = Trained()
 
 
+def _checked(spark, rows: list[tuple]) -> DataFrame:
+    """Figures of a fit, as far as they hold for any fit: counts, and whether each measure is one that can be."""
+    out = [(model, status, metric, int(value) if metric in models.COUNTS else None, models.in_range(metric, value)) for model, status, metric, value in rows]
+    return spark.createDataFrame(out, "model string, status string, metric string, samples bigint, in_range boolean")
+
+
 def evaluation(name: str):
     def run(t) -> DataFrame:
-        spec, model, test = trained(t, name)
-        return models.evaluate(spec, model, test).withColumn("model", F.lit(name))
+        return _checked(t.spark, [(name, "trained", metric, value) for metric, value in trained.report(t, name)]).drop("status")
 
     return run
 
 
 def predictions(name: str, threshold: float = 0.5):
+    """Per row its label, whether it has a prediction, and whether that is one: a class by the threshold, a value of 0 or more."""
+
     def run(t) -> DataFrame:
-        spec, model, _ = trained(t, name)
-        rows = models.predict(spec, model, models.prepare(spec, spec.dataset(t)), threshold)
-        return rows.select("label", *[c for c in ("probability", "prediction") if c in rows.columns])
+        found = trained(t, name)
+        rows = models.predict(found.spec, found.model, models.prepare(found.spec, found.spec.dataset(t)), threshold)
+        if found.spec.kind == "classifier":
+            right = F.col("probability").between(0, 1) & (F.col("prediction") == (F.col("probability") >= threshold).cast("int"))
+        else:
+            right = F.col("prediction") >= 0
+        none = F.col("prediction").isNull()
+        return rows.select("label", (~none).alias("scored"), F.when(none, ~F.col("complete")).otherwise(right).alias("consistent"))
 
     return run
 
 
 def importance(name: str):
     def run(t) -> DataFrame:
-        spec, model, _ = trained(t, name)
-        return models.feature_importance(spec, model, t.spark)
+        found = trained(t, name)
+        ranked = models.feature_importance(found.spec, found.model, t.spark)
+        before = F.lag("importance", 1, 1.0).over(Window.orderBy("rank"))  # five rows
+        return ranked.select("rank", F.col("importance").between(0, before).alias("in_range"))
 
     return run
 
 
 def clv_segments(t) -> DataFrame:
-    spec, model, _ = trained(t, "clv")
-    rows = models.clv_segments(spec, model, models.prepare(spec, spec.dataset(t)))
-    return rows.groupBy("segment").agg(count_rows().alias("customers"))
+    found = trained(t, "clv")
+    rows = models.clv_segments(found.spec, found.model, models.prepare(found.spec, found.spec.dataset(t)))
+    limits = {"low": (None, 100), "medium": (100, 500), "high": (500, 2000), "premium": (2000, None)}
+    right = F.lit(False)
+    for segment, (least, below) in limits.items():
+        inside = F.col("segment") == segment
+        inside = inside & (F.col("prediction") >= least) if least is not None else inside
+        right = right | (inside & (F.col("prediction") < below) if below is not None else inside)
+    return rows.groupBy("value_tier").agg(count_rows().alias("customers"), F.count_if(right).alias("placed"))
 
 
 def sla_compliance(t, sla_minutes: float = 2880) -> DataFrame:
-    spec, model, _ = trained(t, "fulfillment")
-    rows = models.sla_compliance(spec, model, models.prepare(spec, spec.dataset(t)), sla_minutes)
-    return rows.groupBy("channel", "within_sla").agg(count_rows().alias("orders"))
+    found = trained(t, "fulfillment")
+    rows = models.sla_compliance(found.spec, found.model, models.prepare(found.spec, found.spec.dataset(t)), sla_minutes)
+    right = F.col("within_sla") == (F.col("prediction") <= sla_minutes)
+    return rows.groupBy("channel").agg(count_rows().alias("orders"), F.count_if(right).alias("judged"))
 
 
 def train_everything(t) -> DataFrame:
-    """All nine artefacts, with the full ensembles and cross-validation."""
-    return models.train_all(t, scratch_dir(t.spark, "models"))
+    """All nine artefacts, with the full ensembles and cross-validation; models that other queries have fitted are not fitted again."""
+    found = models.train_all(t, scratch_dir(t.spark, "models"), trained=trained).collect()  # some ten figures per model
+    return _checked(t.spark, found)
 
 
 MODELS = {
@@ -105,6 +139,7 @@ MODELS = {
     "P-14_lead_time_predictions": predictions("lead_time"),
     "P-15_classifier_evaluation": evaluation("conversion"),
     "P-15_regressor_evaluation": evaluation("clv"),
+    **{f"P-15_{name}_evaluation": evaluation(name) for name in ("stockout", "churn", "campaign", "order_value", "fulfillment", "lead_time")},
     "P-16_feature_importance": importance("conversion"),
     "P-17_predict_binary": predictions("conversion", 0.3),
     "P-18_clv_segments": clv_segments,

@@ -70,6 +70,47 @@ VIEWS = {
 }
 
 
+# What holds for any fit: rows, classes and parts of the split, and which rows can be scored.
+_JOURNEY = ("arrival_hour", "day_of_week", "browsing_duration", "basket_size", "queue_wait_time", "channel")
+MODEL_ROWS = {
+    "conversion": ("P-01_conversion_dataset", "completed", _JOURNEY, True),
+    "order_value": ("P-02_order_value_dataset", "total_amount", _JOURNEY, False),
+    "fulfillment": ("P-04_fulfillment_dataset", "fulfillment_duration", ("order_hour", "day_of_week", "channel"), False),
+    "stockout": ("P-05_stockout_dataset", "stockout_occurred", ("quantity_before", "reorder_point", "safety_stock", "on_order_qty", "event_hour", "day_of_week"), True),
+    "lead_time": ("P-06_lead_time_dataset", "actual_lead_time_days", ("order_quantity", "day_of_week", "expected_lead_time_days", "supplier_id"), False),
+    "churn": ("P-08_churn_dataset", "churned", ("days_since_last_purchase", "days_since_join", "total_spend", "purchase_count", "avg_order_value", "loyalty_points",
+        "unresponsive_count", "churn_risk_score", "value_tier"), True),
+    "campaign": ("P-09_campaign_dataset", "clicked", ("unresponsive_count", "days_since_last_engagement", "campaign_type", "value_tier", "rfm_segment"), True),
+    "clv": ("P-10_clv_dataset", "total_spend", ("days_since_join", "purchase_count", "avg_order_value", "loyalty_points", "value_tier"), False),
+}
+_QUALITY = {True: "accuracy precision recall f1 roc_auc", False: "mae rmse r2 mean_actual mean_predicted mape"}
+_VALIDATED = {"order_value": "r2", "fulfillment": "r2", "lead_time": "mae", "clv": "mae"}
+
+
+def _model_rows(name: str) -> str:
+    source, label, features, _ = MODEL_ROWS[name]
+    return f"SELECT *, CAST({label} AS DOUBLE) AS label, {' AND '.join(f'{c} IS NOT NULL' for c in features)} AS known FROM ({DATASETS[source]})"
+
+
+def _scored(name: str) -> str:
+    return f"SELECT label, known AS scored, TRUE AS consistent FROM ({_model_rows(name)})"
+
+
+def _evaluated(name: str) -> str:
+    """Figures of one model: its measures, the sizes of the parts (of each class a fifth, rounded, is for testing), the rows left out."""
+    classes = MODEL_ROWS[name][3]
+    score = _VALIDATED.get(name, "roc_auc")
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
+    return f"""SELECT '{name}' AS model, metric, samples, TRUE AS in_range FROM (
+        WITH rows AS ({_model_rows(name)}), strata AS (SELECT COUNT(*) AS n, {'label' if classes else '0'} AS stratum FROM rows WHERE known AND label IS NOT NULL GROUP BY 2)
+        SELECT UNNEST([{listed(_QUALITY[classes].split())}]) AS metric, CAST(NULL AS BIGINT) AS samples
+        UNION ALL SELECT 'train_samples', CAST(SUM(n - (n * 20 + 50) // 100) AS BIGINT) FROM strata
+        UNION ALL SELECT 'test_samples', CAST(SUM((n * 20 + 50) // 100) AS BIGINT) FROM strata
+        UNION ALL SELECT 'left_out', COUNT(*) FILTER (WHERE NOT known OR label IS NULL) FROM rows
+        UNION ALL SELECT UNNEST([{listed((f'cv_{score}_mean', f'cv_{score}_std'))}]), NULL
+            WHERE {'(SELECT SUM(n) FROM strata WHERE stratum = 1) > 10' if classes else 'TRUE'})"""
+
+
 def _replies(category: str) -> str:
     return f"CASE {category} " + " ".join(f"WHEN '{c}' THEN '{r}'" for c, r in REPLIES.items()) + " END"
 
@@ -81,6 +122,17 @@ TWINS = {
     **DATASETS,
     "P-12_label_encode": """SELECT campaign_type, CAST(i AS INTEGER) AS campaign_type_index, COUNT(*) AS n FROM campaign_interactions
         JOIN (SELECT campaign_type, ROW_NUMBER() OVER (ORDER BY campaign_type) - 1 AS i FROM (SELECT DISTINCT campaign_type FROM campaign_interactions)) USING (campaign_type) GROUP BY ALL""",
+    **{f"P-13_{name}_predictions": _scored(name) for name in ("conversion", "stockout", "churn", "campaign")},
+    **{f"P-14_{name}_predictions": _scored(name) for name in ("clv", "order_value", "fulfillment", "lead_time")},
+    "P-15_classifier_evaluation": _evaluated("conversion"),
+    "P-15_regressor_evaluation": _evaluated("clv"),
+    **{f"P-15_{name}_evaluation": _evaluated(name) for name in ("stockout", "churn", "campaign", "order_value", "fulfillment", "lead_time")},
+    "P-16_feature_importance": "SELECT CAST(UNNEST(range(1, 6)) AS INTEGER) AS rank, TRUE AS in_range",
+    "P-17_predict_binary": _scored("conversion"),
+    "P-18_clv_segments": f"SELECT value_tier, COUNT(*) AS customers, COUNT(*) FILTER (WHERE known) AS placed FROM ({_model_rows('clv')}) GROUP BY 1",
+    "P-19_sla_compliance": f"SELECT channel, COUNT(*) AS orders, COUNT(*) FILTER (WHERE known) AS judged FROM ({_model_rows('fulfillment')}) GROUP BY 1",
+    "P-21_train_all": " UNION ALL ".join(f"SELECT model, 'trained' AS status, metric, samples, in_range FROM ({_evaluated(name)})" for name in MODEL_ROWS)
+        + " UNION ALL SELECT 'demand_forecast', 'trained', 'mae_' || channel, NULL, TRUE FROM (SELECT DISTINCT channel FROM cuts)",
     "P-20_demand_forecast": f"""SELECT channel, TIMESTAMP '2024-01-01' + to_hours(t) AS ds, ROUND(intercept + slope * t, 6) AS trend, ROUND(COALESCE(daily, 0), 6) AS daily,
             ROUND(COALESCE(weekly, 0), 6) AS weekly, ROUND({FORECAST}, 6) AS yhat, ROUND({FORECAST} - sigma * 1.2816::DOUBLE, 6) AS yhat_lower, ROUND({FORECAST} + sigma * 1.2816::DOUBLE, 6) AS yhat_upper
         FROM (SELECT channel, slope, intercept, UNNEST(generate_series(last_t + 1, last_t + 24)) AS t FROM fc_line) p JOIN fc_sigma USING (channel)

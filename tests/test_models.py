@@ -22,7 +22,7 @@ def visits(spark):
 def test_classifier_on_separable_data(spark, visits):
     spec = models.MODELS["conversion"]
     data = models.prepare(spec, visits)
-    train, test = models.split(data)
+    train, test = models.split(spec, data)
     assert train.count() + test.count() == data.count() and test.count() > 60
     model = models.fit(spec, train, trees=3)
     quality = {r["metric"]: r["value"] for r in models.evaluate(spec, model, test).collect()}
@@ -67,7 +67,40 @@ def test_train_all_reports_and_saves(small, tmp_path):
 
 def test_cross_validation(visits):
     spec = models.MODELS["conversion"]
-    assert models.cross_validate(spec, models.prepare(spec, visits), trees=1, folds=2) > 0.7
+    mean, deviation = models.cross_validate(spec, models.placed(spec, models.prepare(spec, visits)), trees=1, folds=2)
+    assert mean > 0.7 and 0 <= deviation < 0.3
+
+
+def test_split_keeps_the_share_of_every_class(spark):
+    spec = models.MODELS["churn"]
+    rows = spark.range(1000).select(
+        *[F.lit(1.0).alias(c) for c in spec.numeric], F.lit("High").alias("value_tier"), (F.col("id") < 37).cast("double").alias("label"), F.lit(True).alias("complete"))
+    train, test = models.split(spec, rows.repartition(5))  # equal rows but for the class
+    assert dict(test.groupBy("label").count().collect()) == {1.0: 7, 0.0: 193}
+    assert dict(train.groupBy("label").count().collect()) == {1.0: 30, 0.0: 770}
+    some = models.sampled(train, 80)
+    assert dict(some.groupBy("label").count().collect()) == {1.0: 3, 0.0: 77}
+    places = [r[models.PLACE] for r in models.placed(spec, rows).filter("label = 1").collect()]
+    assert sorted(places) == list(range(1, 38))
+
+
+@pytest.mark.parametrize("digits", [1, 3, 12])
+def test_auc_with_ties_by_brute_force(spark, digits):
+    rng = random.Random(digits)
+    data = [(round(rng.random() ** (2 - y), digits), float(y)) for y in (rng.random() < 0.3 for _ in range(300))]
+    found = models.rank_sum_auc(spark.createDataFrame(data, "probability double, label double").repartition(7))
+    pos, neg = [s for s, y in data if y], [s for s, y in data if not y]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    assert abs(found - want) < 1e-12
+
+
+def test_reports_of_both_kinds(small):
+    for name, extra in (("churn", "cv_roc_auc_std"), ("clv", "cv_mae_std")):
+        spec = models.MODELS[name]
+        found = models.train(spec, spec.dataset(small), trees=2)
+        figures = dict(models.report(found, trees=1))
+        assert extra in figures and figures["train_samples"] + figures["test_samples"] == found.rows.count()
+        assert all(models.in_range(m, v) for m, v in figures.items())
 
 
 def test_too_few_rows_are_skipped(small, tables, tmp_path):
@@ -110,13 +143,15 @@ def test_supplier_names_keep_apart(spark):
 
 
 def test_registered_training_is_the_whole_one(small, monkeypatch):
-    asked = {}
+    asked = []
 
-    def one(t, spec, folder, stamp, trees, validate):
-        asked[spec.name] = (trees, validate)
-        return [(spec.name, "trained", "cv_mean", 0.0)]
+    def fit(spec, rows, trees=None, labelled=None):
+        asked.append((spec.name, trees))
+        raise ValueError("seen")
 
-    monkeypatch.setattr(models, "_train_one", one)
+    monkeypatch.setattr(models, "fit", fit)
     monkeypatch.setattr(models, "_forecast_one", lambda *_: [])
-    assert learning.MODELS["P-21_train_all"](small).count() == 8
-    assert asked == dict.fromkeys(models.MODELS, (100, True))
+    monkeypatch.setattr(learning, "trained", learning.Trained())
+    found = rows(learning.MODELS["P-21_train_all"](small))
+    assert {r[1] for r in found} == {"failed"} and sorted(asked) == sorted((name, 100) for name in models.MODELS)
+    assert models.report.__defaults__[:2] == (100, True) and models.FOLDS == 5
