@@ -1,17 +1,16 @@
-"""Ordered calculations that do not put a whole key into one task.
+"""Ordered calculations that do not put a whole key into one task: parallel prefix scans.
 
-A plain window over ``PARTITION BY key ORDER BY t`` sorts all rows of a key in a single task, so
-one key that holds a third of the table stalls the job. The functions here cut a hot key into
-*slices*: an expression of the ordering columns that never decreases along the order (a day, an
-hour, an id range). Work inside a slice runs in parallel for the same key, one small row per slice
-carries the result across slices, and a join on (key, slice) puts both together. The answer equals
-the plain window, only the parallelism differs.
+A plain window over ``PARTITION BY key ORDER BY t`` sorts all rows of a key in a single task, so one key that holds a third of the
+table stalls the job. Here rows are dealt by ranges of (key, order), so that a key takes as many partitions as it needs; work
+inside a part of a key runs in parallel, one small row per part and key carries the result across parts, and a join puts both
+together. The answer equals the plain window, only the parallelism differs. No size is asked for and no key is special.
 
-Which keys are hot is found by one key-only count before the plan is built. ``hot_rows=None`` skips it,
-for inputs whose keys have a known bound (say, one row per calendar day).
+The dealt rows are written to the shared folder once, when the calculation is asked for: the parts' totals and the rows must see the
+same borders, which Spark samples anew for each plan, and a lost executor costs no recomputation. Rows that are equal in key and
+order stay in one part, so an order without ties splits any key.
 
-Key and slice travel as one struct column: struct equality treats NULL fields as equal, and the
-window, the aggregation and the join then share one hash partitioning of the rows.
+Key and part travel as one struct column: struct equality treats NULL fields as equal, and the window, the aggregation and the
+join then share one hash partitioning of the rows.
 """
 
 from __future__ import annotations
@@ -20,122 +19,53 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SLICE, SLOT = "__slice", "__slot"
+from tallyhouse.session import scratch_dir
 
+PART, SLOT = "__part", "__slot"
 
-def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
-    return df.withColumn(SLICE, slice_by).withColumn(SLOT, F.struct(*keys, SLICE))
 
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """Rows in ranges of (keys, order), with the number of their range: a higher number comes later."""
+    rows = df.repartitionByRange(*[F.col(k) for k in keys], *[F.col(c) if isinstance(c, str) else c for c in order])
+    path = scratch_dir(df.sparkSession, "dealt")
+    rows.withColumn(PART, F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path).withColumn(SLOT, F.struct(*keys, PART))
 
-def _slot() -> Column:
-    return F.col(SLOT)
 
-
-def _carry(per_slice: DataFrame, keys: Sequence[str], before: Column) -> DataFrame:
-    return per_slice.select(F.struct(*keys, SLICE).alias(SLOT), before.alias("__before"))
+def _carry(per_part: DataFrame, keys: Sequence[str], before: Column) -> DataFrame:
+    return per_part.select(F.struct(*keys, PART).alias(SLOT), before.alias("__before"))
 
 
 def _earlier(keys: Sequence[str]):
-    return W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, max_keys: int = 10_000) -> list | None:
-    """Keys with more than ``hot_rows`` rows, or None when there are more than ``max_keys`` of them.
-
-    One key-only aggregation with map-side combine; at most ``max_keys`` + 1 rows reach the driver.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
-    found = counted.select(*keys).limit(max_keys + 1).collect()
-    return found if len(found) <= max_keys else None
-
-
-def _slice_hot(df: DataFrame, keys: Sequence[str], slice_by: Column, hot_rows: int | None) -> DataFrame | None:
-    """Rows with their slot, where only hot keys are sliced; None when no key is hot."""
-    if hot_rows is None:
-        return None
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:  # very many hot keys: slice every key, nothing is broadcast
-        return _sliced(df, keys, slice_by).withColumn("__hot", F.lit(True))
-    if not hot:
-        return None
-    marks = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
-    marks = marks.select(F.struct(*keys).alias("__key"), F.lit(True).alias("__mark"))
-    marked = df.withColumn("__key", F.struct(*keys)).join(F.broadcast(marks), "__key", "left")
-    marked = marked.withColumn("__hot", F.coalesce("__mark", F.lit(False))).drop("__key", "__mark")
-    return _sliced(marked, keys, F.when(F.col("__hot"), slice_by))
-
-
-def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence,
-    value: str,
-    slice_by: Column,
-    out: str,
-    hot_rows: int | None = 2_000_000,
-) -> DataFrame:
-    """Running total of ``value`` along ``order`` within ``keys``; ``slice_by`` must follow the order.
-
-    Keys of up to ``hot_rows`` rows take the plain window (one shuffle); larger ones are sliced.
-    """
-    whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = _slice_hot(df, keys, slice_by, hot_rows)
-    if rows is None:
-        return df.withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)))
-    per_slice = rows.filter("__hot").groupBy(*keys, SLICE).agg(F.sum(value).alias("__s"))
-    carry = _carry(per_slice, keys, F.coalesce(F.sum("__s").over(_earlier(keys)), F.lit(0)))
-    inside = W.partitionBy(_slot()).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    """Over the parts of a key: at most as many rows as there are partitions."""
+    return W.partitionBy(*keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str) -> DataFrame:
+    """Running total of ``value`` along ``order`` within ``keys``."""
+    rows = _dealt(df, keys, order)
+    sums = rows.groupBy(*keys, PART).agg(F.sum(value).alias("__s"))
+    carry = _carry(sums, keys, F.coalesce(F.sum("__s").over(_earlier(keys)), F.lit(0)))
+    inside = W.partitionBy(SLOT).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = rows.join(carry, SLOT, "left")
-    joined = joined.withColumn(out, F.coalesce("__before", F.lit(0)) + F.col("__in"))
-    return joined.drop(SLICE, SLOT, "__hot", "__in", "__before")
-
-
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence, slice_by: Column, out: str, hot_rows: int | None = 2_000_000
-) -> DataFrame:
-    """1, 2, 3, ... along ``order`` within ``keys``.
-
-    With no keys this numbers the whole table slice by slice, and ``slice_by`` must then have few
-    distinct values: one row per slice passes through one task.
-    """
-    if keys:
-        ones = df.withColumn("__one", F.lit(1))
-        return running_sum(ones, keys, order, "__one", slice_by, out, hot_rows).drop("__one")
-    rows = df.withColumn(SLICE, slice_by)
-    carry = rows.groupBy(SLICE).agg(F.count(F.lit(1)).alias("__n"))
-    carry = carry.select(SLICE, F.coalesce(F.sum("__n").over(_earlier([])), F.lit(0)).alias("__before"))
-    rows = rows.withColumn("__in", F.row_number().over(W.partitionBy(SLICE).orderBy(*order)))
-    joined = rows.join(carry, SLICE).withColumn(out, F.col("__before") + F.col("__in"))
-    return joined.drop(SLICE, "__in", "__before")
-
-
-def previous_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    slice_by: Column,
-    out: str,
-    hot_rows: int | None = 2_000_000,
-) -> DataFrame:
+    return rows.join(carry, SLOT).withColumn(out, F.col("__before") + F.col("__in")).drop(PART, SLOT, "__in", "__before")
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, out: str) -> DataFrame:
+    """1, 2, 3, ... along ``order`` within ``keys``, or over the whole table without keys."""
+    return running_sum(df.withColumn("__one", F.lit(1)), keys, order, "__one", out).drop("__one")
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Value of the row before, along ``order`` within ``keys`` (NULL for the first row)."""
-    rows = _slice_hot(df, keys, slice_by, hot_rows)
-    if rows is None:
-        return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
-    # A struct keeps "no earlier slice" apart from an earlier value that is NULL.
-    per_slice = rows.filter("__hot").groupBy(*keys, SLICE).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
-    )
-    carry = _carry(per_slice, keys, F.lag("__last").over(W.partitionBy(*keys).orderBy(SLICE)))
-    inside = W.partitionBy(_slot()).orderBy(*order)
-    rows = rows.withColumn("__prev", F.lag(value).over(inside)).withColumn(
-        "__first", F.row_number().over(inside) == 1
-    )
-    joined = rows.join(carry, SLOT, "left").withColumn(
-        out, F.when(F.col("__first"), F.col("__before.v")).otherwise(F.col("__prev"))
-    )
-    return joined.drop(SLICE, SLOT, "__hot", "__prev", "__first", "__before")
+    rows = _dealt(df, keys, order)
+    # A struct keeps "no earlier part" apart from an earlier value that is NULL.
+    last = rows.groupBy(*keys, PART).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last"))
+    carry = _carry(last, keys, F.lag("__last").over(W.partitionBy(*keys).orderBy(PART)))
+    inside = W.partitionBy(SLOT).orderBy(*order)
+    rows = rows.withColumn("__prev", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    joined = rows.join(carry, SLOT).withColumn(out, F.when(F.col("__first"), F.col("__before.v")).otherwise(F.col("__prev")))
+    return joined.drop(PART, SLOT, "__prev", "__first", "__before")
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out: str = "rank") -> DataFrame:

@@ -48,12 +48,8 @@ def recommendations(customers: DataFrame, products: DataFrame, k: int = 3, seed:
     start picks k consecutive positions. Each pick is an equi-join on (category, position), so a
     customer costs k rows whatever the size of the catalogue.
     """
-    by_category = ordered.row_numbers(
-        products.select("sku", "category"), ["category"], ["sku"], F.floor(F.col("sku") / 100_000), "position"
-    )
-    overall = ordered.row_numbers(
-        products.select("sku", "category"), [], ["sku"], F.floor(F.col("sku") / 100_000), "position"
-    )
+    by_category = ordered.row_numbers(products.select("sku", "category"), ["category"], ["sku"], "position")
+    overall = ordered.row_numbers(products.select("sku", "category"), [], ["sku"], "position")
     sizes = products.groupBy("category").agg(count_rows().alias("__size"))
     everything = products.agg(count_rows().alias("__size"))
     start = F.col("customer_id").cast("decimal(38,0)") * F.lit(7919) + F.lit(seed)
@@ -104,7 +100,6 @@ def loyalty_ledger(transactions: DataFrame) -> DataFrame:
         ["customer_id"],
         ["transaction_date", "transaction_id"],
         "points_change",
-        F.to_date("transaction_date"),
         "balance",
     )
 

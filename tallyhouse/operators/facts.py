@@ -89,12 +89,10 @@ def inventory_events(
 ) -> DataFrame:
     """Stock before and after each movement, with the policy of its SKU and location.
 
-    The running total follows time within (sku, location). Hot SKUs are cut by simulation day.
+    The running total follows time within (sku, location).
     """
     order = ["event_time", *tie_break]
-    moved = ordered.running_sum(
-        movements, ["sku", "location"], order, "quantity_change", F.floor(F.col("event_time") / 24), "__moved"
-    )
+    moved = ordered.running_sum(movements, ["sku", "location"], order, "quantity_change", "__moved")
     levels = policy.select(
         "sku", F.col("location_id").alias("location"), F.col("reorder_point"), F.col("safety_stock")
     )
@@ -187,9 +185,7 @@ def reorder_triggers(positions: DataFrame, policy: DataFrame) -> DataFrame:
 def fifo_backorders(queue: DataFrame, stock: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """Serve waiting orders in time order while the stock lasts; the first that does not fit stops the
     queue of its SKU and location, so a running total up to the stock is exactly what gets served."""
-    waiting = ordered.running_sum(
-        queue, ["sku", "location_id"], ["queued_at", *tie_break], "quantity", F.col("queued_at"), "needed"
-    )
+    waiting = ordered.running_sum(queue, ["sku", "location_id"], ["queued_at", *tie_break], "quantity", "needed")
     levels = stock.select("sku", "location_id", F.col("quantity_on_hand").alias("available"))
     return waiting.join(levels, ["sku", "location_id"]).withColumn("served", F.col("needed") <= F.col("available"))
 

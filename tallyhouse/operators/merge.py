@@ -68,13 +68,13 @@ def upsert(target: DataFrame, source: DataFrame, key: Sequence[str], columns: Se
     )
 
 
-def next_ids(existing: DataFrame, id_column: str, rows: DataFrame, order: str, start: int = 10_000, span: int = 100_000) -> DataFrame:
+def next_ids(existing: DataFrame, id_column: str, rows: DataFrame, order: str, start: int = 10_000) -> DataFrame:
     """Ids above every existing one (and above ``start``), consecutive along a numeric ``order`` column.
 
-    Rows are numbered range by range of the order column, so no task sees the whole table.
+    Rows are numbered in ranges of the order column, so no task sees the whole table.
     """
     top = existing.agg(F.greatest(F.coalesce(F.max(id_column), F.lit(0)), F.lit(start)).alias("__top"))
-    numbered = ordered.row_numbers(rows, [], [order], F.floor(F.col(order) / span), "__n")
+    numbered = ordered.row_numbers(rows, [], [order], "__n")
     return numbered.withColumn("new_id", only_value(top) + F.col("__n")).drop("__n")
 
 

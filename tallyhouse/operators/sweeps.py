@@ -281,9 +281,7 @@ def composite_rank(scores: DataFrame, weights: tuple[float, float, float] = WEIG
     composite = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"{m}_norm") for w, m in zip(weights, MEASURES)])
     scored = scored.withColumn("composite", F.round(composite, 8))
     order = [F.desc("composite"), F.asc("scenario_id")]
-    return ordered.row_numbers(
-        scored, ["sweep"], order, F.floor((F.lit(2.0) - F.col("composite")) * 10_000), "rank"
-    )
+    return ordered.row_numbers(scored, ["sweep"], order, "rank")
 
 
 def recommend_params(ranked: DataFrame, top_n: int = 5) -> DataFrame:

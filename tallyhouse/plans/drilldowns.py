@@ -6,9 +6,8 @@ last sort column so that ties have one order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhouse.functions import ordered
 from tallyhouse.functions.exprs import activity_state, corr_or_null, count_rows, int_sum, mean, only_value, pct, ratio, total
 from tallyhouse.operators import customers as cust
 from tallyhouse.plans import metrics
@@ -360,13 +359,13 @@ def state_transitions(t) -> DataFrame:
     """Moves of customers between activity states from one purchase day to the next. The state on a
     purchase day follows from the days since the purchase before.
 
-    A customer has one row per calendar day at most, so the windows need no slicing.
+    A customer has one row per calendar day at most, so plain windows do.
     """
     days = t["customer_purchase_history"].select("customer_id", F.to_date("purchase_date").alias("day")).distinct()
-    gaps = ordered.previous_value(days, ["customer_id"], ["day"], "day", F.col("day"), "before", hot_rows=None)
+    along = Window.partitionBy("customer_id").orderBy("day")
+    gaps = days.withColumn("before", F.lag("day").over(along))
     states = gaps.withColumn("state", activity_state(F.datediff("day", "before"))).filter("before IS NOT NULL")
-    moves = ordered.previous_value(
-        states.select("customer_id", "day", "state"), ["customer_id"], ["day"], "state", F.col("day"), "from_state", hot_rows=None)
+    moves = states.select("customer_id", "day", "state").withColumn("from_state", F.lag("state").over(along))
     return (
         moves.filter("from_state IS NOT NULL")
         .groupBy("from_state", F.col("state").alias("to_state"))

@@ -198,7 +198,10 @@ def _plain_time(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def raw_stream(t) -> DataFrame:
-    parsed = reviews.parse_raw(review_lines(stream_table(t, "documents")))
+    """The feed as files of JSON lines, read in four micro-batches; faulty lines and replays fall into any of them."""
+    folder, files = scratch_dir(t.spark, "review-files"), max(8, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    review_lines(t["documents"]).repartition(files).write.text(folder)
+    parsed = reviews.parse_raw(reviews.raw_review_stream(t.spark, folder, -(-files // 4)))
     keyed = parsed.filter("error_message IS NULL").select("id", "review_text", "status", "created_at")
     return _plain_time(_stream(t, keyed, ["id"]), "created_at")
 
@@ -281,23 +284,28 @@ def exactly_once(t) -> DataFrame:
 
 def hourly(t) -> DataFrame:
     live = RetailTables(t.spark, t.sf_dir, {"events": stream_table(t, "events")})
-    result = _stream(t, windows.hourly_demand(live["customer_journeys"]), ["window_start", "channel"])
-    return _plain_time(result, "window_start")
+    return _plain_time(_windows(t, live["customer_journeys"], windows.hourly_store()), "window_start")
 
 
-def _stored_events(t) -> DataFrame:
+def _windows(t, stream: DataFrame, store: windows.WindowStore) -> DataFrame:
+    """All windows of a stream, from the parts that its micro-batches left."""
+    log, checkpoint = scratch_dir(t.spark, "stream-log"), scratch_dir(t.spark, "stream-checkpoint")
+    windows.record_windows(stream, store, log, checkpoint).awaitTermination()
+    return windows.current_windows(t.spark, store, log)
+
+
+def _stored_events(t, files_per_batch: int | None = None) -> DataFrame:
     """Stock events as a stream: of the stored table where there is one."""
     events = t["inventory_events_keyed"]
     if (path := t.stored.get("inventory_events_keyed")) is None:
         path = scratch_dir(t.spark, "inventory-events")
         events.write.parquet(path)
-    return t.spark.readStream.schema(events.schema).parquet(path)
+    reader = t.spark.readStream.schema(events.schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def daily(t) -> DataFrame:
-    result = _stream(
-        t, windows.daily_snapshot(_stored_events(t), tuple(MOVE_ORDER)), ["window_start", "sku", "location"])
-    return _plain_time(result, "window_start")
+    return _plain_time(_windows(t, _stored_events(t, 4), windows.daily_store(tuple(MOVE_ORDER))), "window_start")
 
 
 def alerts(t) -> DataFrame:

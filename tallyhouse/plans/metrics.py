@@ -206,9 +206,7 @@ def health_check(t) -> DataFrame:
 
 def trend(snapshots: DataFrame) -> DataFrame:
     """Change of each metric against the run before: (metric_id, run, value) in, direction out."""
-    moved = ordered.previous_value(
-        snapshots, ["metric_id"], ["run"], "value", F.floor(F.col("run") / 1000), "previous"
-    )
+    moved = ordered.previous_value(snapshots, ["metric_id"], ["run"], "value", "previous")
     value, previous = F.col("value"), F.col("previous")
     change = F.when(previous == 0, 0.0).otherwise(F.abs(F.try_divide((value - previous) * 100.0, previous)))
     return moved.select(

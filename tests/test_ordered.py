@@ -1,4 +1,4 @@
-"""Sliced calculations against brute force, with one key holding a third of the rows."""
+"""Prefix scans against brute force, with one key holding a third of the rows."""
 
 import random
 
@@ -26,10 +26,9 @@ def _groups(rows):
     return {k: sorted(g, key=lambda r: (r[1], r[2])) for k, g in groups.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [10, 100, 1_000_000, None])
-def test_running_sum(events, hot_rows):
+def test_running_sum(events):
     df, rows = events
-    got = ordered.running_sum(df, ["key"], ["day", "id"], "v", F.floor(F.col("day") / 4), "s", hot_rows)
+    got = ordered.running_sum(df, ["key"], ["day", "id"], "v", "s")
     expected = {}
     for group in _groups(rows).values():
         acc = 0
@@ -40,10 +39,9 @@ def test_running_sum(events, hot_rows):
     assert got.columns == [*df.columns, "s"]
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_previous_value_carries_nulls_across_slices(events, hot_rows):
+def test_previous_value_carries_nulls_across_parts(events):
     df, rows = events
-    got = ordered.previous_value(df, ["key"], ["day", "id"], "state", F.col("day"), "p", hot_rows)
+    got = ordered.previous_value(df, ["key"], ["day", "id"], "state", "p")
     expected = {}
     for group in _groups(rows).values():
         before = None
@@ -55,23 +53,30 @@ def test_previous_value_carries_nulls_across_slices(events, hot_rows):
 
 def test_row_numbers_by_key_and_over_the_whole_table(events):
     df, rows = events
-    got = ordered.row_numbers(df, ["key"], ["day", "id"], F.floor(F.col("day") / 4), "n", 10)
+    got = ordered.row_numbers(df, ["key"], ["day", "id"], "n")
     expected = {r[2]: i + 1 for g in _groups(rows).values() for i, r in enumerate(g)}
     assert {r["id"]: r["n"] for r in got.collect()} == expected
-    whole = ordered.row_numbers(df, [], ["id"], F.floor(F.col("id") / 100), "n")
+    whole = ordered.row_numbers(df, [], ["id"], "n")
     assert all(r["n"] == r["id"] + 1 for r in whole.collect())
 
 
-def test_too_many_hot_keys_slice_every_key(events, monkeypatch):
-    df, rows = events
-    real = ordered.hot_keys
-    assert real(df, ["key"], 1, max_keys=3) is None
-    monkeypatch.setattr(ordered, "hot_keys", lambda *a, **k: None)
-    got = ordered.running_sum(df, ["key"], ["day", "id"], "v", F.col("day"), "s")
-    assert got.groupBy().agg(F.max("s")).first()[0] is not None
-    monkeypatch.undo()
-    plain = ordered.running_sum(df, ["key"], ["day", "id"], "v", F.col("day"), "s", None)
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+def test_one_key_on_one_day_takes_many_tasks(spark):
+    """All rows under one key and one day: each part of the key stays small."""
+    df = spark.range(20_000).select(F.lit("k").alias("key"), F.lit(1).alias("day"), (F.col("id") * 7919 % 20_000).alias("id"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordered.running_sum(df, ["key"], ["day", "id"], "v", "s")
+        assert got.filter(F.col("s") != F.col("id") + 1).count() == 0
+        parts = [r["n"] for r in ordered._dealt(df, ["key"], ["day", "id"]).groupBy(ordered.PART).agg(F.count("*").alias("n")).collect()]
+        assert len(parts) == 4 and max(parts) < 8_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_an_empty_table(events):
+    df, _ = events
+    assert ordered.running_sum(df.limit(0), ["key"], ["day", "id"], "v", "s").collect() == []
+    assert ordered.row_numbers(df.limit(0), [], ["id"], "n").collect() == []
 
 
 def test_top_n_limits_before_the_shuffle(events):

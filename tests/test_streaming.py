@@ -116,6 +116,34 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert run() == [(0, 2), (10, 2)]
 
 
+def test_the_window_store_counts_late_rows(spark, tmp_path):
+    """One file per micro-batch, out of time order and days late: the answer is that of one batch over all rows."""
+    import random
+
+    rng = random.Random(4)
+    visits = [(rng.random() * 6000, rng.choice(["online", "store"]), rng.random() < 0.6, rng.random() < 0.2, round(rng.random() * 90, 2), rng.randrange(5)) for _ in range(300)]
+    schema = "arrival_time double, channel string, completed boolean, abandoned boolean, total_amount double, basket_size int"
+    moves = [(rng.random() * 200, k, "s" + str(k % 3), k % 2, rng.choice(["SALE", "RECEIPT", "COUNT"]), rng.randrange(-9, 9), rng.randrange(-2, 9)) for k in range(300)]
+    moves += [(48.0, 900 + k, "s0", 0, "SALE", -1, k) for k in range(5)]  # ties of time, apart by number
+    fields = "event_time double, n int, sku string, location int, event_type string, quantity_change int, quantity_after int"
+    for data, form, store, plain in (
+        (visits, schema, windows.hourly_store(), windows.hourly_demand),
+        (moves, fields, windows.daily_store(("n",)), lambda df: windows.daily_snapshot(df, ("n",))),
+    ):
+        folder, log, checkpoint = (str(tmp_path / f"{len(form)}-{x}") for x in ("in", "log", "cp"))
+        for k in range(6):
+            spark.createDataFrame(data[5 - k :: 6], form).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(form).option("maxFilesPerTrigger", 1).parquet(folder)
+        windows.record_windows(stream, store, log, checkpoint).awaitTermination()
+        assert len(list(Path(log).glob("batch_id=*"))) == 6
+        want = plain(spark.createDataFrame(data, form))
+        got = windows.current_windows(spark, store, log).select(*want.columns)
+        assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert rows(got) == rows(want)
+        parts = spark.read.option("basePath", log).parquet(log).drop("batch_id")
+        assert rows(store.finish(store.merge(store.merge(parts))).select(*want.columns)) == rows(want)  # merged parts are parts
+
+
 def test_alerts(spark):
     events = spark.createDataFrame([("e1", "a", 0, 1.0, 0), ("e2", "a", 0, 2.0, 5), ("e3", "a", 0, 3.0, 50), ("e4", "z", 0, 1.0, 0)], "event_id string, sku string, location int, event_time double, quantity_after int")
     policy = spark.createDataFrame([("a", 0, 10, 100, "s")], "sku string, location_id int, reorder_point int, order_quantity int, supplier_id string")
