@@ -36,6 +36,8 @@ PART_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20
 #: Ranges that one exchange deals to.
 FAN = 256
+#: Parts of a language that are ranked by themselves, step by step.
+SALTS = (1024, 16)
 PIECES = "range int, part int, blob binary"
 
 _SPACE, _BREAK = 1, 2
@@ -238,8 +240,11 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     around = inner.select("lang", F.array_join(F.slice(split, F.col("start"), F.col("size")), " ").alias("phrase"), "longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     alone = f"longer IS NULL OR CAST(longer AS DECIMAL(20, 0)) * 100 < CAST(a AS DECIMAL(20, 0)) * {covered}"
     kept = lowest.join(around, ["lang", "phrase"], "left").where(alone).withColumn("score", F.expr("key DIV 8"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    for parts in SALTS:  # a language's best are among the best of its parts, and no task sorts all its candidates
+        part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+        kept = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     total = rows.where("words = 0").select("lang", F.col("count").alias("n"))
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
