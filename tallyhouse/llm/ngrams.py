@@ -17,6 +17,8 @@ share a doc_id and a text are scored, and counted, each for itself.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,7 +64,7 @@ class Tokens:
         before[self.bounds[:-1]] = START
         self.first = self.bounds[:-1]
         train = np.array(table.column("carried_0").to_pylist(), bool)
-        fold = np.array([m % FOLDS == 0 for m in table.column("mark").to_pylist()], bool) & train
+        fold = np.array([x.is_valid and zlib.crc32(x.as_buffer()) % FOLDS == 0 for x in table.column("text")], bool) & train
         self.train, self.fold = np.repeat(train, np.diff(self.bounds)), np.repeat(fold, np.diff(self.bounds))
         single, pair = W.mixed(token), W.mixed(W.mixed(before) * _PAIR + token)
         self.keys, place = np.unique(np.concatenate((single, pair, W.mixed(np.array([START])))), return_inverse=True)
