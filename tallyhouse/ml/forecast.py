@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyhouse.functions.exprs import count_rows
 
 MIN_ROWS = 24
+ALL = "__all"
 INTERVAL_WIDTH = 1.2816  # 80 % of a normal distribution
 
 
@@ -30,6 +31,11 @@ def _calendar(df: DataFrame) -> DataFrame:
     return df.withColumn("hour", F.col("t") % 24).withColumn("day", (F.floor(F.col("t") / 24) % 7).cast("int"))
 
 
+def _together(demand: DataFrame) -> DataFrame:
+    """One key for all rows, taken from a column: joins on a literal would lose their condition."""
+    return demand.withColumn(ALL, F.col("hour_of_day") - F.col("hour_of_day"))
+
+
 def fit(series: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trend per key, then the mean remainder per hour, then per day. The trend also carries the
     spread of what is left."""
@@ -63,7 +69,9 @@ def components(points: DataFrame, fitted: tuple[DataFrame, DataFrame, DataFrame]
 
 
 def forecast(demand: DataFrame, periods: int = 24, keys: Sequence[str] = ("channel",)) -> DataFrame:
-    """The next ``periods`` hours of each channel."""
+    """The next ``periods`` hours of each channel, or of all together without keys."""
+    if not keys:
+        return forecast(_together(demand), periods, (ALL,)).drop(ALL)
     series = hourly_series(demand, keys)
     fitted = fit(series, keys)
     ahead = fitted[0].select(*keys, F.explode(F.sequence(F.col("last_t") + 1, F.col("last_t") + periods)).alias("t"))
@@ -86,6 +94,8 @@ def cross_validation(
 
     A week has at most 12 cut-offs, so the copies of the series stay small.
     """
+    if not keys:
+        return cross_validation(_together(demand), initial, period, horizon, (ALL,)).drop(ALL)
     series = hourly_series(demand, keys)
     span = series.groupBy(*keys).agg(F.max("t").alias("__last"))
     cuts = span.filter(F.col("__last") >= initial + horizon - 1).select(

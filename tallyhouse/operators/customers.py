@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.functions import ordered
+from tallyhouse.functions import ordered, selection
 from tallyhouse.functions.exprs import (
     activity_state,
     churn_risk,
@@ -252,5 +252,5 @@ def customer_scores(snapshots: DataFrame) -> DataFrame:
 def spend_stagnation(snapshots: DataFrame) -> DataFrame:
     """Share of customers whose spend per day of tenure is below the median of all."""
     own = F.try_divide(F.col("total_spend"), F.greatest(F.col("days_since_join"), F.lit(1.0)))
-    middle = only_value(snapshots.agg(F.median(own).alias("__middle")))
+    middle = only_value(selection.median(snapshots, own))
     return snapshots.withColumn("__middle", middle).agg(pct(own < F.col("__middle")).alias("value"))

@@ -53,15 +53,23 @@ def scenario_grid(spark: SparkSession, sweep: str, grid: dict[str, list[float]]
     return _scenarios(spark.range(size), sweep, list(grid), chosen)
 
 
+DRAW_MODULUS = 2_147_483_647  # a prime below 2^31: squares stay within 63 bits
+
+
+def draw(seed: int, position: int, index: Column) -> Column:
+    """Number in [0, DRAW_MODULUS) for a counter: squared and shifted four times, so neighbours share no pattern."""
+    x = F.pmod(index.cast("bigint") * 48_271 + F.lit(seed * 69_621 + position * 16_807 + 40_692), F.lit(DRAW_MODULUS))
+    for _ in range(4):
+        x = F.pmod(x * x + index + F.lit(position + 1), F.lit(DRAW_MODULUS))
+    return x
+
+
 def scenario_sample(spark: SparkSession, sweep: str, n: int, seed: int = BASE_SEED) -> DataFrame:
-    """``n`` scenarios with a seeded choice for each parameter."""
+    """``n`` scenarios with a seeded choice for each parameter: any engine with 64-bit integers draws the same."""
     grid = GRIDS[sweep]
     chosen = [
-        F.element_at(
-            F.array(*[F.lit(v) for v in values]),
-            (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id")), F.lit(len(values))) + 1).cast("int"),
-        )
-        for name, values in grid.items()
+        F.element_at(F.array(*[F.lit(v) for v in values]), (draw(seed, position, F.col("id")) % len(values) + 1).cast("int"))
+        for position, values in enumerate(grid.values())
     ]
     return _scenarios(spark.range(n), sweep, list(grid), chosen)
 

