@@ -12,6 +12,7 @@ empty item table leaves every document clean. Other columns pass through; those
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,7 +160,7 @@ SCHEMA = "n_words long, spans array<struct<first: long, stop: long>>, items arra
 
 def item_blocks(items: DataFrame, window: int, block_words: int) -> list[Automaton]:
     """Automata over all items, each over about `block_words` words; one block's items are on the driver at a time."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where(F.col("text").isNotNull())
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))  # a word and its separator take two characters at least
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
@@ -216,6 +217,49 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: A run of hit words is cut out of a text if it has at least this many words, or this share of the text's words.
+CUT_WORDS, CUT_SHARE = 13, 0.05
+
+
+def cut_spans(found: DataFrame, cut_words: int = CUT_WORDS, cut_share: float = CUT_SHARE) -> DataFrame:
+    """The result of `contamination` with the spans beyond a limit taken out of `text`, and n_cut, the words removed.
+
+    A span goes if it has at least `cut_words` words, or at least `cut_share` of the text's words; `spans` lists those
+    cut, in words of the original. The separators after a removed word go with it, all other characters stay as they were.
+    A null text stays null.
+    """
+    size, words = (lambda x: x["stop"] - x["first"]), F.col("n_words")
+    found = found.drop("n_cut")
+    cut = found.withColumn("spans", F.filter("spans", lambda x: (size(x) >= cut_words) | (size(x) >= cut_share * words)))
+    kind = StructType([f for f in cut.schema.fields if f.name != "text"]).add("text", "string").add("n_cut", "long")
+
+    def run(batches):
+        for batch in batches:
+            texts, counts = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                texts.append(_without(text, [(x["first"], x["stop"]) for x in spans or []]))
+                counts.append(sum(x["stop"] - x["first"] for x in spans or []))
+            names = [f.name for f in kind.fields[:-2]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n) for n in names] + [pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[*names, "text", "n_cut"])
+
+    return cut.mapInArrow(run, kind).select(*found.columns, "n_cut")
+
+
+def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    if not spans:
+        return text
+    starts = [m.start() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(_LOWER))] + [len(text)]
+    kept, at = [], 0
+    for first, stop in spans:
+        kept.append(text[at : starts[first]])
+        at = starts[stop]
+    return "".join(kept) + text[at:]
+
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
 #: Contaminated: some word is hit, and hit words are at least one in this many.
 SHARE = 20
 

@@ -30,7 +30,7 @@ class Rule(NamedTuple):
 RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
 BUCKETS = 1024
 SIZES = (3, 4)
-#: The classifier is fitted on at most this many labelled urls, those with the smallest hashes.
+#: The classifier is fitted on at most this many different labelled urls, half of them of each class, those with the smallest hashes.
 MAX_LABELLED = 4000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,7 +67,9 @@ def buckets(host: Column, path: Column) -> Column:
 def fit(labelled: DataFrame) -> tuple[list[float], float]:
     """Weights per bucket and the intercept, from (url, blocked) with blocked 0 or 1."""
     known = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", F.col("blocked").cast("int").alias("blocked"))
-    sample = known.orderBy(F.xxhash64("url"), "url", "blocked").limit(MAX_LABELLED)
+    different = known.distinct()  # copies of one url count once
+    drawn = [different.where(F.col("blocked") == c).orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED // 2) for c in (0, 1)]
+    sample = drawn[0].unionByName(drawn[1])
     host, path = host_and_path(F.col("url"))
     rows = sample.select("blocked", buckets(host, path).alias("pieces"))
     share = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("shares", b), F.lit(0.0)))

@@ -173,3 +173,14 @@ def test_deep_nesting_takes_linear_time():
         assert html.main_text("<article>" + "<div><p>" * n + "word" + "</div>" * n + "</article>", MODEL) in ("", "word")
         took.append(time.perf_counter() - began)
     assert took[1] < 10 * took[0]
+
+
+def test_copies_of_one_url_do_not_fill_the_sample(spark, monkeypatch):
+    """With room for a few urls only, 500 copies of a blocked one leave the allowed ones in."""
+    monkeypatch.setattr(urls, "MAX_LABELLED", 20)
+    hot = [("http://shop0.example/buy/0", 1)] * 500
+    rest = [(f"http://{'shop' if k % 2 else 'news'}{k}.example/{'buy' if k % 2 else 'story'}/{k}", k % 2) for k in range(60)]
+    weights, intercept = urls.fit(spark.createDataFrame(hot + rest, "url string, blocked int"))
+    fresh = spark.createDataFrame([("http://news900.example/story/9",), ("http://shop901.example/buy/9",)], "url string")
+    odds = [r[0] for r in fresh.select(urls.log_odds(*urls.host_and_path(fresh.url), weights, intercept)).collect()]
+    assert odds[0] < 0 < odds[1]

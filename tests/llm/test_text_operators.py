@@ -108,6 +108,34 @@ def brute_contamination(text, items):
     return len(words), len(hit), sorted(found)
 
 
+def test_spans_beyond_a_limit_are_cut(spark):
+    item = " ".join(f"Word{i}" for i in range(15))
+    long = " ".join(f"own{i}" for i in range(400))
+    rows = [
+        (1, f"Before it, {item}! After\tit.", "x"), (2, f"{long} {item} end", "x"), (3, f"{long} alpha beta. {long}", "x"), (4, "Alpha, beta gamma", "x"),
+        (5, item, "x"), (6, None, "x"), (7, "", "x"), (8, long, "x"), (9, f"{item} | ünï {item}", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_cut string")
+    items = spark.createDataFrame([(1, item), (2, "alpha beta"), (1, item)], "item_id long, text string")
+    found = decontaminate.cut_spans(decontaminate.contamination(docs, items))
+    got = {r.doc_id: (r.text, r.n_cut) for r in found.collect()}
+    assert got[1] == ("Before it, After\tit.", 15) and got[2] == (f"{long} end", 15)
+    assert got[3] == (rows[2][1], 0)  # two words of 802 stay
+    assert got[4] == ("gamma", 2) and got[5] == ("", 15) and got[6] == (None, 0) and got[7] == ("", 0) and got[8] == (long, 0)
+    assert got[9] == ("ünï ", 30)
+    assert found.columns == ["doc_id", "text", "n_words", "spans", "items", "n_cut"]
+    again = decontaminate.contamination(found.select("doc_id", "text"), items).select("doc_id", F.size("spans").alias("n")).collect()
+    assert {r.doc_id for r in again if r.n} == {3}
+    assert decontaminate.cut_spans(decontaminate.contamination(docs, items), 2, 1.0).where("doc_id = 3").first().n_cut == 2
+
+
+def test_a_repeated_item_table_gives_the_same(spark):
+    items = spark.createDataFrame([(i % 3, f"some item of the table number {i % 3}") for i in range(600)], "item_id long, text string")
+    assert len(decontaminate.item_blocks(items, 13, 30)) <= 2
+    docs = spark.createDataFrame([(1, "here some item of the table number 2 is")], "doc_id long, text string")
+    assert decontaminate.contamination(docs, items, block_words=30).first()["items"] == ["2"]
+
+
 @pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 30])
 def test_decontamination_by_brute_force(spark, odd_rows, block_words):
     shared = odd_rows[0][1]
