@@ -495,7 +495,7 @@ FORMULAS = {
     "G-32_low_points_vs_tenure": low_points_vs_tenure,
 }
 
-# Which drill-downs explain which KPI, with the label shown.
+# Which drill-downs explain which KPI, with the label shown.
 DRIVERS: dict[str, list[tuple[str, str]]] = {
     "revenue": [("Order Volume", "D-01_order_volume"), ("Average Order Value", "M-04_aov"), ("Basket Size", "D-02_basket_size"),
                 ("Average Unit Price", "D-03_avg_unit_price"), ("Channel Mix", "D-04_channel_mix")],

@@ -13,15 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions import ordered
-from tallyhouse.functions.exprs import only_value, total as fixed_total
-
-
-def total(x: str) -> str:
-    return f"sum(CAST(floor(({x}) * 1e4 + 0.5) AS DOUBLE)) / 1e4"
-
-
-def mean(x: str) -> str:
-    return f"try_divide(sum(CAST(floor(({x}) * 1e4 + 0.5) AS DOUBLE)), count({x}) * 1e4)"
+from tallyhouse.functions.exprs import mean_sql as mean, only_value, total as exact_total, total_sql as total
 
 
 def pct(condition: str, among: str | None = None) -> str:
@@ -56,6 +48,7 @@ INV, IE, IS, SD, CR = "inventory", "inventory_events", "inventory_snapshots", "s
 MAIN, OMNI, ENG, STOCK, REV = "main", "omnichannel", "customer-engagement", "inventory-replenishment", "customer-reviews"
 POSITIVE, NEGATIVE = "('positive', 'very_positive')", "('negative', 'very_negative')"
 
+# Titles, formats and definitions of the KPIs.
 DASHBOARD = (
     Metric("M-01_revenue", MAIN, "Total Revenue", "currency", J, total(_done("total_amount")), "completed"),
     Metric("M-02_customers", MAIN, "Total Customers", "number", S, "count(DISTINCT customer_id)"),
@@ -224,6 +217,6 @@ def hourly_snapshots(t) -> DataFrame:
     per_hour = t["hourly_demand"].groupBy(F.col("hour_of_simulation").cast("int").alias("run")).agg(
         F.sum("arrival_count").cast("double").alias("arrivals"),
         F.sum("order_count").cast("double").alias("orders"),
-        fixed_total("revenue").alias("revenue"),
+        exact_total("revenue").alias("revenue"),
     )
     return per_hour.unpivot(["run"], ["arrivals", "orders", "revenue"], "metric_id", "value")

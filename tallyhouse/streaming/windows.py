@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyhouse.functions.exprs import SCALE, count_rows, fixed, mean, total
+from tallyhouse.functions.exprs import count_rows, exact_parts, joined_parts, mean, total
 
 SIMULATION_START = "2024-01-01 00:00:00"
 STOCK_START = "1995-01-01 00:00:00"
@@ -65,24 +65,27 @@ class WindowStore(NamedTuple):
 def hourly_store() -> WindowStore:
     """Arrivals, orders, revenue and abandonments by tumbling hour and channel."""
     keys = ("window_start", "channel")
-    sums = ("arrival_count", "order_count", "revenue_units", "abandonment_count", "basket_units", "baskets")
+    revenue = ("revenue_whole", "revenue_part", "revenue_rest")
+    sums = ("arrival_count", "order_count", *revenue, "abandonment_count", "basket_sum", "baskets")
 
     def partial(batch: DataFrame) -> DataFrame:
         done = F.col("completed")
         basket = F.when(done & (F.col("basket_size") > 0), F.col("basket_size"))
+        amounts = zip(exact_parts(F.when(done, F.col("total_amount"))), revenue, strict=True)
         timed = with_event_time(batch, "arrival_time", "minutes", SIMULATION_START)
         return timed.groupBy(F.window("event_ts", "1 hour").start.alias("window_start"), "channel").agg(
             count_rows().alias("arrival_count"), F.count_if(done).alias("order_count"),
-            F.sum(fixed(F.when(done, F.col("total_amount")))).alias("revenue_units"), F.count_if("abandoned").alias("abandonment_count"),
-            F.sum(fixed(basket)).alias("basket_units"), F.count(basket).alias("baskets"))
+            *(F.sum(part).alias(name) for part, name in amounts), F.count_if("abandoned").alias("abandonment_count"),
+            F.sum(basket.cast("bigint")).alias("basket_sum"), F.count(basket).alias("baskets"))
 
     def merge(parts: DataFrame) -> DataFrame:
         return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
     def finish(merged: DataFrame) -> DataFrame:
-        basket = F.try_divide("basket_units", F.col("baskets") * F.lit(SCALE))
+        basket = F.try_divide(F.col("basket_sum").cast("double"), F.col("baskets").cast("double"))
+        amount = joined_parts([F.col(c) for c in revenue])
         return merged.select(
-            "channel", "arrival_count", "order_count", F.coalesce(F.col("revenue_units") / F.lit(SCALE), F.lit(0.0)).alias("revenue"),
+            "channel", "arrival_count", "order_count", F.coalesce(amount, F.lit(0.0)).alias("revenue"),
             "abandonment_count", F.coalesce(basket, F.lit(0.0)).alias("avg_basket_size"), "window_start")
 
     return WindowStore(keys, partial, merge, finish)

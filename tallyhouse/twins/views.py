@@ -8,12 +8,17 @@ from __future__ import annotations
 import re
 
 
+UNITS = 2**44
+
+
 def total(x: str) -> str:
-    return f"SUM(FLOOR(({x}) * 1e4 + 0.5)::DOUBLE) / 1e4"
+    """Plain SUM without its dependence on row order: values as whole numbers of 2^-44, summed in HUGEINT, rounded once."""
+    units = f"SUM((({x})::DOUBLE * {UNITS})::HUGEINT)"
+    return f"(({units} // {UNITS})::DOUBLE + ({units} % {UNITS})::DOUBLE / {UNITS})"
 
 
 def mean(x: str) -> str:
-    return f"SUM(FLOOR(({x}) * 1e4 + 0.5)::DOUBLE) / NULLIF(COUNT({x}) * 1e4, 0)"
+    return f"{total(x)} / NULLIF(COUNT({x}), 0)"
 
 
 def pct(cond: str) -> str:

@@ -1,10 +1,15 @@
+from fractions import Fraction
+
+import duckdb
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from conftest import rows
 from tallyhouse import registry
-from tallyhouse.functions.exprs import corr_or_null, mean, pct, total
+from tallyhouse.functions.exprs import corr_or_null, mean, mean_sql, pct, total, total_sql
 from tallyhouse.plans import drilldowns, metrics
+from tallyhouse.twins import views
 
 
 def test_single_pass_equals_one_query_per_metric(small):
@@ -38,6 +43,24 @@ def test_fixed_point_sums_do_not_depend_on_the_order(spark):
     assert df.limit(0).agg(mean("x"), pct(F.col("x") > 0)).first()[0] is None
 
 
+def test_sums_are_exact_and_agree_with_sql_text_and_with_plain_sums(spark):
+    """Totals above 1e12, cancelling and negative values, and values of many decimals, against exact fractions."""
+    large = [9.1e12 + 0.37 * i for i in range(500)] + [-9.1e12 - 0.11 * i for i in range(500)] + [123456789012.35, -0.1, None]
+    small = [0.1 * i / 3 - 7 for i in range(999)] + [0.1, 2.675, None, -1e-9]
+    for values in (large, small, [-0.1], [512.0000000001]):
+        df = spark.createDataFrame([(x,) for x in values], "x double").repartition(5)
+        got = df.agg(total("x"), mean("x"), F.expr(total_sql("x")), F.expr(mean_sql("x")), F.sum("x")).first()
+        known = [Fraction(x) for x in values if x is not None]
+        exact = sum(known)
+        assert got[0] == got[2] and got[1] == got[3]
+        assert abs(Fraction(got[0]) - exact) <= Fraction(len(known), 2**45) + abs(exact) / 2**53
+        assert got[4] == pytest.approx(got[0], rel=1e-6, abs=1e-2)
+        twin = duckdb.sql(f"SELECT {views.total('x')}, {views.mean('x')} FROM (SELECT unnest({[x for x in values if x is not None]}::DOUBLE[]) AS x)").fetchall()[0]
+        assert twin == (got[0], got[1])
+    with pytest.raises(ArithmeticException):
+        spark.createDataFrame([(5e18,), (5e18,)], "x double").agg(total("x")).collect()
+
+
 def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, None)], "a int, b double")
     assert df.agg(corr_or_null("a", "b")).first()[0] is None
