@@ -4,16 +4,15 @@ Each text becomes a vector of transformed statistics. For every language and sou
 the rows (COVERAGE) whose covariance has the smallest determinant: each step computes all rows' Mahalanobis distances from the
 current centre and covariance and takes the mean and covariance of the nearest rows. The distances are rescaled so that
 their median is that of a chi-square law, and rows beyond CUTOFF are rejected. Sources with fewer than MIN_ROWS rows of a language are pooled into one group of that language.
-If that group is still smaller than MIN_ROWS, the query judges its rows by the estimate of all rows of all languages (widest), which
+If that group is still smaller than MIN_ROWS, its rows are judged by the estimate of all rows of all languages, which
 has no least size; below MIN_ROWS rows it is not rescaled to less than the FLOOR of each statistic.
 
 Every row counts. Statistics are whole numbers of 1/UNIT and their sums are exact, so partitioning changes nothing. A step is one
 aggregation by group and distance class, with partial sums before the shuffle; what one group leaves for one task is a row
 per distance class and salt, however many rows the group has: rows meet their group's estimate in SALTS parts.
 
-Defined cases: null texts have no words and fail the base rule. Null languages and sources form groups of their own. Without
-widest, rows of a pooled group smaller than MIN_ROWS have no estimate and are kept (d2 is null). Ids may repeat or be null. Other columns
-pass through; those named as a result are replaced.
+Defined cases: null texts have no words and fail the base rule. Null languages and sources form groups of their own. d2 is null
+only where no row at all passes the base rule. Ids may repeat or be null. Other columns pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,14 +208,17 @@ def _salted(found: DataFrame) -> DataFrame:
     return found.drop("rows").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _grouped(stats: DataFrame, widest: bool) -> DataFrame:
+def _grouped(stats: DataFrame) -> DataFrame:
     """Adds g_lang and g_source: the group whose estimate a row is judged by."""
     named = stats.withColumn("g_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).withColumn("g_own", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    sizes = named.groupBy("g_lang", "g_own").agg(F.count_if(~F.col("base_failed")).alias("g_rows"))
-    pool = F.sum(F.when(F.col("g_rows") < MIN_ROWS, F.col("g_rows"))).over(Window.partitionBy("g_lang"))
-    group = F.when(F.col("g_rows") >= MIN_ROWS, F.col("g_own")).when(F.lit(not widest) | (pool >= MIN_ROWS), "pooled").otherwise(ALL)
     named = named.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # stored, so drawn once
-    placed = named.join(sizes.withColumn("g_source", group).drop("g_rows"), ["g_lang", "g_own"], "left").drop("g_own")
+    sizes = named.groupBy("g_lang", "g_own").agg(F.count_if(~F.col("base_failed")).alias("g_rows"))
+    # A language may have any number of sources: their pool is summed with partial sums and met in SALTS parts.
+    pools = sizes.groupBy("g_lang").agg(F.sum(F.when(F.col("g_rows") < MIN_ROWS, F.col("g_rows"))).alias("pool"))
+    parts = pools.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pooled = sizes.withColumn("part", F.pmod(F.xxhash64("g_own"), F.lit(SALTS)).cast("int")).join(parts, ["g_lang", "part"]).drop("part")
+    group = F.when(F.col("g_rows") >= MIN_ROWS, F.col("g_own")).when(F.col("pool") >= MIN_ROWS, "pooled").otherwise(ALL)
+    placed = named.join(pooled.withColumn("g_source", group).drop("g_rows", "pool"), ["g_lang", "g_own"], "left").drop("g_own")
     return placed.withColumn("g_lang", F.when(F.col("g_source") == ALL, ALL).otherwise(F.col("g_lang")))
 
 
@@ -226,10 +228,10 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def judged(docs: DataFrame, widest: bool = False) -> DataFrame:
+def judged(docs: DataFrame) -> DataFrame:
     """The documents' columns other than text, plus STATISTICS, base_failed, d2 (squared distance) and kept."""
     counted = _written(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors()))
-    rows = _written(_grouped(counted, widest))
+    rows = _written(_grouped(counted))
     known = rows.where("NOT base_failed").select(*KEY, "salt", *FEATURES)
     if not rows.where(F.col("g_lang") == ALL).isEmpty():
         known = known.where(F.col("g_lang") != ALL).unionByName(known.withColumns({k: F.lit(ALL) for k in KEY}))
@@ -241,4 +243,4 @@ def judged(docs: DataFrame, widest: bool = False) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return judged(docs, widest=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
