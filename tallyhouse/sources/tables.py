@@ -10,7 +10,8 @@ from tallyhouse.sources.schemas import STORED_SCHEMAS
 from tallyhouse.sources.storage import replace_table
 
 # Fact tables that other tables and queries read again and again: built once, written, then scanned.
-FACT_TABLES = ("inventory_events_keyed", "inventory_snapshots", "customer_snapshots", "supplier_deliveries", "simulation_scenarios")
+FACT_TABLES = ("customer_journeys", "order_metrics", "inventory_events_keyed", "inventory_snapshots", "customer_snapshots",
+               "supplier_deliveries", "simulation_scenarios")
 
 
 class RetailTables:
