@@ -11,8 +11,8 @@
 3. The shard's distinct windows, sorted by fingerprint, are merged with all other shards' by binary search in the sorted lists.
 Bytes of all repeated windows are removed. Everything a group of copies adds is one entry per shard.
 
-Defined cases: null texts are empty. Windows never cross documents. Equal rows are repeats of each other, as any two documents, unless
-doc_id and text are both equal: such rows are one document, judged once, and get equal results.
+Defined cases: null texts are empty. Windows never cross documents. Every row is a document: equal rows are repeats of each other, also
+where doc_id and text are both equal. The text of such rows is read once, its segments count twice.
 """
 
 from __future__ import annotations
@@ -72,8 +72,9 @@ class Segments:
         shape = (at - self.first).astype(np.uint64) << np.uint64(32) | (self.last - self.first).astype(np.uint64)
         self.content = W.mixed(text.hash(self.first, self.last + width) ^ W.mixed(shape))
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct (anchor, content), how often each occurs, the first segment of each, and each segment's place."""
+    def distinct(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct (anchor, content), how often each occurs (a segment counts by its weight), the first segment of each, and
+        each segment's place."""
         order = np.lexsort((self.content, self.anchor))
         a, c = self.anchor[order], self.content[order]
         new = np.ones(len(order), bool)
@@ -81,7 +82,7 @@ class Segments:
         begin = np.flatnonzero(new)
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
-        return a[begin], c[begin], np.diff(np.append(begin, len(order))), order[begin], place
+        return a[begin], c[begin], np.bincount(place, weight, len(begin)).astype(np.int64), order[begin], place
 
 
 def _sliding_least(values: np.ndarray, span: int) -> np.ndarray:
@@ -182,10 +183,12 @@ class Shard:
 
     def __init__(self, table: pa.Table, width: int, piece: int):
         self.width = width
-        _, data, bounds = documents(table)
+        doc, data, bounds = documents(table)
         self.text = Text(data, bounds)
         self.segments = Segments(self.text, width, piece)
-        self.anchors, self.contents, self.count, self.sample, self.place = self.segments.distinct()
+        rows = np.minimum(np.bincount(doc, minlength=len(bounds) - 1), 2)  # twice is as good as more often
+        weight = rows[np.searchsorted(bounds, self.segments.first, "right") - 1]
+        self.anchors, self.contents, self.count, self.sample, self.place = self.segments.distinct(weight)
 
     def stretches(self, said: np.ndarray) -> None:
         """Suffix array over the windows that segments said to be mixed leave open."""

@@ -140,6 +140,14 @@ def test_byte_repeats_by_brute_force(docs, near_rows, shard_bytes):
     assert suffixes.deduplicated(docs((1, "a")).where("false")).count() == 0
 
 
+def test_rows_equal_in_id_and_text_repeat_each_other(docs):
+    twice, part, short = prose(60, 60), prose(60, 60)[40:300], "too short to repeat"
+    rows = [(1, twice), (1, twice), (2, prose(61, 50)), (3, short), (3, short), (4, part + prose(62, 9)), (None, prose(63, 40)), (None, prose(63, 40))]
+    found = Counter((r.doc_id, r.n_bytes - r.n_removed, r.n_spans) for r in suffixes.deduplicated(docs(*rows), shard_bytes=700).collect())
+    rest = len(prose(62, 9))
+    assert found == Counter([(1, 0, 1)] * 2 + [(2, len(prose(61, 50)), 0)] + [(3, len(short), 0)] * 2 + [(4, rest, 1)] + [(None, 0, 1)] * 2)
+
+
 def test_suffix_array_and_common_prefixes():
     draw = np.random.default_rng(3)
     data = draw.integers(97, 99, 700).astype(np.uint8)
