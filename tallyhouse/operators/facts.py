@@ -85,26 +85,26 @@ def order_metrics(events: DataFrame) -> DataFrame:
 
 
 def inventory_events(
-    movements: DataFrame, policy: DataFrame, opening_stock: int = 60, tie_break: tuple[str, ...] = ()
+    movements: DataFrame, policy: DataFrame, opening_stock: int = 60, tie_break: tuple[str, ...] = (), position: str | None = None
 ) -> DataFrame:
     """Stock before and after each movement, with the policy of its SKU and location.
 
-    The running total follows time within (sku, location).
+    The running total follows time within (sku, location); ``position`` names a column for the movement's number in that order.
     """
     order = ["event_time", *tie_break]
-    moved = ordered.running_sum(movements, ["sku", "location"], order, "quantity_change", "__moved")
     levels = policy.select(
         "sku", F.col("location_id").alias("location"), F.col("reorder_point"), F.col("safety_stock")
     )
+    sums = {"__moved": "quantity_change"} | ({position: "__one"} if position else {})
+    moved = ordered.running_sums(movements.withColumn("__one", F.lit(1)), ["sku", "location"], order, sums, levels)
     after = (F.col("__moved") + F.lit(opening_stock)).cast("int")
     stocked = (
-        moved.join(levels, ["sku", "location"], "left")
-        .withColumn("quantity_after", after)
+        moved.withColumn("quantity_after", after)
         .withColumn("quantity_before", F.col("quantity_after") - F.col("quantity_change"))
         .withColumn("reorder_point", F.coalesce("reorder_point", F.lit(0)))
         .withColumn("safety_stock", F.coalesce("safety_stock", F.lit(0)))
         .withColumn("stockout_occurred", F.col("quantity_after") <= 0)
-        .drop("__moved")
+        .drop("__moved", "__one")
     )
     return time_features(stocked, "event_time", "hours", "event_hour")
 
@@ -136,11 +136,16 @@ def hourly_demand(journeys_df: DataFrame) -> DataFrame:
 
 
 def inventory_snapshots(events: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
-    """One row per SKU, location and day: demand, receipts, hours out of stock, closing levels."""
+    """One row per SKU, location and day: demand, receipts, hours out of stock, closing levels.
+
+    Most groups are one row, so the rows are exchanged before they are grouped: no task holds more groups than it can.
+    """
     kind, change = F.col("event_type"), F.col("quantity_change")
     at = F.struct("event_time", *tie_break)
-    day = F.floor(F.col("event_time") / 24).cast("int")
-    grouped = events.groupBy("scenario_id", "sku", "location", day.alias("snapshot_day")).agg(
+    keys = ("scenario_id", "sku", "location", "snapshot_day")
+    needed = ("event_type", "quantity_change", "quantity_after", "on_order_qty", "reorder_point", "event_time")
+    days = events.withColumn("snapshot_day", F.floor(F.col("event_time") / 24).cast("int")).select(*keys, *dict.fromkeys((*needed, *tie_break)))
+    grouped = days.repartition(ordered.tasks(events.count()), *keys).groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(kind == "SALE", F.abs(change))), F.lit(0)).cast("int").alias("daily_demand"),
         F.coalesce(F.sum(F.when(kind == "RECEIPT", change)), F.lit(0)).cast("int").alias("daily_receipts"),
         F.count_if(F.col("quantity_after") <= 0).cast("double").alias("stockout_hours"),
@@ -185,9 +190,9 @@ def reorder_triggers(positions: DataFrame, policy: DataFrame) -> DataFrame:
 def fifo_backorders(queue: DataFrame, stock: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """Serve waiting orders in time order while the stock lasts; the first that does not fit stops the
     queue of its SKU and location, so a running total up to the stock is exactly what gets served."""
-    waiting = ordered.running_sum(queue, ["sku", "location_id"], ["queued_at", *tie_break], "quantity", "needed")
     levels = stock.select("sku", "location_id", F.col("quantity_on_hand").alias("available"))
-    return waiting.join(levels, ["sku", "location_id"]).withColumn("served", F.col("needed") <= F.col("available"))
+    waiting = ordered.running_sums(queue, ["sku", "location_id"], ["queued_at", *tie_break], {"needed": "quantity"}, levels, "inner")
+    return waiting.withColumn("served", F.col("needed") <= F.col("available"))
 
 
 def workflow_rollup(journeys_df: DataFrame, orders: DataFrame, stockouts: DataFrame) -> DataFrame:

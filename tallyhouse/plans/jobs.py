@@ -11,9 +11,9 @@ from tallyhouse.plans import drilldowns
 from tallyhouse.session import scratch_dir
 from tallyhouse.sources import documents, storage
 from tallyhouse.sources.buckets import BucketTable
-from tallyhouse.sources.derive import AS_OF, ENGAGE_SWEEP, MOVE_ORDER, OMNI_SWEEP, STOCK_SWEEP
+from tallyhouse.sources.derive import AS_OF, ENGAGE_SWEEP, OMNI_SWEEP, POSITION, STOCK_SWEEP, inventory_events_keyed
 
-TIES = tuple(MOVE_ORDER)
+TIES = (POSITION,)
 
 
 def fifo_backorders(t) -> DataFrame:
@@ -29,8 +29,7 @@ FACTS = {
         t["engagement_log"].select("event_id", "event_time"), "event_time", "hours"),
     "F-02_journeys": lambda t: facts.journeys(t["journey_steps"]),
     "F-03_order_metrics": lambda t: facts.order_metrics(t["order_events"]),
-    "F-04_inventory_events": lambda t: facts.inventory_events(
-        t["stock_movements"], t["replenishment_policy"], tie_break=TIES).drop(*TIES),
+    "F-04_inventory_events": lambda t: inventory_events_keyed(t).drop(POSITION),
     "F-05_hourly_demand": lambda t: facts.hourly_demand(t["customer_journeys"]),
     "F-06_inventory_snapshots": lambda t: facts.inventory_snapshots(t["inventory_events_keyed"], TIES),
     "F-07_supplier_deliveries": lambda t: facts.supplier_deliveries(t["purchase_orders"]),

@@ -24,6 +24,9 @@ MOVE_ORDER = (
     "l_orderkey l_linenumber l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
 ).split()
 
+# Number of a stock movement within its SKU and location, in the order of time and MOVE_ORDER.
+POSITION = "position"
+
 
 def scenario(sweep: str, index: Column) -> Column:
     return F.concat(F.lit(f"{sweep}_"), F.format_string("%04d", index.cast("bigint")))
@@ -154,35 +157,50 @@ def order_events(t) -> DataFrame:
     return placed.unionByName(back.join(known, "order_id", "left_semi"), allowMissingColumns=True)
 
 
-def stock_movements(t) -> DataFrame:
+def stock_moves(t) -> DataFrame:
+    """What moved when: all that the running stock needs. Names and texts follow from it (`described`), so no exchange carries them."""
     qty = F.col("l_quantity").cast("int")
     flag = F.col("l_returnflag")
     return t["lineitem"].select(
         *MOVE_ORDER,
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]).alias(
-            "event_id"
-        ),
-        scenario(STOCK_SWEEP, F.col("l_partkey") % STOCK_SIZE).alias("scenario_id"),
         F.col("l_partkey").alias("sku"),
         (F.col("l_suppkey") % LOCATIONS).cast("int").alias("location"),
-        F.when(flag == "N", "SALE").when(flag == "A", "RECEIPT").otherwise("SHRINKAGE").alias("event_type"),
         F.when(flag == "N", -qty).when(flag == "A", qty).otherwise(-(qty % 5)).alias("quantity_change"),
         (_days("l_shipdate", "1995-01-01") * 24 + F.col("l_orderkey") % 24).cast("double").alias("event_time"),
-        (F.col("l_orderkey") % 40).cast("int").alias("on_order_qty"),
-        F.col("l_orderkey").cast("string").alias("reference_id"),
     )
 
 
+def described(moves: DataFrame) -> DataFrame:
+    """Movements with their number, scenario, kind and reference."""
+    flag = F.col("l_returnflag")
+    return moves.withColumns({
+        "event_id": F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "sku", "l_suppkey", "l_linenumber")]),
+        "scenario_id": scenario(STOCK_SWEEP, F.col("sku") % STOCK_SIZE),
+        "event_type": F.when(flag == "N", "SALE").when(flag == "A", "RECEIPT").otherwise("SHRINKAGE"),
+        "on_order_qty": (F.col("l_orderkey") % 40).cast("int"),
+        "reference_id": F.col("l_orderkey").cast("string"),
+    })
+
+
+def stock_movements(t) -> DataFrame:
+    return described(t["stock_moves"]).select(
+        *MOVE_ORDER, "event_id", "scenario_id", "sku", "location", "event_type", "quantity_change", "event_time", "on_order_qty", "reference_id")
+
+
 def inventory_events_keyed(t) -> DataFrame:
-    return facts.inventory_events(t["stock_movements"], t["replenishment_policy"], tie_break=tuple(MOVE_ORDER))
+    """Stock events with their POSITION within SKU and location, which stands for the fields that order them."""
+    rows = described(facts.inventory_events(t["stock_moves"], t["replenishment_policy"], tie_break=tuple(MOVE_ORDER), position=POSITION))
+    return rows.select(
+        "sku", "location", "event_id", "scenario_id", "event_type", "quantity_change", "event_time", "on_order_qty", "reference_id",
+        "reorder_point", "safety_stock", "quantity_after", "quantity_before", "stockout_occurred", "event_hour", "day_of_week", POSITION)
 
 
 def inventory_events(t) -> DataFrame:
-    return t["inventory_events_keyed"].drop(*MOVE_ORDER)
+    return t["inventory_events_keyed"].drop(POSITION)
 
 
 def inventory_snapshots(t) -> DataFrame:
-    return facts.inventory_snapshots(t["inventory_events_keyed"], tie_break=tuple(MOVE_ORDER))
+    return facts.inventory_snapshots(t["inventory_events_keyed"], tie_break=(POSITION,))
 
 
 def hourly_demand(t) -> DataFrame:
@@ -474,7 +492,7 @@ def unmet_demand(t) -> DataFrame:
     after, wanted = F.col("quantity_after"), F.abs("quantity_change")
     short = t["inventory_events_keyed"].filter((F.col("event_type") == "SALE") & (after < 0))
     return short.select(
-        *MOVE_ORDER,
+        POSITION,
         "event_id",
         "sku",
         F.col("location").alias("location_id"),
@@ -584,7 +602,7 @@ def simulation_scenarios(t) -> DataFrame:
 BUILDERS = {
     f.__name__: f
     for f in (
-        customer_journeys, journey_steps, order_metrics, order_events, stock_movements, inventory_events_keyed,
+        customer_journeys, journey_steps, order_metrics, order_events, stock_moves, stock_movements, inventory_events_keyed,
         inventory_events, inventory_snapshots, hourly_demand, purchase_orders, supplier_deliveries, inventory,
         replenishment_policy, suppliers, customer_reviews, support_tickets, points_transactions, loyalty_account,
         order_items, products, payments, customer_purchase_history, customers, customer_preferences,

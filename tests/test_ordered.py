@@ -39,6 +39,36 @@ def test_running_sum(events):
     assert got.columns == [*df.columns, "s"]
 
 
+@pytest.mark.parametrize("most", [1, 20, 250, 10_000])
+def test_running_sums_of_small_and_large_keys(spark, events, most):
+    """Keys of more rows than a task takes are cut into parts, the others are not; both meet the rows beside them."""
+    df, rows = events
+    levels = [("hot", 5), (None, 6), ("k1", 7), ("k1", 8)]
+    beside = spark.createDataFrame(levels, "key string, level int")
+    got = ordered.running_sums(df.withColumn("one", F.lit(1)), ["key"], ["day", "id"], {"s": "v", "n": "one"}, beside, most=most)
+    expected = []
+    for key, group in _groups(rows).items():
+        acc = 0
+        for n, r in enumerate(group, 1):
+            acc += r[3]
+            expected += [(r[2], acc, n, level) for level in [x for k, x in levels if k == key and k is not None] or [None]]
+    assert sorted(map(repr, ((r["id"], r["s"], r["n"], r["level"]) for r in got.collect()))) == sorted(map(repr, expected))
+    inner = ordered.running_sums(df, ["key"], ["day", "id"], {"s": "v"}, beside, "inner", most)
+    assert inner.count() == sum(1 for r in expected if r[3] is not None)
+
+
+def test_small_keys_are_exchanged_once_with_what_they_meet(spark, events):
+    df, _ = events
+    beside = spark.createDataFrame([("hot", 5)], "key string, level int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = df.filter("key <> 'hot'")  # 600 rows, 6 tasks
+        plan = ordered.running_sums(small, ["key"], ["day", "id"], {"s": "v"}, beside, most=100)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2 and plan.count("Sort [") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_previous_value_carries_nulls_across_parts(events):
     df, rows = events
     got = ordered.previous_value(df, ["key"], ["day", "id"], "state", "p")
