@@ -1,10 +1,12 @@
+import dataclasses
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tallyhouse.ml import forecast, models
+from tallyhouse.ml import boosting, forecast, models
 from tallyhouse.plans import learning
 
 
@@ -71,6 +73,43 @@ def test_cross_validation(visits):
     assert mean > 0.7 and 0 <= deviation < 0.3
 
 
+@pytest.mark.parametrize("kind", ["classifier", "regressor"])
+def test_folds_are_grown_as_spark_ml_grows_them(spark, visits, kind):
+    spec = models.MODELS["conversion"] if kind == "classifier" else dataclasses.replace(models.MODELS["order_value"], target="queue_wait_time", numeric=("basket_size", "arrival_hour", "day_of_week", "browsing_duration"))
+    rows = models.placed(spec, models.prepare(spec, visits))
+    scores = []
+    for k in range(2):
+        inside = F.pmod(F.col(models.PLACE), F.lit(2)) == k
+        model = models.fit(spec, models.sampled(rows.filter(~inside)), 4, rows)
+        scores.append(models.measures(spec, model, rows.filter(inside))[spec.cv_metric])
+    mean, deviation = models.cross_validate(spec, rows, trees=4, folds=2)
+    assert abs(mean - sum(scores) / 2) < 1e-9 and abs(deviation - abs(scores[0] - scores[1]) / 2) < 1e-9
+
+
+def test_more_trees_take_no_more_jobs_of_a_cross_validation(spark, visits):
+    spec = models.MODELS["conversion"]
+    rows = models.placed(spec, models.prepare(spec, visits))
+
+    def jobs(trees):
+        last = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup())
+        before = last()
+        models.cross_validate(spec, rows, trees=trees, folds=2)
+        return last() - before
+
+    assert jobs(8) - jobs(2) < 10  # 6 trees of 2 folds were up to 60 jobs
+
+
+@pytest.mark.parametrize("bins", [4, 256])
+def test_trees_split_at_the_best_point(bins):
+    x = np.array([[float(k % 10), 7.0] for k in range(100)])
+    y = (x[:, 0] >= 5).astype(float) * 3
+    parts = boosting.ensemble(x, y, False, 1, 2, 0.1, bins)
+    assert parts[0][0].tolist() == [0, 0, 0] and np.allclose(boosting.score(x, *parts), y, atol=1.5 if bins == 4 else 1e-12)
+    assert len(boosting.cut_points(x[:, 1], bins)) == 0 and len(boosting.cut_points(x[:, 0], bins)) == min(9, bins - 1)
+    same = boosting.ensemble(x, np.ones(100), True, 3, 2, 0.1, bins)  # one class
+    assert np.ptp(boosting.score(x, *same)) < 1e-12
+
+
 def test_split_keeps_the_share_of_every_class(spark):
     spec = models.MODELS["churn"]
     rows = spark.range(1000).select(
