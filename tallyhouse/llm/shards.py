@@ -94,12 +94,13 @@ def question(shard: int, keys: np.ndarray, extra: Callable[[slice], bytes], rang
 
 
 def answered(questions: DataFrame, answer: Callable[[list[np.ndarray], list[bytes]], list[np.ndarray]], write=planes) -> DataFrame:
-    """ANSWERS rows: `answer` gets the sorted keys and extras of the shards in one range and gives a whole number per key and shard,
-    which `write` turns into bytes."""
+    """ANSWERS rows: `answer` gets the sorted keys and extras of the shards in one range, by shard and so the same in a repeated task, and
+    gives a whole number per key and shard, which `write` turns into bytes."""
 
     def run(key, table):
-        found = answer([undeltas(x.as_py()) for x in table.column("keys")], [x.as_py() for x in table.column("extra")])
-        return pa.table({"shard": table.column("shard"), "range": table.column("range"), "data": pa.array([write(a) for a in found], pa.binary())})
+        order, keys, extras = np.argsort(table.column("shard").to_numpy()), table.column("keys"), table.column("extra")
+        found = answer([undeltas(keys[k].as_py()) for k in order.tolist()], [extras[k].as_py() for k in order.tolist()])
+        return pa.table({"shard": table.column("shard").take(pa.array(order)), "range": table.column("range"), "data": pa.array([write(a) for a in found], pa.binary())})
 
     return questions.groupBy("range").applyInArrow(R.lean(run), ANSWERS)
 

@@ -167,7 +167,8 @@ def _shared(data: np.ndarray, end: np.ndarray, p: np.ndarray, q: np.ndarray) ->
 
 
 def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The document of each row, and the bytes of all documents with their bounds."""
+    """The document of each row, and the bytes of all documents with their bounds. Documents stand in order of their marks: a shard's
+    rows leave each exchange in another order, and what one task decided by position the next one reads."""
     table = table.combine_chunks()
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts if not isinstance(texts, pa.ChunkedArray) else pa.array([], pa.string())
@@ -175,7 +176,10 @@ def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = list(zip(table.column("doc_id").to_pylist(), table.column("mark").to_pylist(), strict=True))
     doc = np.array([seen.setdefault(r, len(seen)) for r in rows], np.int64)
     first = np.unique(doc, return_index=True)[1] if len(rows) else np.zeros(0, np.int64)
-    return doc, *W.byte_view(texts.take(pa.array(first, pa.int64())))
+    order = np.array(sorted(range(len(first)), key=lambda d: rows[first[d]][1]), np.int64)  # equal marks, equal bytes
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[doc], *W.byte_view(texts.take(pa.array(first[order], pa.int64())))
 
 
 class Shard:

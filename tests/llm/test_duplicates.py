@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.helpers import prose
 
@@ -148,6 +149,38 @@ def test_rows_equal_in_id_and_text_repeat_each_other(docs):
     assert found == Counter([(1, 0, 1)] * 2 + [(2, len(prose(61, 50)), 0)] + [(3, len(short), 0)] * 2 + [(4, rest, 1)] + [(None, 0, 1)] * 2)
 
 
+def test_decisions_hold_for_rows_in_another_order():
+    """Executors read the parts of a shard in any order: what one task decides by position, another finds at the same bytes."""
+    shared = prose(63, 50)
+    texts = [prose(64, 90), shared + prose(65, 40), None, prose(66, 70) + shared[:250], prose(64, 90), "short", prose(67, 120), prose(68, 10) + shared[100:320]]
+    marks = [hashlib.sha256(t.encode()).digest()[:16] if t else b"" for t in texts]
+    table = pa.table({"doc_id": [5, 1, 2, None, 4, 7, 3, 6], "mark": pa.array(marks, pa.binary()), "text": texts})
+    count = Counter(b[k : k + 200] for t in texts if t for b in [t.encode()] for k in range(len(b) - 199))
+    want = {}
+    for i, t in zip(table.column("doc_id").to_pylist(), texts, strict=True):
+        b = (t or "").encode()
+        want[i] = len({k + j for k in range(len(b) - 199) if count[b[k : k + 200]] > 1 for j in range(200)})
+    s = suffixes.Shard(table, 200, 32)
+    asked = shards.planes(np.concatenate((s.contents, s.count.astype(np.uint64))))
+    s.stretches(suffixes._verdicts([s.anchors], [asked])[0])
+    said, elsewhere = s.decided(), np.zeros(len(s.prints), np.uint64)
+    for order in (range(8), range(7, -1, -1), (3, 7, 0, 5, 2, 6, 1, 4)):
+        again = table.take(list(order))
+        doc, data, bounds = suffixes.documents(again)
+        gone = suffixes.removed(said, elsewhere, len(data), 200)
+        found = np.diff(np.concatenate(([0], np.cumsum(gone)))[bounds])[doc]
+        assert dict(zip(again.column("doc_id").to_pylist(), found.tolist(), strict=True)) == want
+
+
+def test_answers_do_not_depend_on_the_order_of_questions(spark):
+    keys = np.array([3, 9], np.uint64)
+    first = lambda keys, extras: [np.full(len(k), n, np.uint64) for n, k in enumerate(keys)]
+    for order in ((2, 0, 1), (0, 1, 2), (1, 2, 0)):
+        rows = [(0, shard, bytearray(shards.deltas(keys)), bytearray()) for shard in order]
+        found = shards.answered(spark.createDataFrame(rows, shards.ROWS).coalesce(1), first).collect()
+        assert {r.shard: shards.unplaned(bytes(r.data)).tolist() for r in found} == {k: [k, k] for k in range(3)}
+
+
 def test_suffix_array_and_common_prefixes():
     draw = np.random.default_rng(3)
     data = draw.integers(97, 99, 700).astype(np.uint8)
