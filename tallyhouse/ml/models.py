@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -11,20 +11,21 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallyhouse.functions.exprs import clv_segment, count_rows
+from tallyhouse.functions.ordered import running_sums
 from tallyhouse.ml import boosting, features, forecast
 from tallyhouse.session import cut_lineage
 
 TREES, DEPTH, RATE, FOLDS, SEED, BINS = 100, 5, 0.1, 5, 42, 256
 TEST_PERCENT = 20
 MIN_POSITIVES = 10
-#: Labelled rows that one fit learns from at most, drawn from every class in proportion; scoring and evaluation take all rows.
-FIT_ROWS = 5_000
+#: Rows of a partition that Spark ML fits from, and rows up to which a task grows the trees of a fold by itself.
+PART_ROWS, TASK_ROWS = 50_000, 250_000
 #: Models trained at the same time: all nine, as a fit is many small jobs one after the other.
 PARALLEL = 9
 
@@ -142,8 +143,9 @@ def split(spec: ModelSpec, df: DataFrame, test_percent: int = TEST_PERCENT) -> t
     return rows.filter(f"{PLACE} > {quota(test_percent)}"), rows.filter(f"{PLACE} <= {quota(test_percent)}")
 
 
-def sampled(rows: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """At most about ``most`` placed rows (one more for each stratum), of every stratum the first in hash order; all if there are no more."""
+def sampled(rows: DataFrame, most: int = 5_000) -> DataFrame:
+    """At most about ``most`` placed rows (one more for each stratum), of every stratum the first in hash order; all if there are no more.
+    For trials by hand: fits and cross-validations take all rows."""
     total = rows.groupBy(STRATUM).agg(count_rows().alias("n"), F.min(PLACE).alias("first")).collect()  # one row per class
     all_rows = sum(r["n"] for r in total)
     if all_rows <= most:
@@ -172,17 +174,71 @@ def coding(spec: ModelSpec, train: DataFrame) -> list[Transformer]:
     return [*indexers, *coder, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def pipeline(spec: ModelSpec, train: DataFrame, trees: int = TREES) -> Pipeline:
-    """Label codes, features, booster."""
+def thresholds(rows: DataFrame, columns: Sequence[str], bins: int = BINS) -> list[list[float]]:
+    """Cut points of each column by the rule of ``boosting.cut_points``, from all rows and without a task that sees all values.
+
+    The rule cuts before the first value whose middle in the running count is beyond the next even share of the rows, once in a place at
+    most. So the first value beyond each share says where the cuts are, and only these values come to the driver.
+    """
+    n = rows.count()
+    bins = min(bins, n)
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(c).alias("value")) for k, c in enumerate(columns)]))
+    counts = rows.select(pairs.alias("x")).groupBy("x.column", "x.value").agg(count_rows().alias("n"), F.lit(1).alias("one"))
+    seen = cut_lineage(running_sums(counts, ["column"], ["value"], {"seen": "n", "place": "one"}))
+    share = F.ceil((F.col("seen") - F.col("n") / 2) / F.lit(n / bins)) - 1  # how many shares end before the middle
+    found = seen.groupBy("column", share.alias("share")).agg(F.min(F.when(F.col("place") > 1, F.col("place"))).alias("first"), F.max("place").alias("last"))
+    by_column: list[list] = [[] for _ in columns]
+    for r in found.collect():  # ``bins`` rows of a column at most
+        by_column[r["column"]].append((r["share"], r["first"], r["last"]))
+    places = [_cut_places(sorted(x), bins) for x in by_column]
+    asked = [(k, p) for k, at in enumerate(places) for p in {*at, *(p - 1 for p in at)}]
+    asked = rows.sparkSession.createDataFrame(asked, "column int, place long")
+    value = {(r["column"], r["place"]): r["value"] for r in seen.join(F.broadcast(asked), ["column", "place"]).collect()}
+    return [[(value[k, p - 1] + value[k, p]) / 2 for p in at] for k, at in enumerate(places)]
+
+
+def _cut_places(shares: list[tuple[int, int | None, int]], bins: int) -> list[int]:
+    """Places (from 1) of the distinct values before which a column is cut; of each share the first place but 1, and the last."""
+    last = max((s[2] for s in shares), default=0)
+    if last - 1 < bins:
+        return list(range(2, last + 1))
+    chosen, place = [], 1
+    for share, first, _ in shares:
+        while first is not None and len(chosen) < share and place < last:
+            place = max(place + 1, first)
+            chosen.append(place)
+    return chosen
+
+
+def binned(stages: list[Transformer], train: DataFrame) -> list[Transformer]:
+    """The stages of ``coding`` with each feature replaced by the number of its bin, a plain number again."""
+    *coders, assembler = stages
+    columns = assembler.getInputCols()
+    cuts = thresholds(reduce(lambda d, stage: stage.transform(d), coders, train), columns)
+    splits = [[-math.inf, *sorted({math.nextafter(c, math.inf) for c in at or [0.0]}), math.inf] for at in cuts]  # a bin holds its upper border
+    binner = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[f"{c}_bin" for c in columns])
+    plain = SQLTransformer(statement=f"SELECT *, {', '.join(f'{c}_bin + 0D AS {c}_at' for c in columns)} FROM __THIS__")
+    return [*coders, binner, plain, VectorAssembler(inputCols=[f"{c}_at" for c in columns], outputCol="features")]
+
+
+def fit(spec: ModelSpec, train: DataFrame, trees: int = TREES, labelled: DataFrame | None = None) -> PipelineModel:
+    """Label codes, features, booster. ``labelled``: the rows whose categories the model knows, if there are more than ``train`` has.
+
+    Spark ML looks for thresholds in a sample of ``maxBins`` squared rows. Where there are more, the features are binned before by all
+    rows, and the larger ``maxBins`` makes Spark ML see all rows too: the bins stay as few as they are.
+    """
+    stages, rows, bins = coding(spec, train if labelled is None else labelled), train.count(), BINS
+    if rows > BINS * BINS:
+        stages, bins = binned(stages, train), math.isqrt(rows) + 1
     learner = GBTClassifier if spec.kind == "classifier" else GBTRegressor
     booster = learner(
-        featuresCol="features", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED, maxBins=BINS)
-    return Pipeline(stages=[*coding(spec, train), booster])
+        featuresCol="features", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED, maxBins=bins)
+    return Pipeline(stages=[*stages, booster]).fit(train)
 
 
-def fit(spec: ModelSpec, train: DataFrame, trees: int = TREES, labelled: DataFrame | None = None) -> PipelineModel:
-    """``labelled``: the rows whose categories the model knows, if there are more than ``train`` has."""
-    return pipeline(spec, train if labelled is None else labelled, trees).fit(train)
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """So many rows in as few partitions as one fit's small jobs ask for."""
+    return rows.coalesce(1) if n <= PART_ROWS else rows.repartition(-(-n // PART_ROWS))
 
 
 def too_small(spec: ModelSpec, df: DataFrame) -> bool:
@@ -247,7 +303,7 @@ def evaluate(spec: ModelSpec, model: PipelineModel, test: DataFrame) -> DataFram
 
 
 def cross_validate(
-    spec: ModelSpec, rows: DataFrame, trees: int = TREES, folds: int = FOLDS, most: int = FIT_ROWS
+    spec: ModelSpec, rows: DataFrame, trees: int = TREES, folds: int = FOLDS, most: int = 5_000
 ) -> tuple[float, float]:
     """Mean and deviation over stratified folds of placed rows. Each fold's ensemble grows on a sample of ``most`` rows in a task of its
     own; one pass scores every row by the ensemble that has not seen its fold."""
@@ -290,21 +346,21 @@ class Trained:
     positives: int
 
 
-def train(spec: ModelSpec, data: DataFrame, trees: int = TREES, most: int = FIT_ROWS) -> Trained | None:
-    """None where the data set has fewer than ``min_rows`` learnable rows."""
+def train(spec: ModelSpec, data: DataFrame, trees: int = TREES) -> Trained | None:
+    """Fitted on all rows of the training part. None where the data set has fewer than ``min_rows`` learnable rows."""
     prepared = prepare(spec, data)
     if too_small(spec, learnable(prepared)):
         return None
     rows = placed(spec, prepared)
     sizes = rows.groupBy(STRATUM).agg(F.first(SIZE).alias("n"), F.first(F.expr(quota())).alias("test")).collect()  # one row per class
-    chosen = cut_lineage(sampled(rows.filter(f"{PLACE} > {quota()}"), most))  # the fit's jobs, five for a tree, each carry the lineage
-    model = fit(spec, chosen, trees, rows)
     total, test = (sum(r[c] for r in sizes) for c in ("n", "test"))
+    learnt = cut_lineage(dealt(rows.filter(f"{PLACE} > {quota()}"), total - test))  # the fit's jobs, five for a tree, each carry the lineage
+    model = fit(spec, learnt, trees, rows)
     left_out = prepared.filter("NOT complete OR label IS NULL").count()
     return Trained(spec, model, rows, rows.filter(f"{PLACE} <= {quota()}"), total - test, test, left_out, sum(r["n"] for r in sizes if r[STRATUM] == 1))
 
 
-def report(found: Trained, trees: int = TREES, validate: bool = True, most: int = FIT_ROWS) -> list[tuple[str, float | None]]:
+def report(found: Trained, trees: int = TREES, validate: bool = True, most: int = 5_000) -> list[tuple[str, float | None]]:
     """All figures of a trained model: quality, counts, and the cross-validation's mean and deviation."""
     out = list(measures(found.spec, found.model, found.test).items())
     out += [("train_samples", float(found.train_samples)), ("test_samples", float(found.test_samples)), ("left_out", float(found.left_out))]
@@ -336,7 +392,9 @@ def predict(spec: ModelSpec, model: PipelineModel, rows: DataFrame, threshold: f
         stand_in = {c: F.coalesce(c, F.lit(0.0)) for c in (*spec.numeric, *spec.identifiers)}
         stand_in |= {c: F.coalesce(c, F.lit(_first_label(model, c))) for c in spec.categorical}
         rows = rows.withColumns({f"__{c}": F.col(c) for c in stand_in}).withColumns(stand_in)
-    scored = model.transform(rows).drop("features", *[f"{c}_{x}" for c in spec.categorical for x in ("index", "code")])
+    made = [f"{c}_{x}" for c in spec.categorical for x in ("index", "code", "code_bin", "code_at")]
+    made += [f"{c}_{x}" for c in (*spec.numeric, *spec.identifiers) for x in ("bin", "at")]
+    scored = model.transform(rows).drop("features", *made)
     if "complete" in rows.columns:
         scored = scored.withColumns({c: F.col(f"__{c}") for c in stand_in}).drop(*[f"__{c}" for c in stand_in])
     if spec.kind == "regressor":

@@ -194,3 +194,39 @@ def test_registered_training_is_the_whole_one(small, monkeypatch):
     found = rows(learning.MODELS["P-21_train_all"](small))
     assert {r[1] for r in found} == {"failed"} and sorted(asked) == sorted((name, 100) for name in models.MODELS)
     assert models.report.__defaults__[:2] == (100, True) and models.FOLDS == 5
+
+
+def test_a_fit_learns_from_all_rows_of_its_part(spark, monkeypatch):
+    spec = models.MODELS["stockout"]
+    columns = [(F.col("id") % (k + 2)).cast("int").alias(c) for k, c in enumerate(spec.numeric)]
+    data = spark.range(8000).select(*columns, (F.col("id") % 16 < 1).alias("stockout_occurred"))
+    asked = []
+    whole = models.fit
+    monkeypatch.setattr(models, "fit", lambda spec, rows, *rest: asked.append(rows) or whole(spec, rows, *rest))
+    found = models.train(spec, data, trees=1)
+    assert asked[0].count() == found.train_samples == 6400 and asked[0].filter("label = 1").count() == 400
+
+
+@pytest.mark.parametrize("bins", [3, 8, 32])
+def test_thresholds_are_those_of_all_values(spark, bins):
+    rng = np.random.default_rng(bins)
+    x = np.stack([rng.random(500), np.floor(rng.random(500) * 7), np.where(rng.random(500) < 0.6, 5.0, np.floor(rng.random(500) * 90)), np.full(500, 2.0), rng.normal(size=500) ** 3], 1)
+    df = spark.createDataFrame(x.tolist(), ["a", "b", "c", "d", "e"]).repartition(5)
+    for found, column in zip(models.thresholds(df, df.columns, bins), x.T, strict=True):
+        assert np.array_equal(found, boosting.cut_points(column, bins))
+
+
+def test_thresholds_of_a_large_fit_come_from_all_rows(spark, monkeypatch):
+    spec = dataclasses.replace(models.MODELS["clv"], categorical=())
+    n = 4000  # one row in 1000 alone has what the label follows; Spark ML would look at 2 ** 2 rows, 10 000 at least
+    first = (F.col("id") % 1000 == 0).cast("double")
+    data = spark.range(n).select(*[(first if k == 0 else F.xxhash64("id", F.lit(k)) / 1e18).alias(c) for k, c in enumerate(spec.numeric)], (first * 50).alias("label"))
+    plain = models.fit(spec, data, trees=2)
+    monkeypatch.setattr(models, "thresholds", lambda *a, kept=models.thresholds: asked.append(1) or kept(*a))
+    monkeypatch.setattr(models, "BINS", 32)
+    asked = []
+    model = models.fit(spec, data, trees=2)
+    assert asked and model.stages[-1].getMaxBins() ** 2 > n and model.stages[-1].getMaxIter() == 2
+    scored = models.predict(spec, model, data)
+    assert scored.columns == models.predict(spec, plain, data).columns
+    assert scored.filter("abs(prediction - label) > 1e-9").count() == 0
