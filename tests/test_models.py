@@ -230,3 +230,23 @@ def test_thresholds_of_a_large_fit_come_from_all_rows(spark, monkeypatch):
     scored = models.predict(spec, model, data)
     assert scored.columns == models.predict(spec, plain, data).columns
     assert scored.filter("abs(prediction - label) > 1e-9").count() == 0
+
+
+def test_folds_learn_from_all_other_rows(spark, monkeypatch):
+    spec = models.MODELS["stockout"]
+    columns = [(F.col("id") % (k + 2)).cast("int").alias(c) for k, c in enumerate(spec.numeric)]
+    rows = models.placed(spec, models.prepare(spec, spark.range(9000).select(*columns, (F.col("id") % 16 < 1).alias("stockout_occurred"))))
+    asked, fit = [], boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda rows, *rest: asked.append(rows) or fit(rows, *rest))
+    models.cross_validate(spec, rows, trees=1, folds=4)
+    sizes = {r["key"]: r["count"] for r in asked[0].groupBy("key").count().collect()}
+    assert sum(sizes.values()) == 27000 and len(sizes) == 4 and min(sizes.values()) > 6700  # three of four folds, in shares of two strata
+
+
+@pytest.mark.parametrize("name", ["conversion", "order_value"])
+def test_large_folds_are_fitted_by_spark_ml_with_the_same_figures(spark, visits, monkeypatch, name):
+    spec = models.MODELS[name] if name == "conversion" else dataclasses.replace(models.MODELS[name], target="queue_wait_time", numeric=("basket_size", "arrival_hour", "day_of_week", "browsing_duration"))
+    rows = models.placed(spec, models.prepare(spec, visits))
+    in_tasks = models.cross_validate(spec, rows, trees=3, folds=2)
+    monkeypatch.setattr(boosting, "fit", None)
+    assert np.allclose(models.cross_validate(spec, rows, trees=3, folds=2, most=599), in_tasks, rtol=0, atol=1e-9)
