@@ -250,3 +250,10 @@ def test_large_folds_are_fitted_by_spark_ml_with_the_same_figures(spark, visits,
     in_tasks = models.cross_validate(spec, rows, trees=3, folds=2)
     monkeypatch.setattr(boosting, "fit", None)
     assert np.allclose(models.cross_validate(spec, rows, trees=3, folds=2, most=599), in_tasks, rtol=0, atol=1e-9)
+
+
+def test_training_draws_no_sample(small, tmp_path, monkeypatch):
+    monkeypatch.setattr(models, "sampled", None)
+    report = rows(models.train_all(small, str(tmp_path), "inventory", trees=1))
+    assert {(r[0], r[1]) for r in report} == {("stockout", "trained"), ("lead_time", "trained")}
+    assert {r[2] for r in report if r[2].startswith("cv_")} == {"cv_roc_auc_mean", "cv_roc_auc_std", "cv_mae_mean", "cv_mae_std"}
