@@ -6,6 +6,7 @@ others. States with equal arcs (symbol, weight, target) are one state.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -151,18 +152,23 @@ def loaded(blob: bytes) -> Automaton:
     return Automaton(symbols, np.concatenate(([0], np.cumsum(counts))), label, weight, target)
 
 
-def union(automata: list[Automaton]) -> Tree:
-    """All sequences of the automata, weights summed: equal prefixes meet level by level, whatever states spell them."""
+def union(automata: Iterable[Automaton]) -> Tree:
+    """All sequences of the automata, weights summed: equal prefixes meet level by level, whatever states spell them. Given an
+    iterator, it lets go of each automaton once its arcs stand beside the others'."""
+    automata = list(automata)
     symbols, rank = ranked(pa.concat_arrays([a.symbols for a in automata]))
     size = np.cumsum([0] + [len(a.symbols) for a in automata])
-    labels = [rank[b + a.label] for a, b in zip(automata, size, strict=False)]
     states = np.cumsum([0] + [len(a.first) - 1 for a in automata])
     arcs = np.cumsum([0] + [len(a.label) for a in automata])
-    first = np.concatenate([a.first[:-1] + b for a, b in zip(automata, arcs, strict=False)])
-    count = np.concatenate([np.diff(a.first) for a in automata])
-    label, weight = np.concatenate(labels), np.concatenate([a.weight for a in automata])
-    target = np.concatenate([a.target + b for a, b in zip(automata, states, strict=False)])
-    at, node, levels = states[1:] - 1, np.zeros(len(automata), np.int64), []
+    whole = np.int32 if max(size[-1], states[-1]) < 1 << 31 else np.int64
+    first, count = np.empty(states[-1], np.int64), np.empty(states[-1], np.int64)
+    label, weight, target = np.empty(arcs[-1], whole), np.empty(arcs[-1], np.int64), np.empty(arcs[-1], whole)
+    for k in reversed(range(len(automata))):
+        a, own, at = automata.pop(), slice(states[k], states[k + 1]), slice(arcs[k], arcs[k + 1])
+        first[own], count[own] = a.first[:-1] + arcs[k], np.diff(a.first)
+        label[at], weight[at], target[at] = rank[size[k] + a.label], a.weight, a.target + states[k]
+        del a
+    at, node, levels = states[1:] - 1, np.zeros(len(states) - 1, np.int64), []
     while len(at):
         n = count[at]
         arc = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -178,6 +184,28 @@ def union(automata: list[Automaton]) -> Tree:
     return Tree(symbols, levels)
 
 
+def unfolded(t: Tree) -> Automaton:
+    """The tree as it is: a state for each prefix that goes on."""
+    sizes = np.array([1] + [len(v.label) for v in t.levels])
+    begin, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+    parent = np.concatenate([np.zeros(0, np.int64), *[v.parent + b for v, b in zip(t.levels, begin, strict=False)]])
+    label, weight = (np.concatenate([np.zeros(0, np.int64), *[v[k] for v in t.levels]]) for k in (1, 2))
+    arcs = np.bincount(parent, minlength=n)
+    goes = arcs > 0
+    goes[0] = True
+    state = np.where(goes, goes.sum() + 1 - np.cumsum(goes), 0)  # the root is the last state
+    c, child = arcs[goes][::-1], (np.cumsum(arcs) - arcs)[goes][::-1]
+    at = np.repeat(child - (np.cumsum(c) - c), c) + np.arange(n - 1)
+    return Automaton(t.symbols, np.concatenate(([0, 0], np.cumsum(c))), label[at], weight[at], state[at + 1])
+
+
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """Of sorted places."""
+    new = np.ones(len(places), bool)
+    new[1:] = places[1:] != places[:-1]
+    return places[new]
+
+
 def _chosen(t: Tree, nodes: list[np.ndarray], weight: list[np.ndarray]) -> Tree:
     """The tree of some nodes of each level; their ancestors are among them."""
     levels = []
@@ -186,10 +214,11 @@ def _chosen(t: Tree, nodes: list[np.ndarray], weight: list[np.ndarray]) -> Tree:
             break
         parent = np.searchsorted(nodes[k - 1], v.parent[at]) if k else v.parent[at]
         levels.append(Level(parent, v.label[at], weight[k]))
-    used, label = np.unique(np.concatenate([v.label for v in levels]) if levels else np.zeros(0, np.int64), return_inverse=True)
-    ends = np.cumsum([len(v.label) for v in levels])[:-1] if levels else []
-    parts = np.split(label, ends) if levels else []
-    return Tree(t.symbols.take(pa.array(used)), [v._replace(label=x) for v, x in zip(levels, parts, strict=True)])
+    used = np.zeros(len(t.symbols), bool)
+    for v in levels:
+        used[v.label] = True
+    rank = np.cumsum(used) - 1
+    return Tree(t.symbols.take(pa.array(np.flatnonzero(used))), [v._replace(label=rank[v.label]) for v in levels])
 
 
 def pruned(t: Tree, least: int) -> Tree:
@@ -199,19 +228,20 @@ def pruned(t: Tree, least: int) -> Tree:
         here = v.weight >= least
         here[above] = True
         nodes.append(np.flatnonzero(here))
-        above = np.unique(v.parent[nodes[-1]])
+        above = _distinct(v.parent[nodes[-1]])
     nodes.reverse()
     weight = [np.where(v.weight[at] >= least, v.weight[at], 0) for v, at in zip(t.levels, nodes, strict=True)]
     return _chosen(t, nodes, weight)
 
 
-def routes(t: Tree, depth: int, ranges: int) -> list[np.ndarray]:
-    """The prefix range of each sequence: that of its first `depth` symbols, or of all if it has fewer."""
+def routes(t: Tree, depth: int, ranges: int, shift: int = 32) -> list[np.ndarray]:
+    """The prefix range of each sequence: that of its first `depth` symbols, or of all if it has fewer. The 32 bits from `shift` on of
+    their hash decide."""
     mark = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in t.symbols.to_pylist()), np.uint64, len(t.symbols))
     out, path = [], np.zeros(1, np.uint64)
     for k, v in enumerate(t.levels):
         path = W.mixed(path[v.parent] * W.BASE + mark[v.label]) if k < depth else path[v.parent]
-        out.append(((path >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64))
+        out.append(((path >> np.uint64(shift) & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64))
     return out
 
 
@@ -223,8 +253,8 @@ def parted(t: Tree, route: list[np.ndarray]):
         own = [o[slice(*np.searchsorted(h, [k, k + 1]))] for o, h in zip(order, held, strict=True)]
         nodes, above = [], np.zeros(0, np.int64)
         for v, at in zip(reversed(t.levels), reversed(own), strict=True):
-            nodes.append(np.union1d(at, above))
-            above = np.unique(v.parent[nodes[-1]])
+            nodes.append(_distinct(np.sort(np.concatenate((at, above)), kind="stable")) if len(above) else at)
+            above = _distinct(v.parent[nodes[-1]])  # parents rise with the places
         nodes.reverse()
         yield k, _chosen(t, nodes, [np.where(r[at] == k, v.weight[at], 0) for v, r, at in zip(t.levels, route, nodes, strict=True)])
 

@@ -3,13 +3,15 @@
 1. A part of a partition's texts (about PART_BYTES, cut only between pieces) sorts its sequences of language and up to LONGEST words
    and freezes them into a minimal automaton whose arcs carry the counts (automata.py). It leaves the task cut into prefix ranges,
    one automaton for each: a phrase belongs to the range of its first two words.
-2. Automata of a range are united and their weights summed. Beyond FAN ranges this takes several levels: FAN parts meet in a coarse range
-   and leave it cut into finer ones, so that the pieces exchanged grow in proportion to the input. At last sequences under LEAST go.
+2. Automata of a range are united and their weights summed. With more than FAN ranges this takes several levels: groups of parts meet in a coarse
+   range and leave it cut into FAN finer ones; a group's text is bounded, so that the pieces exchanged grow in proportion to the input. At last sequences under LEAST go.
 3. The ranges of candidates' parts (first k words, the rest) get these parts as questions, again a tree, and compose it with their
    automaton. All parts of a candidate are at least as frequent as it is, so none was cut off.
 4. Scores, the rule for longer candidates and the ranking are joins and aggregates over candidates; arithmetic is DECIMAL.
 
-A task holds one part, or FAN pieces of a range, or one range. A frequent phrase is one entry per part, whatever its count.
+A task holds one part, or the pieces of a coarse range from GROUP_BYTES of its text, or one range. A range with more than twice SLICE_BYTES
+(there are no more than FAN ranges until each has WIDE_BYTES of text; a very frequent pair may make one large) is held compressed and
+united slice by slice, each with the sequences of one hash class. A frequent phrase is one entry per part, whatever its count.
 
 Defined cases: null texts have no words; a null lang counts as `und`, together with rows that say so. Repeated rows count again. An
 empty table gives no rows. Other columns are ignored.
@@ -32,13 +34,18 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A candidate goes if a longer one around it has at least this share of its count, in percent.
 COVERED = 80
 PART_BYTES = 4 << 20
-#: Text behind one prefix range.
-RANGE_BYTES = 8 << 20
+#: Text behind one prefix range, and how far it grows before there are more than FAN ranges.
+RANGE_BYTES, WIDE_BYTES = 8 << 20, 96 << 20
+#: Text of a coarse range that meets in one task.
+GROUP_BYTES = 4 << 20
+#: Bytes of a large range's automata, before compression, that are united at once.
+SLICE_BYTES = 24 << 20
 #: Ranges that one exchange deals to.
-FAN = 256
+FAN = 128
 #: Parts of a language that are ranked by themselves, step by step.
 SALTS = (1024, 16)
 PIECES = "range int, part int, blob binary"
+GOLDEN = 0.6180339887498949
 
 _SPACE, _BREAK = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -106,36 +113,70 @@ def _pieces(t: A.Tree, part: int, ranges: int, step: int) -> pa.Table:
 
 def _uniting(ranges: int, step: int, fan: int):
     def unite(key, table):
-        t = A.union([A.loaded(x.as_py()) for x in table.column("blob")])
+        t = A.union(A.loaded(x.as_py()) for x in table.column("blob"))
         return _pieces(t, key[1].as_py(), ranges, step)
 
     return unite
 
 
-def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part_bytes: int = PART_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> tuple[DataFrame, int]:
+def frequent(blobs: pa.ChunkedArray, least: int, slice_bytes: int = SLICE_BYTES) -> A.Tree:
+    """The sequences that all automata together count `least` times or more."""
+    sizes = [int.from_bytes(x, "little") for x in pc.binary_slice(blobs, 0, 8).to_pylist()]
+    if sum(sizes) <= 2 * slice_bytes:
+        return A.pruned(A.union(A.loaded(x.as_py()) for x in blobs), least)
+    slices = -(-sum(sizes) // slice_bytes)
+    held, cuts = [[] for _ in range(slices)], np.cumsum(sizes) // max(1, slice_bytes // 2)
+    begin = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist()]
+    for a, b in zip(begin, [*begin[1:], len(sizes)], strict=True):
+        t = A.union(A.loaded(x.as_py()) for x in blobs.slice(a, b - a))
+        for k, x in A.parted(t, A.routes(t, len(t.levels), slices, 0)):
+            held[k].append(A.dumped(A.unfolded(x)))
+        del t
+        W.released()
+    found = []
+    for part in held:
+        if part:
+            found.append(A.frozen(A.pruned(A.union(A.loaded(x) for x in part), least)))
+            part.clear()
+            W.released()
+    return A.union(found)
+
+
+def groups(size: int, coarse: int, group_bytes: int = GROUP_BYTES) -> int:
+    """Groups of parts, each of which has `group_bytes` of text in one of so many ranges."""
+    return max(1, -(-size // (coarse * group_bytes)))
+
+
+def counts(
+    docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part_bytes: int = PART_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN,
+    wide_bytes: int = WIDE_BYTES, group_bytes: int = GROUP_BYTES, slice_bytes: int = SLICE_BYTES,
+) -> tuple[DataFrame, int]:
     """(range, blob): for each prefix range the automaton of all sequences counted `least` times or more; and the number of ranges."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-size // range_bytes))
+    ranges = max(1, min(-(-size // range_bytes), max(fan, -(-size // wide_bytes))))
     step = 1
     while -(-ranges // step) > fan:
         step *= fan
+    first = groups(size, -(-ranges // step), group_bytes)
 
-    def shards(batches):
-        part, width = TaskContext.get().partitionId(), step
+    def shards(batches, width=step):
+        part = int(TaskContext.get().partitionId() * GOLDEN % 1 * first)  # parts go round the groups, each task's from another one on
         for batch in batches:
             for slab in W.parts(batch, most=part_bytes):
                 for t in phrase_tree(slab.column("text"), slab.column("lang"), longest, part_bytes):
-                    yield from _pieces(t, part, ranges, width).to_batches()
+                    yield from _pieces(t, part % first, ranges, width).to_batches()
+                    part += 1
                     del t
                     W.released()
 
     pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(R.lean_stream(shards), PIECES)
     while step > 1:
+        meet = groups(size, -(-ranges // step), group_bytes)
         step //= fan
-        pieces = pieces.groupBy("range", F.expr(f"part DIV {fan}").alias("group")).applyInArrow(R.lean(_uniting(ranges, step, fan)), PIECES)
+        pieces = pieces.groupBy("range", F.expr(f"part % {meet}").alias("group")).applyInArrow(R.lean(_uniting(ranges, step, fan)), PIECES)
 
     def finish(key, table):
-        t = A.pruned(A.union([A.loaded(x.as_py()) for x in table.column("blob")]), least)
+        t = frequent(table.column("blob"), least, slice_bytes)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([A.dumped(A.frozen(t))], pa.binary())], names=["range", "blob"])
 
     return R.stored(pieces.groupBy("range").applyInArrow(R.lean(finish), "range int, blob binary"), "phrases"), ranges

@@ -185,6 +185,46 @@ def test_collocations_by_brute_force(spark, sizes):
     assert {tuple(r) for r in found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == best_phrases(rows, 20, 50)
 
 
+LARGE = [{"part_bytes": 700, "range_bytes": 900, "wide_bytes": 900, "fan": 3, "group_bytes": 300, "slice_bytes": 2000}, {"part_bytes": 700, "range_bytes": 900, "fan": 3, "slice_bytes": 900}]
+
+
+@pytest.mark.parametrize("sizes", LARGE)
+def test_collocations_of_many_groups_and_slices(spark, sizes):
+    rows = [(spoken(k, 300 + 20 * k) + " new york" * 200, ("en", "de", None, "und")[k % 4]) for k in range(24)]
+    found = phrases.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(5), least=20, top=50, **sizes)
+    assert {tuple(r) for r in found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == best_phrases(rows, 20, 50)
+
+
+def test_parts_that_meet_are_bounded(spark, tmp_path, monkeypatch):
+    uniting = phrases._uniting
+
+    def spied(*args):
+        run, folder = uniting(*args), str(tmp_path)
+
+        def one(key, table):
+            with open(f"{folder}/{key[0].as_py()}-{key[1].as_py()}", "w") as file:
+                file.write(str(table.num_rows))
+            return run(key, table)
+
+        return one
+
+    monkeypatch.setattr(phrases, "_uniting", spied)
+    rows = [(spoken(k, 1200), "en") for k in range(32)]
+    sizes = {"part_bytes": 700, "range_bytes": 2000, "fan": 8} | ({"wide_bytes": 2000, "group_bytes": 2000} if hasattr(phrases, "WIDE_BYTES") else {})
+    phrases.counts(spark.createDataFrame(rows, "text string, lang string").repartition(4), **sizes)
+    met = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(met) > 1000 and max(met) < 60  # of some 300 parts
+
+
+def test_a_large_range_is_united_in_slices():
+    trees = [small_tree(k, 400) for k in range(9)]
+    total = sum((counts for _, counts in trees), Counter())
+    blobs = pa.chunked_array([pa.array([automata.dumped(automata.frozen(t)) for t, _ in part], pa.binary()) for part in (trees[:4], trees[4:])])
+    want = {p: w for p, w in total.items() if w >= 3}
+    for slice_bytes in (1 << 20, 2000, 100):
+        assert {p: w for p, w in sequences(phrases.frequent(blobs, 3, slice_bytes)).items() if w} == want
+
+
 def test_collocations_of_no_rows(spark):
     assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
 
